@@ -108,10 +108,11 @@ def _least_counts(counted: DataFrame) -> DataFrame:
     While a value keeps its count, it concerns the queries numbered from
     ``asked`` up to ``next_asked`` of its key.  Such a range of numbers is split
     into aligned blocks of powers of two; a query then only looks at the blocks
-    its own number lies in, and each block keeps nothing but its minimum.
+    its own number lies in, and each block keeps nothing but its minimum.  A
+    query row ends one such range of its target value and starts the next.
     """
     runs = counted.filter(
-        (F.col("is_event") == 1) & F.col("value").isNotNull() & (F.col("own") > 0) & (F.col("next_asked") > F.col("asked"))
+        F.col("value").isNotNull() & (F.col("own") > 0) & (F.col("next_asked") > F.col("asked"))
     ).select("key", "d", "own", F.col("asked").alias("a"), F.col("next_asked").alias("b"))
     longest = runs.agg(F.max(F.col("b") - F.col("a")).alias("m")).first()["m"] or 1
     levels = min(int(longest).bit_length(), MAX_LEVELS)
