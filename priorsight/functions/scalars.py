@@ -121,7 +121,11 @@ def clamp_negative(x: Column) -> Column:
     return F.when(x < 0, F.lit(NEGATIVE_DURATION)).otherwise(x)
 
 
-def hashed_uniform(key: Column, low: float, high: float, seed: int = 0) -> Column:
-    """A repeatable uniform draw per key, independent of the partitioning."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
-    return low + (high - low) * draw
+def hashed_unit(key: Column, salt: str = "") -> Column:
+    """A repeatable draw from [0, 1) per key, independent of the partitioning."""
+    digest = F.md5(F.concat(F.lit(salt), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
+def hashed_uniform(key: Column, low: float, high: float, salt: str = "") -> Column:
+    return low + (high - low) * hashed_unit(key, salt)
