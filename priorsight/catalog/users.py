@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from priorsight.catalog import query
 from priorsight.catalog.binding import LOGS, logins, rounded, trades
 from priorsight.operators import users
-from priorsight.operators.history import with_last_event
+from priorsight.operators.history import link_last_events, with_last_event
 
 
 @query("F1_distinct_users", f"with {LOGS} select distinct id from l")
@@ -83,14 +83,14 @@ def trade_login_features(spark, sf):
     return rounded(features.select("rowkey", "id", "is_risk", "hours", "st", "device_scale", "city_scale"))
 
 
-_PREVIOUS = "select rowkey, date_diff('day', date '1970-01-01', date '1970-01-01') + (us - lag(us) over (partition by id order by us, rowkey)) // 86400000000 as trade_gap_days from t"
+_PREVIOUS = "select rowkey, (us - lag(us) over (partition by id order by us, rowkey)) // 86400000000 as trade_gap_days from t"
 
 
 @query("F11_previous_trade_gap", f"with {LOGS} {_PREVIOUS}")
 def previous_trade_gap(spark, sf):
     asked = trades(spark, sf).select("rowkey", "id", "us")
-    linked = with_last_event(asked, asked, {"us": "previous_us"}, order="rowkey")
-    return linked.select("rowkey", F.expr("(us - previous_us) div 86400000000").alias("trade_gap_days"))
+    linked = link_last_events(asked, asked, [], 1, order="rowkey")
+    return linked.select("rowkey", F.expr("(us - last_0.us) div 86400000000").alias("trade_gap_days"))
 
 
 @query(
