@@ -10,6 +10,7 @@ from priorsight.catalog.binding import LOGS, logins, rounded, table, trades
 from priorsight.functions import scalars as S
 from priorsight.operators.families import value_statistics
 from priorsight.operators.history import trailing_counts
+from priorsight.plans.ordering import attach_row
 from priorsight.sources import files
 
 
@@ -61,9 +62,9 @@ def feature_store_write(spark, sf):
 
 @query(
     "A4_assemble_feature_sets",
-    f"with {LOGS} select t.rowkey, period, amount, count(l.us) filter (where t.us - l.us < 7 * 86400000000) as logins_7, "
+    f"with {LOGS} select t.rowkey, t.period, t.amount, count(l.us) filter (where t.us - l.us < 7 * 86400000000) as logins_7, "
     "count(l.us) filter (where t.us - l.us < 30 * 86400000000 and l.result < 0) as failures_30 "
-    "from t left join l on l.id = t.id and l.us < t.us group by all",
+    "from t left join l on l.id = t.id and l.us < t.us group by t.rowkey, t.period, t.amount",
 )
 def assemble_feature_sets(spark, sf):
     sets = {"trades": ["period", "amount"], "logins": ["logins_7", "failures_30"]}
@@ -112,7 +113,7 @@ def split_and_check(spark, sf):
     both = files.tag_and_union(train, test, keep_label=True)
     again = both.filter(F.col("from") == "train").drop("from")
     differing = files.differences(train, again).agg(F.count(F.lit(1)).alias("differing"))
-    return again.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(differing))
+    return attach_row(again.agg(F.count(F.lit(1)).alias("n")), differing)
 
 
 @query("B3_parse_time", "select event_id, date_trunc('second', ts) as time from events")
@@ -213,7 +214,7 @@ def frequent_list_values(spark, sf):
     listings = _listings(spark, sf)
     total = listings.agg(F.count(F.lit(1)).alias("rows"))
     counts = listings.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(F.broadcast(total)).filter(F.col("n") > 0.1 * F.col("rows")).drop("rows")
+    return attach_row(counts, total).filter(F.col("n") > 0.1 * F.col("rows")).drop("rows")
 
 
 @query(
@@ -225,7 +226,7 @@ def frequent_words(spark, sf):
     documents = table(spark, sf, "documents").select("text")
     total = documents.agg(F.count(F.lit(1)).alias("rows"))
     counts = documents.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(F.broadcast(total)).filter(F.col("n") > 0.1 * F.col("rows")).drop("rows")
+    return attach_row(counts, total).filter(F.col("n") > 0.1 * F.col("rows")).drop("rows")
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorsight.functions.scalars import MISSING
-from priorsight.plans.ordering import with_global_order
+from priorsight.plans.ordering import attach_row, with_global_order
 
 
 def n_rows() -> Column:
@@ -23,7 +23,7 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
 def with_share(counts: DataFrame, count: str = "n", share: str = "share") -> DataFrame:
     """Adds each row's part of the total; ``counts`` is an aggregate and is summed as such."""
     total = counts.agg(F.sum(count).alias("all_n"))
-    return counts.join(F.broadcast(total)).withColumn(share, F.col(count) / F.col("all_n")).drop("all_n")
+    return attach_row(counts, total).withColumn(share, F.col(count) / F.col("all_n")).drop("all_n")
 
 
 def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -51,7 +51,7 @@ def quantiles(df: DataFrame, column: str, qs: Mapping[str, float], by: Sequence[
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("x")).agg(n_rows().alias("n"))
     ordered = with_global_order(counts, [*by, "x"], ["n"])
     groups = ordered.groupBy(*by).agg(F.sum("n").alias("size"), F.min(F.col("run_n") - F.col("n")).alias("before"))
-    joined = ordered.join(groups, by) if by else ordered.join(F.broadcast(groups))
+    joined = ordered.join(groups, by) if by else attach_row(ordered, groups)
     first = F.col("run_n") - F.col("n") - F.col("before")
     last = F.col("run_n") - F.col("before") - 1
     picks = []
@@ -74,7 +74,7 @@ def summary(df: DataFrame, column: str) -> DataFrame:
         F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"),
         F.min(column).alias("low"), F.max(column).alias("high"),
     )
-    return moments.join(F.broadcast(parts))
+    return attach_row(moments, parts)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10, below_quantile: float | None = None) -> DataFrame:
@@ -85,11 +85,11 @@ def histogram(df: DataFrame, column: str, bins: int = 10, below_quantile: float
     data = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
     if below_quantile is not None:
         edge = quantiles(data, "x", {"edge": below_quantile})
-        data = data.join(F.broadcast(edge)).filter("x < edge").select("x")
+        data = attach_row(data, edge).filter("x < edge").select("x")
     ends = data.agg(F.min("x").alias("low"), F.max("x").alias("high"))
     width = (F.col("high") - F.col("low")) / bins
     place = F.when(width == 0, 0).otherwise(F.least(F.floor(F.try_divide(F.col("x") - F.col("low"), width)), F.lit(bins - 1)))
-    placed = data.join(F.broadcast(ends)).select(place.cast("int").alias("bin"), "low", width.alias("width"))
+    placed = attach_row(data, ends).select(place.cast("int").alias("bin"), "low", width.alias("width"))
     return placed.groupBy("bin").agg(
         n_rows().alias("n"), F.min(F.col("low") + F.col("bin") * F.col("width")).alias("from_value"),
         F.min(F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("to_value"),

@@ -49,3 +49,15 @@ def with_global_order(df: DataFrame, order: Sequence[str | Column], sums: Sequen
         *[(F.col(f"before_{c}") + F.sum(c).over(inside)).alias(f"run_{c}") for c in sums],
         *[f"all_{c}" for c in sums],
     )
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``df`` with the values of a one-row table as constant columns.
+
+    The row is fetched first, as any fitted statistic is, so the plan of ``df``
+    gets literals to fold in place of a join without a key.
+    """
+    row = one_row.first()
+    return df.withColumns(
+        {f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema.fields}
+    )
