@@ -1 +1,144 @@
-"""."""
+"""Models on a feature table built from the logs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from priorsight.catalog import query
+from priorsight.catalog.binding import logins, rounded, table, trades
+from priorsight.catalog.splitting import _FOLDS, week
+from priorsight.operators import families, models, splits
+from priorsight.operators.neighbours import neighbour_vote
+from priorsight.plans.lineage import cut
+from priorsight.plans.windows import window_totals
+
+FEATURES = [f"{n}_{d}" for d in (30, 7) for n in ("logins", "failures", "trades", "timelong")] + ["hour", "period"]
+
+
+def feature_table(spark, sf):
+    """Trades with a few windowed features, written once for all fits of a query."""
+    asked = trades(spark, sf)
+    events = families._both_logs(logins(spark, sf), asked, "id", ["result", "timelong"])
+    login = F.col("is_login")
+    measures = {
+        "logins": login.cast("long"), "trades": (~login).cast("long"),
+        "failures": F.coalesce((login & (F.col("result") < 0)).cast("long"), F.lit(0).cast("long")),
+        "timelong": F.coalesce("timelong", F.lit(0).cast("long")),
+    }
+    counted = window_totals(events, asked.select("rowkey", "id", "us", "time", "period", "is_risk"), ["id"], measures, (30, 7))
+    return cut(counted.withColumn("hour", F.hour("time")).select("rowkey", "time", "is_risk", *FEATURES))
+
+
+def _setup(spark, sf):
+    features = feature_table(spark, sf)
+    folds = cut(splits.temporal_folds(features, week(), _FOLDS, "rowkey"))
+    return features, models.model_matrix(features, FEATURES), folds
+
+
+def _small_boost(**settings):
+    return models.boosted_trees(**{"rounds": 5, "depth": 3, **settings})
+
+
+def _scores(spark, sf, estimator, weight=None, positive=None):
+    features = feature_table(spark, sf)
+    matrix = models.model_matrix(features, FEATURES)
+    if weight:
+        matrix = models.weighted(matrix, positive)
+    return rounded(models.scored(estimator.fit(matrix), matrix))
+
+
+@query("M1_boosted_trees")
+def boosted_trees(spark, sf):
+    return _scores(spark, sf, _small_boost(weight="weight"), "weight", 10)
+
+
+@query("M2_best_iteration")
+def best_iteration(spark, sf):
+    _, matrix, folds = _setup(spark, sf)
+    per_round, _ = models.per_round_over_folds(matrix, folds, range(2), _small_boost(rate=0.3))
+    return rounded(models.best_round(per_round))
+
+
+@query("M2_metric_per_iteration")
+def metric_per_iteration(spark, sf):
+    _, matrix, folds = _setup(spark, sf)
+    return rounded(models.per_round_over_folds(matrix, folds, range(2), _small_boost(rate=0.3))[0])
+
+
+@query("M3_random_forest")
+def random_forest(spark, sf):
+    return _scores(spark, sf, models.random_forest(5, 4, weight="weight"), "weight")
+
+
+@query("M4_decision_tree")
+def decision_tree(spark, sf):
+    return _scores(spark, sf, models.decision_tree(3))
+
+
+@query("M5_logistic_regression")
+def logistic_regression(spark, sf):
+    return _scores(spark, sf, models.logistic_regression("weight"), "weight")
+
+
+@query("M5_linear_regression")
+def linear_regression(spark, sf):
+    return _scores(spark, sf, models.linear_regression())
+
+
+def _vote_sql(k: int) -> str:
+    return (
+        "with d as (select a.vec_id, b.vec_id as other, b.label, row_number() over (partition by a.vec_id order by "
+        "list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])), b.vec_id) as nth from embeddings a join embeddings b on a.vec_id <> b.vec_id), "
+        f"v as (select vec_id, label, count(*) as votes from d where nth <= {k} group by all), "
+        "w as (select *, row_number() over (partition by vec_id order by votes desc, label) as place, sum(votes) over (partition by vec_id) as total from v) "
+        "select vec_id as key, label, round(votes / total, 6) as share from w where place = 1"
+    )
+
+
+def _vote(k: int) -> None:
+    @query(f"M6_neighbour_vote_{k}", _vote_sql(k))
+    def vote(spark, sf):
+        vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), "label")
+        return rounded(neighbour_vote(vectors, vectors, vectors.select("key", "label"), k, same_table=True))
+
+
+_vote(3)
+_vote(5)
+
+
+@query("M7_feature_importance")
+def feature_importance(spark, sf):
+    _, matrix, folds = _setup(spark, sf)
+    _, fitted = models.per_round_over_folds(matrix, folds, range(2), _small_boost())
+    return rounded(models.importances(spark, fitted, FEATURES))
+
+
+@query("M8_backward_elimination")
+def backward_elimination(spark, sf):
+    features, _, folds = _setup(spark, sf)
+    fit = models.random_forest(3, 3).fit
+    return rounded(models.backward_elimination(features, FEATURES, folds, [0], fit, drop=0.3, until=0.2))
+
+
+@query("M9_grid_search")
+def grid_search(spark, sf):
+    _, matrix, folds = _setup(spark, sf)
+    grid = [{"rounds": 3, "depth": d, "rate": r} for d in (2, 3) for r in (0.1, 0.3)]
+    return rounded(models.grid_search(cut(matrix), folds, [0], grid, _small_boost))
+
+
+@query("M10_ablation")
+def ablation(spark, sf):
+    features, _, folds = _setup(spark, sf)
+    sets = {"month": [c for c in FEATURES if c.endswith("_30")], "week": [c for c in FEATURES if c.endswith("_7")], "all": FEATURES}
+    return rounded(models.ablation(features, sets, folds, [0], models.decision_tree(3).fit))
+
+
+@query("M16_stacking")
+def stacking(spark, sf):
+    features = splits.shuffled_folds(feature_table(spark, sf), "rowkey", 3)
+    matrix = cut(models.model_matrix(features, FEATURES).join(features.select("rowkey", "fold"), "rowkey"))
+    estimators = {"tree": models.decision_tree(3), "logistic": models.logistic_regression()}
+    meta = cut(models.out_of_fold(matrix, estimators, k=3))
+    final = models.model_matrix(meta.withColumnRenamed("label", "is_risk"), list(estimators))
+    return rounded(models.scored(models.logistic_regression().fit(final), final))

@@ -75,7 +75,8 @@ def rebalanced(df: DataFrame, label: str, key: str, copies: int = 2, ratio: int
         (F.floor(hashed_unit(F.col("id"), salt) * sizes["n"]) + 1).alias("position"),
     )
     drawn = draws.join(negatives, "position").select(*df.columns, "draw")
-    doubled = positives.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).cast("long"))
+    copy_numbers = F.array(*[F.lit(i).cast("long") for i in range(copies)])
+    doubled = positives.withColumn("draw", F.explode(copy_numbers))
     return doubled.select(*df.columns, "draw").unionByName(drawn)
 
 
