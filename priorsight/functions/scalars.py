@@ -99,6 +99,11 @@ def rate(part: Column, whole: Column, empty: Column | float = 0.0) -> Column:
     return F.when(whole == 0, other).otherwise(F.try_divide(part.cast("double"), whole.cast("double")))
 
 
+def rate_sql(part: str, whole: str, empty: str = "0.0D") -> str:
+    """``rate`` as an expression on column names, for lists of many."""
+    return f"case when `{whole}` = 0 then {empty} else try_divide(cast(`{part}` as double), cast(`{whole}` as double)) end"
+
+
 def above(score: Column, threshold: float) -> Column:
     return (score > threshold).cast("int")
 

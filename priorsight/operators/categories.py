@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from priorsight.functions.scalars import rate
 from priorsight.operators.history import linked_only, with_last_event
 from priorsight.plans.lineage import cut
-from priorsight.plans.timegrid import DAY_US, measure_widths, running_totals
+from priorsight.plans.timegrid import DAY_US, INSTANT, measure_widths, running_totals, with_lane
 
 MAX_LEVELS = 62  # node levels a long can number
 
@@ -41,7 +41,8 @@ def value_profile(
     values seen less often than the target.  Null values take part in ``total``
     and ``used`` only.  Returns ``rowkey, d`` and these columns.
     """
-    widths = measure_widths(events, [key], us)
+    widths = measure_widths([events, queries], [key], us)
+    lane = ["lane"] if widths[0] == INSTANT else []
     changes = F.explode(
         F.array(
             *[
@@ -51,11 +52,13 @@ def value_profile(
             ]
         )
     )
-    deltas = events.select(F.col(key).alias("key"), F.col(value).alias("value"), changes.alias("c")).select(
-        "key", "value", "c.*", F.lit(1).alias("is_event"), F.lit(0).cast("long").alias("asked")
+    events = with_lane(events, widths, *events.columns).dropna(subset=[key])
+    queries = with_lane(queries, widths, "rowkey")
+    deltas = events.select(F.col(key).alias("key"), F.col(value).alias("value"), *lane, changes.alias("c")).select(
+        "key", "value", *lane, "c.*", F.lit(1).alias("is_event"), F.lit(0).cast("long").alias("asked")
     )
     asked = queries.select(
-        "rowkey", F.col(key).alias("key"), F.col(target).alias("value"), F.col(us).alias("us"),
+        "rowkey", *lane, F.col(key).alias("key"), F.col(target).alias("value"), F.col(us).alias("us"),
         F.explode(F.array(*[F.lit(d) for d in days])).alias("d"),
         F.lit(0).cast("long").alias("by"), F.lit(0).alias("is_event"), F.lit(1).cast("long").alias("asked"),
     )

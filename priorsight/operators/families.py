@@ -7,9 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from priorsight.functions.scalars import rate
+from priorsight.functions.scalars import rate_sql
 from priorsight.plans.lineage import cut
-from priorsight.plans.timegrid import DAY_US, measure_widths, running_totals
+from priorsight.plans.timegrid import DAY_US, measure_widths, running_totals, with_lane
 from priorsight.plans.windows import window_order_statistics, window_totals
 
 # Keys with more events than this get their window medians by distributed
@@ -22,8 +22,10 @@ def _flag(condition: Column) -> Column:
 
 
 def _both_logs(logins: DataFrame, trades: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    login_rows = logins.select(key, "us", F.lit(True).alias("is_login"), *columns)
-    trade_rows = trades.select(key, "us", F.lit(False).alias("is_login"), *[c for c in columns if c in trades.columns])
+    login_rows = logins.select(key, "us", F.lit(True).alias("is_login"), F.xxhash64("log_id").alias("event"), *columns)
+    trade_rows = trades.select(
+        key, "us", F.lit(False).alias("is_login"), F.xxhash64("rowkey").alias("event"), *[c for c in columns if c in trades.columns]
+    )
     return login_rows.unionByName(trade_rows, allowMissingColumns=True)
 
 
@@ -46,24 +48,24 @@ def login_trade_statistics(
     counted = window_totals(events, trades.select("rowkey", key, "us"), [key], measures, days)
     features = []
     for d in days:
-        n_trades, n_logins, good, bad = (F.col(f"{m}_{d}") for m in measures)
-        none = F.when(n_trades > 0, F.lit(float(crowded))).otherwise(F.lit(float(empty)))
+        n_trades, n_logins, good, bad = (f"{m}_{d}" for m in measures)
+        none = f"case when `{n_trades}` > 0 then {float(crowded)}D else {float(empty)}D end"
         features += [
-            *[F.col(f"{m}_{d}") for m in measures],
-            rate(n_trades, n_logins, none).alias(f"trade_login_rate_{d}"),
-            rate(good, n_logins, empty).alias(f"login_success_rate_{d}"),
-            rate(n_trades, good, none).alias(f"trade_login_success_rate_{d}"),
-            rate(n_trades, bad, none).alias(f"trade_login_fail_rate_{d}"),
+            n_trades, n_logins, good, bad,
+            f"{rate_sql(n_trades, n_logins, none)} as trade_login_rate_{d}",
+            f"{rate_sql(good, n_logins, f'{float(empty)}D')} as login_success_rate_{d}",
+            f"{rate_sql(n_trades, good, none)} as trade_login_success_rate_{d}",
+            f"{rate_sql(n_trades, bad, none)} as trade_login_fail_rate_{d}",
         ]
-    return counted.select("rowkey", *features)
+    return counted.selectExpr("rowkey", *features)
 
 
 def repeated_failure_flags(
     logins: DataFrame, trades: DataFrame, days: Sequence[int], key: str = "id", order: str = "log_id"
 ) -> DataFrame:
     """``multiple_fails_<d>``: two logins in a row failed within the window and it holds more than two."""
-    widths = measure_widths(logins, [key])
     queries = trades.select("rowkey", key, "us")
+    widths = measure_widths([logins, queries], [key])
     paired = _with_following(logins, key, order, widths).filter(
         (F.col("result") < 0) & (F.col("next_result") < 0)
     )
@@ -78,19 +80,14 @@ def repeated_failure_flags(
 
 
 def _with_following(logins: DataFrame, key: str, order: str, widths: Sequence[int]) -> DataFrame:
-    """Logins with time and result of the user's next one.
-
-    The place of a login in the user's order is a running count, and the
-    following login is the one with the next place.
-    """
-    numbered = logins.select(key, "us", order, "result", F.lit(1).cast("long").alias("one"))
-    placed = running_totals(numbered, [key], ["one"], widths, "us", (order,), ahead=None)
-    # Result and time travel together: the pair (us, result) of the next row.
-    following = placed.select(
-        F.col(key), (F.col("run_one") - 1).alias("run_one"),
-        F.col("us").alias("next_us"), F.col("result").alias("next_result"),
+    """Logins with time and result of the user's next one; a user's last login is left out."""
+    record = F.struct(F.col("us").alias("us"), F.col(order).alias("at"), F.col("result").alias("result")).alias("record")
+    rows = with_lane(logins.dropna(subset=[key]).select(key, "us", order, "result", record), widths, key, order)
+    followed = running_totals(rows, [key], [], widths, "us", (order,), ahead="record")
+    return followed.filter(F.col("next_record").isNotNull()).select(
+        key, "us", order, "result",
+        F.col("next_record.us").alias("next_us"), F.col("next_record.result").alias("next_result"),
     )
-    return placed.join(following, [key, "run_one"], "inner").drop("one", "run_one")
 
 
 def value_statistics(
@@ -111,8 +108,8 @@ def value_statistics(
     ``rowkey`` and ``{n,mean,max,min,med,std}_<d>``; all but ``n`` are null for
     an empty window, and ``std`` also for a single value.
     """
-    widths = widths or measure_widths(events, [key], since)
-    sizes = events.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    widths = widths or measure_widths([events.withColumn("us", F.col(since)), queries], [key])
+    sizes = events.select(key).unionAll(queries.select(key)).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     large = sizes.filter(F.col("rows") > frame_rows).select(key)
     if large.isEmpty():
         return _framed_statistics(events, queries, days, value, key, code, start, since)
@@ -234,7 +231,9 @@ def duration_statistics(
     offset: float = 1.0, frame_rows: int = FRAME_ROWS,
 ) -> DataFrame:
     """``timelong_{mean,max,min,med,std}_<d>`` of the logarithm of the login duration."""
-    events = logins.filter(F.col(duration) + offset > 0).select(key, "us", F.col(duration).cast("long").alias("code"))
+    events = logins.filter(F.col(duration) + offset > 0).select(
+        key, "us", F.col(duration).cast("long").alias("code"), F.xxhash64("log_id").alias("event")
+    )
     stats = value_statistics(
         events, trades.select("rowkey", key, "us"), days, lambda c: F.ln(c + offset), key, frame_rows=frame_rows
     )
@@ -252,10 +251,10 @@ def recovery_statistics(
     Only where the result codes of the window add up to at least one and it
     holds two logins or more; both logins must lie in the window.
     """
-    widths = measure_widths(logins, [key])
     queries = trades.select("rowkey", key, "us")
+    widths = measure_widths([logins, queries], [key])
     failed = _with_following(logins, key, order, widths).filter(F.col("result") < 0)
-    events = failed.select(key, "us", "next_us", (F.col("next_us") - F.col("us")).alias("code"))
+    events = failed.select(key, "us", "next_us", order, (F.col("next_us") - F.col("us")).alias("code"))
     stats = value_statistics(
         events, queries, days, lambda c: F.ln(c / 1e6 + 1), key, start="next_us", since="us",
         widths=widths, frame_rows=frame_rows,
@@ -312,12 +311,10 @@ def habit_features(
     counted = window_totals(events, trades.select("rowkey", key, "us"), [key], count, days)
     out = []
     for d in days:
-        n, t, good = (F.col(f"{c}_{d}") for c in ("login_all", "trade_all", "success_all"))
-        whole = {"success": good, "fail": n - good}
         for name in list(count)[3:]:
-            c = F.col(f"{name}_{d}")
-            out.append(c)
             stem = name.removesuffix("_count").removesuffix("_times")
-            base = t if stem.endswith("_trade") else whole.get(name.split("_")[0], n)
-            out.append(rate(c, base).alias(f"{stem}_rate_{d}"))
-    return counted.select("rowkey", *out)
+            base = {"success": "success_all", "fail": "fail_all"}.get(name.split("_")[0], "login_all")
+            base = "trade_all" if stem.endswith("_trade") else base
+            out += [f"`{name}_{d}`", f"{rate_sql(f'{name}_{d}', f'{base}_{d}')} as `{stem}_rate_{d}`"]
+    failed = [f"login_all_{d} - success_all_{d} as fail_all_{d}" for d in days]
+    return counted.selectExpr("*", *failed).selectExpr("rowkey", *out)

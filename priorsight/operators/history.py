@@ -39,7 +39,7 @@ def link_last_events(
     order: str = "log_id",
 ) -> DataFrame:
     """The ``k`` latest earlier events as structs ``last_0 .. last_{k-1}``, newest first."""
-    widths = measure_widths(events, keys)
+    widths = measure_widths([events, queries], keys)
     return last_rows_before(events, queries, keys, payload, k, widths, order)
 
 

@@ -66,9 +66,9 @@ def mean_login_gap(logins: DataFrame, users: DataFrame, start_us: int, end_us: i
 
 def mean_gap_before(logins: DataFrame, trades: DataFrame, key: str = "id", order: str = "log_id") -> DataFrame:
     """Mean seconds between a user's logins strictly before the trade; null for fewer than two."""
-    widths = measure_widths(logins, [key])
+    widths = measure_widths([logins, trades], [key])
     pairs = _with_following(logins, key, order, widths).select(
-        key, F.col("next_us").alias("us"), (F.col("next_us") - F.col("us")).alias("gap")
+        key, F.col("next_us").alias("us"), order, (F.col("next_us") - F.col("us")).alias("gap")
     )
     totals = totals_before(
         pairs, trades.select("rowkey", key, "us"), [key],

@@ -47,7 +47,7 @@ def _search_block(k: int):
 
 def _best(candidates: DataFrame, k: int) -> DataFrame:
     nearest = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return candidates.distinct().withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= k)
+    return candidates.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= k)
 
 
 def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -10,6 +10,7 @@ ever sorts one cell, whatever share of the data its key holds.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -22,18 +23,26 @@ CELL_WIDTHS = tuple(DAY_US // n for n in (1, 4, 24, 144, 1_440, 8_640, 86_400, 8
 
 CELL_ROWS = 500_000
 
+# Rows of one instant are told apart by this many lanes where even the finest
+# cells are too full, as when a third of a log carries the same time.
+INSTANT = 0
+LANES = 65_536
+
 
 def measure_widths(
-    rows: DataFrame, keys: Sequence[str], us: str = "us", cell_rows: int = CELL_ROWS
+    rows: DataFrame | Sequence[DataFrame], keys: Sequence[str], us: str = "us", cell_rows: int = CELL_ROWS
 ) -> tuple[int, ...]:
     """Cell widths (finest first) under which no cell of a key holds more than ``cell_rows`` rows.
 
-    One counting job per tried width, over the key and time columns only.  The
-    common case is a single job that ends with one-day cells.
+    ``rows`` are all tables that will share the cells.  One counting job per
+    tried width, over the key and time columns only; the common case is a
+    single job that ends with one-day cells.
     """
+    tables = [rows] if isinstance(rows, DataFrame) else list(rows)
+    lines = reduce(DataFrame.unionAll, [t.select(*keys, F.col(us).alias("us")) for t in tables])
 
     def fullest(width: int) -> int:
-        cells = rows.groupBy(*keys, F.expr(f"`{us}` div {width}").alias("cell")).count()
+        cells = lines.groupBy(*keys, F.expr(f"us div {width}").alias("cell")).count()
         return cells.agg(F.max("count").alias("n")).first()["n"] or 0
 
     peak = fullest(DAY_US)
@@ -44,9 +53,16 @@ def measure_widths(
         width = next((w for w in finer if w <= wanted), finer[-1])
         peak = fullest(width)
     # Day cells above finer ones keep the per-key list of cells short as well;
-    # an hour in between does so for very fine ones.
+    # a minute in between does so for very fine ones.
     above = [w for w in (DAY_US // 1_440, DAY_US) if width < w and (w == DAY_US or w // width > 1_000)]
-    return (width, *above)
+    return (*((INSTANT,) if peak > cell_rows else ()), width, *above)
+
+
+def with_lane(rows: DataFrame, widths: Sequence[int], *identity: str) -> DataFrame:
+    """Add the ``lane`` that instant cells need; ``identity`` tells rows of one instant apart."""
+    if widths[0] != INSTANT:
+        return rows
+    return rows.withColumn("lane", F.pmod(F.xxhash64(*identity), F.lit(LANES)))
 
 
 def _total(name: str, kind: DataType, frame: WindowSpec) -> Column:
@@ -69,7 +85,8 @@ def running_totals(
     non-null integers or decimals, so that the result is exact in any order of
     addition.  ``ahead`` names a column that never falls along the time line;
     its value on the next row of the key is added as ``next_<ahead>``.
-    ``upto_row`` of -1 leaves the row itself out.
+    ``upto_row`` of -1 leaves the row itself out.  Instant cells need the
+    column of ``with_lane``.
     """
     run = [f"run_{c}" for c in sums]
     schema = rows.schema
@@ -80,15 +97,21 @@ def running_totals(
         extra = [F.lead(ahead).over(line).alias(f"next_{ahead}")] if ahead else []
         return rows.select("*", *[_total(c, kinds[c], upto).alias(r) for c, r in zip(sums, run)], *extra)
 
-    cell_name = f"cell{len(widths)}"
     body = f"body{len(widths)}"
-    cell = [*keys, cell_name]
-    rows = rows.withColumn(cell_name, F.expr(f"`{us}` div {widths[0]}"))
+    if widths[0] == INSTANT:
+        cell_name = None
+        below = (*tie, "lane")
+        cell = [*keys, us, *below]
+        sizes = []
+    else:
+        cell_name = f"cell{len(widths)}"
+        below = ()
+        cell = [*keys, cell_name]
+        sizes = [F.min(us).alias(us)]
+        rows = rows.withColumn(cell_name, F.expr(f"`{us}` div {widths[0]}"))
     firsts = [F.min(ahead).alias(ahead)] if ahead else []
-    cells = rows.groupBy(*cell).agg(
-        F.min(us).alias(us), *firsts, *[F.sum(c).cast(kinds[c]).alias(c) for c in sums]
-    )
-    carried = running_totals(cells, keys, sums, widths[1:], us, (), ahead, -1)
+    cells = rows.groupBy(*cell).agg(*sizes, *firsts, *[F.sum(c).cast(kinds[c]).alias(c) for c in sums])
+    carried = running_totals(cells, keys, sums, widths[1:], us, below, ahead, -1)
     carry = carried.select(
         *cell,
         F.lit(False).alias(body),
@@ -105,7 +128,7 @@ def running_totals(
             F.coalesce(F.lead(ahead).over(line), F.max("next_cell").over(sofar)).alias(f"next_{ahead}")
         ]
     out = both.select("*", *[_total(c, kinds[c], upto).alias(r) for c, r in zip(sums, run)], *extra)
-    dropped = [cell_name, body] + (["next_cell"] if ahead else [])
+    dropped = [c for c in (cell_name, body, "next_cell" if ahead else None) if c]
     return out.filter(F.col(body)).drop(*dropped)
 
 
@@ -125,6 +148,15 @@ def last_rows_before(
     first, null where there are fewer.  Events at the same time are ordered by
     ``order``.  The rows that cross a cell border are at most ``k`` per cell.
     """
+    events = events.dropna(subset=list(keys))
+    if widths[0] == INSTANT:
+        # No more than k events of an instant matter, and its queries all get the same answer.
+        latest = Window.partitionBy(*keys, us).orderBy(F.desc(order))
+        events = events.withColumn("nth", F.row_number().over(latest)).filter(F.col("nth") <= k).drop("nth")
+        points = queries.select(*keys, us).distinct()
+        answered = last_rows_before(events, points, keys, payload, k, widths[1:], order, us)
+        return queries.join(answered, [*keys, us], "left").select(*queries.columns, *[f"last_{i}" for i in range(k)])
+
     width = widths[0]
     cell = [*keys, "cell"]
     record = F.struct(F.col(us).alias("us"), F.col(order).alias("event_order"), *payload).alias("event")

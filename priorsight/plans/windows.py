@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorsight.plans.lineage import cut
-from priorsight.plans.timegrid import DAY_US, measure_widths, running_totals
+from priorsight.plans.timegrid import DAY_US, INSTANT, measure_widths, running_totals, with_lane
 
 
 def window_totals(
@@ -34,33 +34,27 @@ def window_totals(
     event that spans two times gives the later one as ``start`` and the earlier
     one as ``since``.  Measures must be non-null integers or decimals.
     """
-    widths = widths or measure_widths(events, keys, start)
-    steps = F.array(
-        F.struct(F.col(start).alias("us"), F.lit(0).alias("d")),
-        *[F.struct((F.col(since) + d * DAY_US - 1).alias("us"), F.lit(d).alias("d")) for d in days],
+    events = events.dropna(subset=list(keys))
+    widths = widths or measure_widths([events.withColumn(us, F.col(start)), queries], keys, us)
+    steps = ", ".join(
+        [f"struct(`{start}` as us, 0 as d)", *[f"struct(`{since}` + {d * DAY_US - 1}L as us, {d} as d)" for d in days]]
     )
-    swept = events.select(
-        *keys, start, since, *[m.alias(name) for name, m in measures.items()], F.explode(steps).alias("step")
+    lane = ["lane"] if widths[0] == INSTANT else []
+    swept = with_lane(events, widths, *events.columns).select(
+        *keys, start, since, *lane, *[m.alias(name) for name, m in measures.items()], F.expr(f"explode(array({steps})) as step")
     )
     schema = swept.schema
-    kinds = {name: schema[name].dataType for name in measures}
-    sums = []
-    columns = []
-    for d in days:
-        counts = F.col(since) + d * DAY_US - 1 > F.col(start)
-        for name in measures:
-            zero = F.lit(0).cast(kinds[name])
-            change = F.when(F.col("step.d") == 0, F.col(name)).when(F.col("step.d") == d, -F.col(name))
-            columns.append(F.when(counts, F.coalesce(change, zero)).otherwise(zero).alias(f"{name}_{d}"))
-            sums.append(f"{name}_{d}")
-    deltas = swept.select(*keys, F.col("step.us").alias(us), F.lit(1).alias("is_event"), *columns)
-    zeros = {f"{name}_{d}": F.lit(0).cast(kinds[name]) for d in days for name in measures}
-    asked = queries.withColumns({"is_event": F.lit(0), **zeros})
-    rows = asked.unionByName(deltas, allowMissingColumns=True)
-    swept = running_totals(rows, keys, sums, widths, us, ("is_event",))
-    return swept.filter(F.col("is_event") == 0).select(
-        *queries.columns, *[F.col(f"run_{c}").alias(c) for c in sums]
-    )
+    kinds = {name: schema[name].dataType.simpleString() for name in measures}
+    sums = [f"{name}_{d}" for d in days for name in measures]
+    changes = [
+        f"cast(case when `{since}` + {d * DAY_US - 1}L <= `{start}` then 0 when step.d = 0 then `{name}` "
+        f"when step.d = {d} then -`{name}` else 0 end as {kinds[name]}) as `{name}_{d}`"
+        for d in days
+        for name in measures
+    ]
+    deltas = swept.selectExpr(*[f"`{k}`" for k in keys], f"step.us as `{us}`", "1 as is_event", *lane, *changes)
+    zeros = [f"cast(0 as {kinds[name]}) as `{name}_{d}`" for d in days for name in measures]
+    return _swept(deltas, queries, zeros, keys, sums, widths, us)
 
 
 def totals_before(
@@ -72,25 +66,27 @@ def totals_before(
     us: str = "us",
 ) -> DataFrame:
     """Queries with each measure summed over all events of the key strictly before."""
-    widths = widths or measure_widths(events, keys, us)
-    deltas = events.select(
-        *keys, us, F.lit(1).alias("is_event"), *[m.alias(name) for name, m in measures.items()]
+    events = events.dropna(subset=list(keys))
+    widths = widths or measure_widths([events, queries], keys, us)
+    lane = ["lane"] if widths[0] == INSTANT else []
+    deltas = with_lane(events, widths, *events.columns).select(
+        *keys, us, F.lit(1).alias("is_event"), *lane, *[m.alias(name) for name, m in measures.items()]
     )
     schema = deltas.schema
-    zeros = {name: F.lit(0).cast(schema[name].dataType) for name in measures}
-    rows = queries.withColumns({"is_event": F.lit(0), **zeros}).unionByName(deltas, allowMissingColumns=True)
-    swept = running_totals(rows, keys, list(measures), widths, us, ("is_event",))
-    return swept.filter(F.col("is_event") == 0).select(
-        *queries.columns, *[F.col(f"run_{c}").alias(c) for c in measures]
-    )
+    zeros = [f"cast(0 as {schema[name].dataType.simpleString()}) as `{name}`" for name in measures]
+    return _swept(deltas, queries, zeros, keys, list(measures), widths, us)
 
 
-def next_event(
-    events: DataFrame, keys: Sequence[str], widths: Sequence[int], order: str, us: str = "us"
+def _swept(
+    deltas: DataFrame, queries: DataFrame, zeros: Sequence[str], keys: Sequence[str], sums: Sequence[str],
+    widths: Sequence[int], us: str,
 ) -> DataFrame:
-    """Events with ``next_us``, the time of the following event of the same key."""
-    return running_totals(events, keys, [], widths, us, (order,), ahead=us).withColumnRenamed(
-        f"next_{us}", "next_us"
+    """Queries with the running totals of the changes that came strictly before them."""
+    asked = with_lane(queries, widths, *queries.columns).selectExpr("*", "0 as is_event", *zeros)
+    rows = asked.unionByName(deltas, allowMissingColumns=True)
+    totals = running_totals(rows, keys, sums, widths, us, ("is_event",))
+    return totals.filter("is_event = 0").selectExpr(
+        *[f"`{c}`" for c in queries.columns], *[f"`run_{c}` as `{c}`" for c in sums]
     )
 
 
@@ -122,8 +118,9 @@ def window_order_statistics(
     digits = [f"at_{i}" for i in range(base)]
 
     alive = F.col(since) + F.col("d") * DAY_US - 1
+    lane = ["lane"] if widths[0] == INSTANT else []
     deltas = (
-        events.withColumn("d", F.explode(F.array(*[F.lit(d) for d in days])))
+        with_lane(events, widths, *events.columns).withColumn("d", F.explode(F.array(*[F.lit(d) for d in days])))
         .filter(alive > F.col(start))
         .withColumn(
             "step",
@@ -134,17 +131,17 @@ def window_order_statistics(
                 )
             ),
         )
-        .select(*keys, "d", F.col(code).cast("long").alias("code"), F.col("step.us").alias(us), F.col("step.by").alias("by"))
+        .select(*keys, "d", F.col(code).cast("long").alias("code"), F.col("step.us").alias(us), F.col("step.by").alias("by"), *lane)
     )
     found = queries.withColumns({"found": F.lit(0).cast("long"), "left": F.col("pos").cast("long")})
     for i in range(rounds):
         shift = DIGIT_BITS * (rounds - 1 - i)
         digit = F.shiftright("code", shift).bitwiseAND(base - 1)
         stepped = deltas.select(
-            *keys, "d", us, F.shiftright("code", shift + DIGIT_BITS).alias("found"), F.lit(1).alias("is_event"),
+            *keys, "d", us, F.shiftright("code", shift + DIGIT_BITS).alias("found"), F.lit(1).alias("is_event"), *lane,
             *[F.when(digit == j, F.col("by")).otherwise(0).cast("long").alias(c) for j, c in enumerate(digits)],
         )
-        asked = found.withColumns({"is_event": F.lit(0), **{c: F.lit(0).cast("long") for c in digits}})
+        asked = with_lane(found, widths, *queries.columns).withColumns({"is_event": F.lit(0), **{c: F.lit(0).cast("long") for c in digits}})
         rows = asked.unionByName(stepped, allowMissingColumns=True)
         swept = running_totals(rows, [*keys, "d", "found"], digits, widths, us, ("is_event",))
         upto = [sum((F.col(f"run_{c}") for c in digits[: j + 1]), F.lit(0)) for j in range(base)]
