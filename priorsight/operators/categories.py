@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from priorsight.functions.scalars import rate
 from priorsight.operators.history import linked_only, with_last_event
 from priorsight.plans.lineage import cut
-from priorsight.plans.timegrid import DAY_US, INSTANT, measure_widths, running_totals, with_lane
+from priorsight.plans.timegrid import DAY_US, has_instants, measure_widths, running_totals, with_lane
 
 MAX_LEVELS = 62  # node levels a long can number
 
@@ -42,7 +42,7 @@ def value_profile(
     and ``used`` only.  Returns ``rowkey, d`` and these columns.
     """
     widths = measure_widths([events, queries], [key], us)
-    lane = ["lane"] if widths[0] == INSTANT else []
+    lane = ["lane"] if has_instants(widths) else []
     changes = F.explode(
         F.array(
             *[

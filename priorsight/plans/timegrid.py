@@ -30,37 +30,46 @@ LANES = 65_536
 
 
 def measure_widths(
-    rows: DataFrame | Sequence[DataFrame], keys: Sequence[str], us: str = "us", cell_rows: int = CELL_ROWS
+    rows: DataFrame | Sequence[DataFrame], keys: Sequence[str], us: str = "us", cell_rows: int | None = None
 ) -> tuple[int, ...]:
     """Cell widths (finest first) under which no cell of a key holds more than ``cell_rows`` rows.
 
     ``rows`` are all tables that will share the cells.  One counting job per
-    tried width, over the key and time columns only; the common case is a
-    single job that ends with one-day cells.
+    tried width, over the key and time columns only.  If already every whole
+    key is that small, a single job shows it and no cells are needed.
     """
+    cell_rows = cell_rows or CELL_ROWS
     tables = [rows] if isinstance(rows, DataFrame) else list(rows)
     lines = reduce(DataFrame.unionAll, [t.select(*keys, F.col(us).alias("us")) for t in tables])
 
-    def fullest(width: int) -> int:
-        cells = lines.groupBy(*keys, F.expr(f"us div {width}").alias("cell")).count()
-        return cells.agg(F.max("count").alias("n")).first()["n"] or 0
+    def fullest(*cell) -> int:
+        return lines.groupBy(*keys, *cell).count().agg(F.max("count").alias("n")).first()["n"] or 0
 
-    peak = fullest(DAY_US)
+    def fullest_of(width: int) -> int:
+        return fullest(F.expr(f"us div {width}").alias("cell"))
+
+    if fullest() <= cell_rows:
+        return ()
+    peak = fullest_of(DAY_US)
     width = DAY_US
     while peak > cell_rows and width > CELL_WIDTHS[-1]:
         wanted = width * cell_rows // peak
         finer = [w for w in CELL_WIDTHS if w < width]
         width = next((w for w in finer if w <= wanted), finer[-1])
-        peak = fullest(width)
+        peak = fullest_of(width)
     # Day cells above finer ones keep the per-key list of cells short as well;
     # a minute in between does so for very fine ones.
     above = [w for w in (DAY_US // 1_440, DAY_US) if width < w and (w == DAY_US or w // width > 1_000)]
     return (*((INSTANT,) if peak > cell_rows else ()), width, *above)
 
 
+def has_instants(widths: Sequence[int]) -> bool:
+    return bool(widths) and widths[0] == INSTANT
+
+
 def with_lane(rows: DataFrame, widths: Sequence[int], *identity: str) -> DataFrame:
     """Add the ``lane`` that instant cells need; ``identity`` tells rows of one instant apart."""
-    if widths[0] != INSTANT:
+    if not has_instants(widths):
         return rows
     return rows.withColumn("lane", F.pmod(F.xxhash64(*identity), F.lit(LANES)))
 
@@ -149,7 +158,7 @@ def last_rows_before(
     ``order``.  The rows that cross a cell border are at most ``k`` per cell.
     """
     events = events.dropna(subset=list(keys))
-    if widths[0] == INSTANT:
+    if has_instants(widths):
         # No more than k events of an instant matter, and its queries all get the same answer.
         latest = Window.partitionBy(*keys, us).orderBy(F.desc(order))
         events = events.withColumn("nth", F.row_number().over(latest)).filter(F.col("nth") <= k).drop("nth")
@@ -157,12 +166,33 @@ def last_rows_before(
         answered = last_rows_before(events, points, keys, payload, k, widths[1:], order, us)
         return queries.join(answered, [*keys, us], "left").select(*queries.columns, *[f"last_{i}" for i in range(k)])
 
-    width = widths[0]
-    cell = [*keys, "cell"]
+    cell = [*keys, "cell"] if widths else list(keys)
+    place = [F.expr(f"`{us}` div {widths[0]}").alias("cell")] if widths else []
     record = F.struct(F.col(us).alias("us"), F.col(order).alias("event_order"), *payload).alias("event")
-    happened = events.select(*keys, us, F.expr(f"`{us}` div {width}").alias("cell"), record)
-    asked = queries.withColumn("cell", F.expr(f"`{us}` div {width}"))
+    happened = events.select(*keys, us, *place, record)
+    asked = queries.select("*", *place)
+    if widths:
+        happened = happened.unionByName(_carried_events(happened, asked, keys, cell, k, us))
+    rows = (
+        happened.withColumn("is_event", F.lit(True))
+        .unionByName(asked.withColumn("is_event", F.lit(False)), allowMissingColumns=True)
+        .withColumn("event_order", F.col("event.event_order"))
+    )
+    over = "over (partition by {} order by `{}`, is_event, event_order)".format(
+        ", ".join(f"`{c}`" for c in cell), us
+    )
+    picked = rows.select(
+        "*", *[F.expr(f"lag(event, {i + 1}) ignore nulls {over}").alias(f"last_{i}") for i in range(k)]
+    )
+    return picked.filter(~F.col("is_event")).select(
+        *queries.columns, *[f"last_{i}" for i in range(k)]
+    )
+
 
+def _carried_events(
+    happened: DataFrame, asked: DataFrame, keys: Sequence[str], cell: Sequence[str], k: int, us: str
+) -> DataFrame:
+    """For every cell with queries, the ``k`` latest events of the cells before it."""
     newest = Window.partitionBy(*cell).orderBy(F.desc("event.us"), F.desc("event.event_order"))
     tails = (
         happened.withColumn("nth", F.row_number().over(newest))
@@ -179,25 +209,10 @@ def last_rows_before(
     before = Window.partitionBy(*keys).orderBy("cell", F.col("wanted").desc()).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    carried = (
+    return (
         state.unionByName(wanted, allowMissingColumns=True)
         .withColumn("state", F.when(F.col("wanted"), F.last("state", ignorenulls=True).over(before)))
         .filter("wanted")
         .select(*cell, F.explode("state").alias("event"))
         .withColumn(us, F.col("event.us"))
     )
-    rows = (
-        happened.unionByName(carried)
-        .withColumn("is_event", F.lit(True))
-        .unionByName(asked.withColumn("is_event", F.lit(False)), allowMissingColumns=True)
-        .withColumn("event_order", F.col("event.event_order"))
-    )
-    over = "over (partition by {} order by `{}`, is_event, event_order)".format(
-        ", ".join(f"`{c}`" for c in cell), us
-    )
-    picked = rows.select(
-        "*", *[F.expr(f"lag(event, {i + 1}) ignore nulls {over}").alias(f"last_{i}") for i in range(k)]
-    )
-    return picked.filter(~F.col("is_event")).select(
-        *queries.columns, *[f"last_{i}" for i in range(k)]
-    )

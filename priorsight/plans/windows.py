@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorsight.plans.lineage import cut
-from priorsight.plans.timegrid import DAY_US, INSTANT, measure_widths, running_totals, with_lane
+from priorsight.plans.timegrid import DAY_US, has_instants, measure_widths, running_totals, with_lane
 
 
 def window_totals(
@@ -23,8 +23,8 @@ def window_totals(
     measures: Mapping[str, Column],
     days: Sequence[int],
     widths: Sequence[int] | None = None,
-    start: str = "us",
-    since: str = "us",
+    start: str | None = None,
+    since: str | None = None,
     us: str = "us",
 ) -> DataFrame:
     """Queries with ``<measure>_<d>``: the measure summed over the events in the window.
@@ -32,14 +32,19 @@ def window_totals(
     An event counts for a query of the same key at time t when ``start < t``
     and ``t - since < d`` days.  For plain events both are the event time; an
     event that spans two times gives the later one as ``start`` and the earlier
-    one as ``since``.  Measures must be non-null integers or decimals.
+    one as ``since``.  Measures must be non-null integers or decimals, and no
+    two query rows may be equal.
     """
+    if start is None and since is None:
+        return _totals_between(events, queries, keys, measures, days, widths, us)
+    start, since = start or us, since or us
     events = events.dropna(subset=list(keys))
-    widths = widths or measure_widths([events.withColumn(us, F.col(start)), queries], keys, us)
+    if widths is None:
+        widths = measure_widths([events.withColumn(us, F.col(start)), queries], keys, us)
     steps = ", ".join(
         [f"struct(`{start}` as us, 0 as d)", *[f"struct(`{since}` + {d * DAY_US - 1}L as us, {d} as d)" for d in days]]
     )
-    lane = ["lane"] if widths[0] == INSTANT else []
+    lane = ["lane"] if has_instants(widths) else []
     swept = with_lane(events, widths, *events.columns).select(
         *keys, start, since, *lane, *[m.alias(name) for name, m in measures.items()], F.expr(f"explode(array({steps})) as step")
     )
@@ -57,6 +62,54 @@ def window_totals(
     return _swept(deltas, queries, zeros, keys, sums, widths, us)
 
 
+def _totals_between(
+    events: DataFrame,
+    queries: DataFrame,
+    keys: Sequence[str],
+    measures: Mapping[str, Column],
+    days: Sequence[int],
+    widths: Sequence[int] | None,
+    us: str,
+) -> DataFrame:
+    """Plain events: the total before the query minus the total up to the start of the window.
+
+    Each event is one row and each query one row per window border, which is
+    less than an entry and an exit per event and window.
+    """
+    events = events.dropna(subset=list(keys))
+    if widths is None:
+        widths = measure_widths([events, queries], keys, us)
+    lane = ["lane"] if has_instants(widths) else []
+    deltas = with_lane(events, widths, *events.columns).select(
+        *keys, us, F.lit(1).alias("side"), *lane, *[m.alias(name) for name, m in measures.items()]
+    )
+    schema = deltas.schema
+    zeros = [f"cast(0 as {schema[name].dataType.simpleString()}) as `{name}`" for name in measures]
+    borders = ", ".join(
+        [f"struct(`{us}` as at, 0 as side, 0 as d)", *[f"struct(`{us}` - {d * DAY_US}L as at, 2 as side, {d} as d)" for d in days]]
+    )
+    own = [f"`{c}` as `q_{c}`" for c in queries.columns]
+    asked = (
+        with_lane(queries, widths, *queries.columns)
+        .selectExpr(*[f"`{k}`" for k in keys], *lane, *own, f"explode(array({borders})) as border")
+        .selectExpr(
+            *[f"`{k}`" for k in keys], *lane, *[f"`q_{c}`" for c in queries.columns],
+            f"border.at as `{us}`", "border.side as side", "border.d as d", *zeros,
+        )
+    )
+    rows = asked.unionByName(deltas, allowMissingColumns=True)
+    totals = running_totals(rows, keys, list(measures), widths, us, ("side",)).filter("side <> 1")
+    kinds = {name: schema[name].dataType.simpleString() for name in measures}
+    differences = [
+        F.expr(
+            f"cast(sum(case when d = 0 then `run_{name}` when d = {d} then -`run_{name}` end) as {kinds[name]})"
+        ).alias(f"{name}_{d}")
+        for d in days
+        for name in measures
+    ]
+    return totals.groupBy(*[F.col(f"q_{c}").alias(c) for c in queries.columns]).agg(*differences)
+
+
 def totals_before(
     events: DataFrame,
     queries: DataFrame,
@@ -67,8 +120,9 @@ def totals_before(
 ) -> DataFrame:
     """Queries with each measure summed over all events of the key strictly before."""
     events = events.dropna(subset=list(keys))
-    widths = widths or measure_widths([events, queries], keys, us)
-    lane = ["lane"] if widths[0] == INSTANT else []
+    if widths is None:
+        widths = measure_widths([events, queries], keys, us)
+    lane = ["lane"] if has_instants(widths) else []
     deltas = with_lane(events, widths, *events.columns).select(
         *keys, us, F.lit(1).alias("is_event"), *lane, *[m.alias(name) for name, m in measures.items()]
     )
@@ -118,7 +172,7 @@ def window_order_statistics(
     digits = [f"at_{i}" for i in range(base)]
 
     alive = F.col(since) + F.col("d") * DAY_US - 1
-    lane = ["lane"] if widths[0] == INSTANT else []
+    lane = ["lane"] if has_instants(widths) else []
     deltas = (
         with_lane(events, widths, *events.columns).withColumn("d", F.explode(F.array(*[F.lit(d) for d in days])))
         .filter(alive > F.col(start))
