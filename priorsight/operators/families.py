@@ -108,6 +108,7 @@ def value_statistics(
     ``rowkey`` and ``{n,mean,max,min,med,std}_<d>``; all but ``n`` are null for
     an empty window, and ``std`` also for a single value.
     """
+    events = events.dropna(subset=[key])
     if widths is None:
         widths = measure_widths([events.withColumn("us", F.col(since)), queries], [key])
     sizes = events.select(key).unionAll(queries.select(key)).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
