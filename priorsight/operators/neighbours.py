@@ -22,6 +22,8 @@ from priorsight.plans.lineage import cut
 MAX_PIVOTS = 256
 BLOCK_ROWS = 20_000
 SLACK = 1e-9
+CHUNK_NUMBERS = 2_000_000
+_FOUND = {"query": "int64", "neighbour": "int64", "distance": "float64"}
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -30,16 +32,25 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def _search_block(k: int):
     def search(base: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": [], "neighbour": [], "distance": []})
-        if base.empty or asked.empty:
-            return empty.astype({"query": "int64", "neighbour": "int64", "distance": "float64"})
-        base = base.sort_values("key", kind="stable")
-        matrix, keys = _matrix(base["vector"]), base["key"].to_numpy()
-        found = []
-        for query, vector in zip(asked["query"], asked["vector"]):
-            distance = np.sqrt(((matrix - np.asarray(vector, dtype=np.float64)) ** 2).sum(axis=1))
-            best = np.argsort(distance, kind="stable")[:k]
-            found.append(pd.DataFrame({"query": query, "neighbour": keys[best], "distance": distance[best]}))
+        found = [pd.DataFrame({"query": [], "neighbour": [], "distance": []}).astype(_FOUND)]
+        if not base.empty and not asked.empty:
+            base = base.sort_values("key", kind="stable")
+            matrix, keys = _matrix(base["vector"]), base["key"].to_numpy()
+            vectors, queries = _matrix(asked["vector"]), asked["query"].to_numpy()
+            step = max(1, CHUNK_NUMBERS // matrix.size)
+            for at in range(0, len(queries), step):
+                apart = vectors[at : at + step, None, :] - matrix[None, :, :]
+                distance = np.sqrt((apart * apart).sum(axis=2))
+                best = np.argsort(distance, axis=1, kind="stable")[:, :k]
+                found.append(
+                    pd.DataFrame(
+                        {
+                            "query": np.repeat(queries[at : at + step], best.shape[1]),
+                            "neighbour": keys[best].ravel(),
+                            "distance": np.take_along_axis(distance, best, axis=1).ravel(),
+                        }
+                    )
+                )
         return pd.concat(found, ignore_index=True)
 
     return search

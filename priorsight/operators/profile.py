@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,10 +180,8 @@ def not_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def column_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column its type and its number of distinct non-null values."""
     types = dict(df.dtypes)
-    long = reduce(
-        DataFrame.unionByName,
-        [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")).distinct() for c in columns],
-    )
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns]))
+    long = df.select(pairs.alias("p")).select("p.*").distinct()
     counted = long.groupBy("column").agg(F.count("v").alias("distinct_values"))
-    pairs = [x for c in columns for x in (F.lit(c), F.lit(types[c]))]
-    return counted.withColumn("type", F.create_map(*pairs)[F.col("column")])
+    named = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(types[c]))])
+    return counted.withColumn("type", named[F.col("column")])
