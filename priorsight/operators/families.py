@@ -14,7 +14,7 @@ from priorsight.plans.windows import window_order_statistics, window_totals
 
 # Keys with more events than this get their window medians by distributed
 # digit search; the frames of smaller keys fit a task many times over.
-FRAME_ROWS = 5_000
+FRAME_ROWS = 2_000
 
 
 def _flag(condition: Column) -> Column:
