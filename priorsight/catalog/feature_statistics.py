@@ -124,7 +124,7 @@ def box_cox(spark, sf):
 @query(
     "H8_normalised_columns",
     "select c_custkey, round((c_acctbal - avg(c_acctbal) over ()) / stddev_samp(c_acctbal) over (), 6) as z, "
-    "round(c_acctbal / sqrt(sum(c_acctbal * c_acctbal) over ()), 6) as unit, sign(c_acctbal) as row_unit from customer",
+    "round(c_acctbal / sqrt(sum(c_acctbal * c_acctbal) over ()), 6) as unit, cast(sign(c_acctbal) as double) as row_unit from customer",
 )
 def normalised_columns(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey", *[F.col("c_acctbal").alias(n) for n in ("z", "unit", "row_unit")])

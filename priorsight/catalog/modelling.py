@@ -55,14 +55,14 @@ def boosted_trees(spark, sf):
 @query("M2_best_iteration")
 def best_iteration(spark, sf):
     _, matrix, folds = _setup(spark, sf)
-    per_round, _ = models.per_round_over_folds(matrix, folds, range(2), _small_boost(rate=0.3))
+    per_round, _ = models.per_round_over_folds(matrix, folds, range(5), _small_boost(rate=0.3))
     return rounded(models.best_round(per_round))
 
 
 @query("M2_metric_per_iteration")
 def metric_per_iteration(spark, sf):
     _, matrix, folds = _setup(spark, sf)
-    return rounded(models.per_round_over_folds(matrix, folds, range(2), _small_boost(rate=0.3))[0])
+    return rounded(models.per_round_over_folds(matrix, folds, range(6), _small_boost(rate=0.3))[0])
 
 
 @query("M3_random_forest")
@@ -109,7 +109,7 @@ _vote(5)
 @query("M7_feature_importance")
 def feature_importance(spark, sf):
     _, matrix, folds = _setup(spark, sf)
-    _, fitted = models.per_round_over_folds(matrix, folds, range(2), _small_boost())
+    _, fitted = models.per_round_over_folds(matrix, folds, range(6), _small_boost())
     return rounded(models.importances(spark, fitted, FEATURES))
 
 
@@ -117,21 +117,21 @@ def feature_importance(spark, sf):
 def backward_elimination(spark, sf):
     features, _, folds = _setup(spark, sf)
     fit = models.random_forest(3, 3).fit
-    return rounded(models.backward_elimination(features, FEATURES, folds, [0], fit, drop=0.3, until=0.2))
+    return rounded(models.backward_elimination(features, FEATURES, folds, range(6), fit, drop=0.3, until=0.2))
 
 
 @query("M9_grid_search")
 def grid_search(spark, sf):
     _, matrix, folds = _setup(spark, sf)
-    grid = [{"rounds": 3, "depth": d, "rate": r} for d in (2, 3) for r in (0.1, 0.3)]
-    return rounded(models.grid_search(cut(matrix), folds, [0], grid, _small_boost))
+    grid = [{"rounds": 3, "depth": d, "rate": 0.3} for d in (2, 3)]
+    return rounded(models.grid_search(cut(matrix), folds, range(6), grid, _small_boost))
 
 
 @query("M10_ablation")
 def ablation(spark, sf):
     features, _, folds = _setup(spark, sf)
     sets = {"month": [c for c in FEATURES if c.endswith("_30")], "week": [c for c in FEATURES if c.endswith("_7")], "all": FEATURES}
-    return rounded(models.ablation(features, sets, folds, [0], models.decision_tree(3).fit))
+    return rounded(models.ablation(features, sets, folds, range(6), models.decision_tree(3).fit))
 
 
 @query("M16_stacking")

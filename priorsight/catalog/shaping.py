@@ -165,7 +165,7 @@ def _gappy(spark, sf):
     return asked.select("rowkey", "period", F.when(F.col("amount") > 10, F.col("amount")).alias("amount")).join(kept, "rowkey")
 
 
-@query("B7_fill_and_clamp", _GAPPY + "select rowkey, coalesce(amount, -10) as amount, coalesce(case when longest < 0 then -1 else longest end, -10) as longest from g")
+@query("B7_fill_and_clamp", _GAPPY + "select rowkey, coalesce(amount, -10) as amount, cast(coalesce(case when longest < 0 then -1 else longest end, -10) as double) as longest from g")
 def fill_and_clamp(spark, sf):
     gappy = _gappy(spark, sf).withColumn("longest", S.clamp_negative(F.col("longest")))
     return gappy.fillna(S.MISSING, ["amount", "longest"]).drop("period")

@@ -74,7 +74,7 @@ def undersampled(spark, sf):
 
 @query(
     "S6_class_weights",
-    f"with {LOGS}, c as (select count(*) as n, sum(is_risk) as p from t) select rowkey, case when is_risk = 1 then 10.0 else 1.0 end as fixed, "
+    f"with {LOGS}, c as (select count(*) as n, sum(is_risk) as p from t) select rowkey, cast(case when is_risk = 1 then 10 else 1 end as double) as fixed, "
     "round(case when is_risk = 1 then n / (2 * p) else n / (2 * (n - p)) end, 6) as balanced from t, c",
 )
 def class_weights(spark, sf):

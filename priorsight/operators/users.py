@@ -27,9 +27,9 @@ def spread(column: str, which: Sequence[str] = ("Mean", "min", "max", "var", "st
     return [functions[w](column).alias(f"{column}_{w}") for w in which]
 
 
-def other_results(result: Column = F.col("result")) -> Column:
+def other_results(result: str = "result") -> Column:
     """How many logins did not end with code 1."""
-    return F.count_if(result != 1).alias("result_no1_Counts")
+    return F.count_if(F.col(result) != 1).alias("result_no1_Counts")
 
 
 def user_table(

@@ -44,6 +44,14 @@ def sort_rows(rows, columns):
     return sorted((tuple(normal(r[i]) for i in order) for r in rows), key=repr)
 
 
+def kind(name: str) -> str:
+    """Integer, float, or the name of any other type, for both engines."""
+    name = name.lower().split("(")[0]
+    if name in ("tinyint", "smallint", "int", "integer", "bigint"):
+        return "integer"
+    return {"float": "double", "varchar": "string", "timestamp_ntz": "timestamp"}.get(name, name)
+
+
 def compare(spark, con, name, function, sql, sf) -> tuple[bool, str]:
     started = time.time()
     df = function(spark, sf)
@@ -56,6 +64,11 @@ def compare(spark, con, name, function, sql, sf) -> tuple[bool, str]:
     want = result.fetchall()
     if sorted(columns) != sorted(df.columns):
         return False, f"columns differ: {sorted(set(columns) ^ set(df.columns))}"
+    ours = {n: kind(t) for n, t in df.dtypes}
+    theirs = {r[0]: kind(r[1]) for r in con.execute("describe " + sql).fetchall()}
+    apart = [(n, ours[n], theirs[n]) for n in ours if ours[n] != theirs[n] and "array" not in ours[n]]
+    if apart:
+        return False, f"types differ: {apart[:8]}"
     a, b = sort_rows(got, df.columns), sort_rows(want, columns)
     if a != b:
         names = sorted(columns)
