@@ -49,8 +49,11 @@ def quantiles(df: DataFrame, column: str, qs: Mapping[str, float], by: Sequence[
     by = list(by)
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("x")).agg(n_rows().alias("n"))
     ordered = with_global_order(counts, [*by, "x"], ["n"])
-    groups = ordered.groupBy(*by).agg(F.sum("n").alias("size"), F.min(F.col("run_n") - F.col("n")).alias("before"))
-    joined = ordered.join(groups, by) if by else attach_row(ordered, groups)
+    if by:
+        groups = ordered.groupBy(*by).agg(F.sum("n").alias("size"), F.min(F.col("run_n") - F.col("n")).alias("before"))
+        joined = ordered.join(groups, by)
+    else:
+        joined = ordered.withColumns({"size": F.col("all_n"), "before": F.lit(0)})
     first = F.col("run_n") - F.col("n") - F.col("before")
     last = F.col("run_n") - F.col("before") - 1
     picks = []
