@@ -9,7 +9,7 @@ from priorsight.llm import registry
 
 
 def load_all() -> None:
-    from priorsight.llm import mixing, url_filters  # noqa: F401
+    from priorsight.llm import mixing, substring_dedup, url_filters  # noqa: F401
 
 
 def queries() -> dict:
