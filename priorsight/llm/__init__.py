@@ -9,7 +9,7 @@ from priorsight.llm import registry
 
 
 def load_all() -> None:
-    from priorsight.llm import mixing, near_dedup, quality, substring_dedup, url_filters  # noqa: F401
+    from priorsight.llm import language_id, mixing, near_dedup, quality, substring_dedup, url_filters  # noqa: F401
 
 
 def queries() -> dict:
