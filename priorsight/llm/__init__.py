@@ -9,7 +9,7 @@ from priorsight.llm import registry
 
 
 def load_all() -> None:
-    from priorsight.llm import language_id, license_scan, mixing, near_dedup, quality, sentence_pieces, substring_dedup, url_filters  # noqa: F401
+    from priorsight.llm import language_id, license_scan, mixing, near_dedup, nearest_blocks, pivot_search, quality, sentence_pieces, substring_dedup, url_filters  # noqa: F401
 
 
 def queries() -> dict:
