@@ -115,13 +115,12 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
         F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"), F.expr(position_sql(share, schedules)).alias("due"),
         F.least(F.col("taken") - F.col("reading") * F.col("size"), F.col("size")).alias("keep"), F.col("size").alias("whole"), "reading",
     )
-    keyed = docs.withColumn("row_text", F.xxhash64("source", "text")).dropDuplicates(["doc_id", "row_text"])
-    met = keyed.join(reads, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("row_text") == F.col("of_text")))
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.greatest("keep", F.lit(1)).cast("int"))
-    met = met.withColumn("text", F.when(F.col("keep") < F.col("whole"), F.array_join(words, " ")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return met.orderBy("due", "reading", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("in_doc"), F.xxhash64("source", "text").alias("in_text"))
+    met = keyed.dropDuplicates(["in_doc", "in_text"]).join(reads, F.col("in_doc").eqNullSafe(F.col("of_doc")) & (F.col("in_text") == F.col("of_text")))
+    words = F.slice(F.regexp_extract_all("row.text", F.lit(WORD), 0), F.lit(1), F.greatest("keep", F.lit(1)).cast("int"))
+    met = met.withColumn("read", F.when(F.col("keep") < F.col("whole"), F.array_join(words, " ")).otherwise(F.col("row.text")))
+    changed = {"text": F.col("read"), "n_chars": F.length("read").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("read")}
+    return met.orderBy("due", "reading", "of_doc").select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _sql() -> str:

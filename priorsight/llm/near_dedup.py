@@ -229,16 +229,21 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id, and every text without words."""
-    found = near_duplicates(docs, words, percent).filter("kept")
-    blank = found.filter("n_shingles = 0").select("doc_id", "text_key").distinct()
-    stays = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("s")).select("s.*")
-    stays = stays.union(blank).select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    met = docs.withColumn("row_text", F.xxhash64("text")).join(stays, F.col("doc_id").eqNullSafe(F.col("of_doc")) & F.col("row_text").eqNullSafe(F.col("of_text")))
-    once = met.filter(F.length(F.trim("text")) > 0)
-    rows = once.select(*own)
-    return rows.union(met.filter(F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0).select(*own))
+    """The rows of ``docs`` that stay: of each component one, that with the smallest id, and every text without words.
+
+    Of repeated rows one stays; the columns are those of ``docs``.
+    """
+    found = cut(near_duplicates(docs, words, percent))
+    worded = found.filter("kept and n_shingles > 0")
+    stays = worded.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("s"), F.count(F.lit(1)).alias("rows"))
+    stays = stays.select("s.doc_id", "s.text_key", (F.col("rows") > 1).alias("repeated")).union(found.filter("n_shingles = 0").select("doc_id", "text_key", F.lit(False)).distinct())
+    stays = stays.toDF("of_doc", "of_text", "repeated")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("in_doc"), F.xxhash64("text").alias("in_text"))
+    met = rows.join(stays, F.col("in_doc").eqNullSafe(F.col("of_doc")) & F.col("in_text").eqNullSafe(F.col("of_text")))
+    if not stays.filter("repeated").isEmpty():
+        alone = F.when(F.col("repeated"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+        met = met.withColumn("alone", alone).dropDuplicates(["in_doc", "in_text", "alone"])
+    return met.select("row.*")
 
 
 @query("op6_near_dedup")
