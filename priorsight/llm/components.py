@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorsight.plans.lineage import cut
+from priorsight.plans.lineage import checkpoint_dir
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from a table written to the shared folder.
+
+    For loops: a checkpoint keeps the size estimates of the plan it cuts, which multiply with every join of a loop.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/steps-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """``id, to``: every id points to its smallest neighbour or itself, and pointers are followed to their ends, doubling their length."""
+    tree = written(edges.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("to")))
+    while True:
+        further = tree.select(F.col("id").alias("to"), F.col("to").alias("last"))
+        tree = written(tree.select("id", "to").join(further, "to").select("id", F.col("last").alias("to"), (F.col("last") != F.col("to")).alias("moved")))
+        if tree.filter("moved").isEmpty():
+            return tree.select("id", "to")
 
 
 def components(links: DataFrame) -> DataFrame:
     """``id, root`` for every end of ``links`` (``a, b``): the smallest id that can be reached.
 
-    In each round an id points to its smallest neighbour, pointers are followed one step further, and the links
-    are rewritten between what the ids point to; links within one target disappear.  Every round merges each id that is
-    not a local minimum, so the links run out after a logarithmic number of rounds.  Nothing is collected.
+    In each round, every id that is not the smallest among its neighbours moves to the end of its chain of smallest neighbours, and the links are
+    rewritten between those ends; links within one end disappear.  At least half of the ids that still have links move in a round, and
+    chains are followed by doubling, so rounds and steps stay logarithmic.  Nothing is collected.
     """
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
+    edges = written(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
     labels = None
     while True:
-        near = edges.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("to"))
-        further = near.select(F.col("id").alias("to"), F.col("to").alias("last"))
-        step = cut(near.join(further, "to", "left").select("id", F.coalesce("last", "to").alias("to")))
+        roots = _roots(edges)
         if labels is None:
-            labels = step.select("id", F.col("to").alias("root"))
+            labels = roots.select("id", F.col("to").alias("root"))
         else:
-            moved = step.select(F.col("id").alias("root"), "to")
-            labels = cut(labels.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
-        a, b = step.select(F.col("id").alias("a"), F.col("to").alias("na")), step.select(F.col("id").alias("b"), F.col("to").alias("nb"))
-        edges = cut(edges.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).filter("a <> b").distinct())
+            moved = roots.select(F.col("id").alias("root"), "to")
+            labels = written(labels.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+        a, b = roots.select(F.col("id").alias("a"), F.col("to").alias("na")), roots.select(F.col("id").alias("b"), F.col("to").alias("nb"))
+        edges = written(edges.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).filter("a <> b").distinct())
         if edges.isEmpty():
             return labels
