@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from priorsight.llm.registry import query, table
 from priorsight.llm.wordhash import pieces
+from priorsight.plans.lineage import cut
 
 #: Bytes in a window.
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
 #: Documents to learn from, about, of each language; and passages of each, of so many characters.
 SAMPLE, PASSAGES, PASSAGE = 600, 4, 300
+BROADCAST_LANGUAGES = 1_000
 STEPS, BATCH, RATE = 700, 64, 0.01
 UNKNOWN = "und"
 
@@ -182,8 +184,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> ByteNetw
     what reaches the driver is bounded by the number of languages.
     """
     named = docs.filter("lang is not null and doc_id is not null").filter(F.regexp_like("text", F.lit(r"\p{L}")))
-    counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    drawn = named.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) * F.col("n") < sample * (1 << 20))
+    counts = cut(named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    # One row a language; few enough to broadcast, so that no text is shuffled by language.
+    small = F.broadcast if counts.count() <= BROADCAST_LANGUAGES else (lambda df: df)
+    drawn = named.join(small(counts), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) * F.col("n") < sample * (1 << 20))
     at = F.pmod(F.xxhash64("doc_id", "i"), F.greatest(F.length("text") - PASSAGE, F.lit(0)) + 1).cast("int") + 1
     parts = drawn.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(PASSAGES)))).select("lang", "doc_id", "i", F.substring("text", at, F.lit(PASSAGE)).alias("part"))
     rows = sorted((r.lang, r.doc_id, r.i, r.part) for r in parts.collect())
