@@ -142,11 +142,11 @@ def _spread_sql(value: str, d: int, name: str, more: str = "") -> str:
 @query(
     "E2_duration_statistics",
     f"with {LOGS}, {_LOGIN_PAIRS} select rowkey, "
-    + _columns(*[_spread_sql("ln(timelong + 1)", d, "timelong") for d in VALUE_DAYS])
+    + _columns(*[_spread_sql("ln(timelong + 1)", d, "timelong") for d in DAYS])
     + " from j group by rowkey",
 )
 def duration_statistics(spark, sf):
-    return rounded(families.duration_statistics(logins(spark, sf), trades(spark, sf), VALUE_DAYS))
+    return rounded(families.duration_statistics(logins(spark, sf), trades(spark, sf), DAYS))
 
 
 _FOLLOWED = (
@@ -179,21 +179,21 @@ def repeated_failures(spark, sf):
         *[
             f"sum(result) filter (where {within(d)}) as codes_{d}, count(*) filter (where {within(d)}) as n_{d}, "
             + _spread_sql("ln((next_us - us) / 1e6 + 1)", d, "x", " and result < 0 and next_us < trade_us")
-            for d in VALUE_DAYS
+            for d in DAYS
         ]
     )
     + " from j group by rowkey) select rowkey, "
     + _columns(
         *[
             f"case when codes_{d} >= 1 and n_{d} >= 2 then x_{s}_{d} end as after_fail_{s}_{d}"
-            for d in VALUE_DAYS
+            for d in DAYS
             for s in ("mean", "max", "min", "med", "std")
         ]
     )
     + " from s",
 )
 def recovery_statistics(spark, sf):
-    return rounded(families.recovery_statistics(logins(spark, sf), trades(spark, sf), VALUE_DAYS))
+    return rounded(families.recovery_statistics(logins(spark, sf), trades(spark, sf), DAYS))
 
 
 def _habit_sql() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,10 +13,14 @@ from priorsight.plans.lineage import cut
 from priorsight.plans.timegrid import DAY_US, measure_widths, running_totals, with_lane
 from priorsight.plans.windows import window_order_statistics, window_totals
 
-# Keys with more events than this get their window medians by distributed
-# digit search; the frames of smaller keys fit a task many times over.
+# Keys with more events than this look up the codes of their windows by distributed
+# digit search; the frames of smaller keys fit a task many times over.  Both find the same codes.
 FRAME_ROWS = 2_000
 
+# Bits of the whole number that the largest value becomes: sums of its squares stay
+# below 38 digits for 10^11 rows, and 2^-45 of the largest value is below any digit compared.
+VALUE_BITS = 44
+
 
 def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("long")
@@ -107,125 +112,94 @@ def value_statistics(
     ``code`` is a non-negative long and ``value`` rises with it.  Returns
     ``rowkey`` and ``{n,mean,max,min,med,std}_<d>``; all but ``n`` are null for
     an empty window, and ``std`` also for a single value.
+
+    Counts, means and deviations come from exact sums of whole numbers, whatever the size of a key: values
+    are scaled so that the largest has VALUE_BITS bits.  The codes at a position are looked up in frames or by
+    digit search; both find the same code.
     """
     events = events.dropna(subset=[key])
     if widths is None:
         widths = measure_widths([events.withColumn("us", F.col(since)), queries], [key])
-    sizes = events.select(key).unionAll(queries.select(key)).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    large = sizes.filter(F.col("rows") > frame_rows).select(key)
-    if large.isEmpty():
-        return _framed_statistics(events, queries, days, value, key, code, start, since)
-    large = cut(large)
-    small_part = _framed_statistics(
-        events.join(large, key, "left_anti"), queries.join(large, key, "left_anti"),
-        days, value, key, code, start, since,
-    )
-    large_part = _searched_statistics(
-        events.join(large, key, "left_semi"), queries.join(large, key, "left_semi"),
-        days, value, key, code, start, since, widths,
-    )
-    return small_part.unionByName(large_part)
+    asked = queries.select("rowkey", key, "us")
+    ends = events.agg(F.max(F.abs(value(F.col(code)))).alias("m")).first()["m"]
+    scale = 2.0 ** (VALUE_BITS - math.frexp(float(ends or 1.0))[1])
+    whole = F.round(value(F.col(code)) * F.lit(scale)).cast("decimal(38,0)")
+    measures = {"n": F.lit(1).cast("long"), "sum1": whole, "sum2": (whole * whole).cast("decimal(38,0)")}
+    totals = cut(window_totals(events, asked, [key], measures, days, widths, start, since))
+    codes = _window_codes(events, totals, days, key, code, start, since, widths, frame_rows)
+    joined = totals.drop(key, "us").join(codes, "rowkey", "left")
+    out = []
+    for d in days:
+        n, sum1, sum2 = F.col(f"n_{d}"), F.col(f"sum1_{d}"), F.col(f"sum2_{d}")
+        some = n > 0
+        # Around the whole part of the mean, so that squares of near values do not cancel; equal values leave nothing.
+        middle = F.when(some, F.expr(f"cast(sum1_{d} div n_{d} as decimal(20,0))"))
+        rest = (sum1 - middle * n).cast("decimal(38,0)")
+        apart = (sum2 - (middle * 2 * sum1).cast("decimal(38,0)") + (middle * middle * n).cast("decimal(38,0)")).cast("double")
+        part = rest.cast("double") / n
+        spread = F.greatest(apart / n - part * part, F.lit(0.0))
+        at = {p: value(F.col(f"{p}_code_{d}")) for p in ("max", "min", "lower", "upper")}
+        out += [
+            n,
+            F.when(some, (middle.cast("double") + part) / scale).alias(f"mean_{d}"),
+            F.when(some, at["max"]).alias(f"max_{d}"),
+            F.when(some, at["min"]).alias(f"min_{d}"),
+            F.when(some, (at["lower"] + at["upper"]) / 2).alias(f"med_{d}"),
+            F.when(n > 1, F.sqrt(spread) / scale).alias(f"std_{d}"),
+        ]
+    return joined.select("rowkey", *out)
+
 
+_PLACES = ("max", "min", "lower", "upper")
 
-def _statistic_names(d: int) -> list[str]:
-    return [f"{s}_{d}" for s in ("n", "mean", "max", "min", "med", "std")]
+
+def _window_codes(events, totals, days, key, code, start, since, widths, frame_rows) -> DataFrame:
+    """``rowkey`` and ``{max,min,lower,upper}_code_<d>`` of the queries whose windows hold anything."""
+    found = totals.filter(" or ".join(f"n_{d} > 0" for d in days))
+    sizes = events.select(key).unionAll(found.select(key)).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    large = cut(sizes.filter(F.col("rows") > frame_rows).select(key))
+    if large.isEmpty():
+        return _framed_codes(events, found, days, key, code, start, since)
+    small_part = _framed_codes(events.join(large, key, "left_anti"), found.join(large, key, "left_anti"), days, key, code, start, since)
+    large_part = _searched_codes(events.join(large, key, "left_semi"), found.join(large, key, "left_semi"), days, key, code, start, since, widths)
+    return small_part.unionByName(large_part)
 
 
-def _framed_statistics(events, queries, days, value, key, code, start, since) -> DataFrame:
+def _framed_codes(events, found, days, key, code, start, since) -> DataFrame:
     item = F.struct(F.col(start).alias("start"), F.col(code).cast("long").alias("code"))
     rows = events.select(key, F.col(since).alias("us"), item.alias("item"), F.lit(True).alias("is_event")).unionByName(
-        queries.select("rowkey", key, "us", F.lit(False).alias("is_event")), allowMissingColumns=True
+        found.select("rowkey", key, "us", F.lit(False).alias("is_event")), allowMissingColumns=True
     )
-    frames = {
-        d: Window.partitionBy(key).orderBy("us").rangeBetween(-(d * DAY_US - 1), -1) for d in days
-    }
-    seen = rows.select(
-        "rowkey", "us", "is_event", *[F.collect_list("item").over(w).alias(f"seen_{d}") for d, w in frames.items()]
-    ).filter(~F.col("is_event"))
-
-    codes = seen.select(
-        "rowkey",
-        *[
-            F.array_sort(
-                F.transform(F.filter(f"seen_{d}", lambda x: x["start"] < F.col("us")), lambda x: x["code"])
-            ).alias(f"codes_{d}")
-            for d in days
-        ],
-    )
-    out = codes
+    frames = {d: Window.partitionBy(key).orderBy("us").rangeBetween(-(d * DAY_US - 1), -1) for d in days}
+    seen = rows.select("rowkey", "us", "is_event", *[F.collect_list("item").over(w).alias(f"seen_{d}") for d, w in frames.items()]).filter(~F.col("is_event"))
+    inside = {d: F.filter(f"seen_{d}", lambda x: x["start"] < F.col("us")) for d in days}
+    codes = seen.select("rowkey", *[F.array_sort(F.transform(inside[d], lambda x: x["code"])).alias(f"codes_{d}") for d in days])
+    out = ["rowkey"]
     for d in days:
         c = F.col(f"codes_{d}")
         n = F.size(c)
-        at = lambda i: value(F.get(c, i))
-        out = out.withColumns(
-            {
-                f"n_{d}": n.cast("long"),
-                f"mean_{d}": F.try_divide(F.aggregate(c, F.lit(0.0), lambda a, x: a + value(x)), n),
-                f"max_{d}": at(n - 1),
-                f"min_{d}": at(F.lit(0)),
-                f"med_{d}": (at(F.floor((n - 1) / 2).cast("int")) + at(F.floor(n / 2).cast("int"))) / 2,
-            }
-        )
-    for d in days:
-        c = F.col(f"codes_{d}")
-        mean = F.col(f"mean_{d}")
-        spread = F.aggregate(c, F.lit(0.0), lambda a, x: a + (value(x) - mean) * (value(x) - mean))
-        out = out.withColumn(f"std_{d}", F.when(F.col(f"n_{d}") > 1, F.sqrt(spread / F.col(f"n_{d}"))))
-    return out.select("rowkey", *[c for d in days for c in _statistic_names(d)])
+        place = {"max": n - 1, "min": F.lit(0), "lower": F.floor((n - 1) / 2).cast("int"), "upper": F.floor(n / 2).cast("int")}
+        out += [F.when(n > 0, F.get(c, place[p])).alias(f"{p}_code_{d}") for p in _PLACES]
+    return codes.select(*out)
 
 
-def _searched_statistics(events, queries, days, value, key, code, start, since, widths) -> DataFrame:
-    x = value(F.col(code)).cast("decimal(20,8)")
-    measures = {
-        "n": F.lit(1).cast("long"),
-        "sum1": x.cast("decimal(38,8)"),
-        "sum2": (x * x).cast("decimal(38,16)"),
-    }
-    totals = cut(
-        window_totals(events, queries.select("rowkey", key, "us"), [key], measures, days, widths, start, since)
-    )
+def _searched_codes(events, found, days, key, code, start, since, widths) -> DataFrame:
     places = F.explode(
         F.array(
             *[
                 F.struct(F.lit(d).alias("d"), F.lit(p).alias("place"), pos.cast("long").alias("pos"))
                 for d in days
                 for n in [F.col(f"n_{d}")]
-                for p, pos in (
-                    ("max", n - 1), ("min", n * 0), ("lower", F.floor((n - 1) / 2)), ("upper", F.floor(n / 2)),
-                )
+                for p, pos in (("max", n - 1), ("min", F.when(n > 0, 0).otherwise(-1)), ("lower", F.floor((n - 1) / 2)), ("upper", F.when(n > 0, F.floor(n / 2)).otherwise(-1)))
             ]
         )
     )
-    wanted = (
-        totals.select("rowkey", key, "us", places.alias("w"), *[f"n_{d}" for d in days])
-        .select("rowkey", key, "us", "w.*")
-        .filter(F.col("pos") >= 0)
-    )
-    # Empty windows ask for position 0 of nothing; they are dropped with the counts below.
-    found = window_order_statistics(events, wanted, [key], code, days, widths, start, since)
-    picked = found.groupBy("rowkey").agg(
-        *[
-            F.max(F.when((F.col("d") == d) & (F.col("place") == p), F.col("code"))).alias(f"{p}_code_{d}")
-            for d in days
-            for p in ("max", "min", "lower", "upper")
-        ]
+    # Empty windows ask for no position.
+    wanted = found.select("rowkey", key, "us", places.alias("w")).select("rowkey", key, "us", "w.*").filter(F.col("pos") >= 0)
+    picked = window_order_statistics(events, wanted, [key], code, days, widths, start, since)
+    return picked.groupBy("rowkey").agg(
+        *[F.max(F.when((F.col("d") == d) & (F.col("place") == p), F.col("code"))).alias(f"{p}_code_{d}") for d in days for p in _PLACES]
     )
-    joined = totals.join(picked, "rowkey", "left")
-    out = []
-    for d in days:
-        n = F.col(f"n_{d}")
-        some = n > 0
-        mean = F.try_divide(F.col(f"sum1_{d}").cast("double"), n)
-        second = F.try_divide(F.col(f"sum2_{d}").cast("double"), n)
-        out += [
-            n,
-            F.when(some, mean).alias(f"mean_{d}"),
-            F.when(some, value(F.col(f"max_code_{d}"))).alias(f"max_{d}"),
-            F.when(some, value(F.col(f"min_code_{d}"))).alias(f"min_{d}"),
-            F.when(some, (value(F.col(f"lower_code_{d}")) + value(F.col(f"upper_code_{d}"))) / 2).alias(f"med_{d}"),
-            F.when(n > 1, F.sqrt(F.greatest(second - mean * mean, F.lit(0.0)))).alias(f"std_{d}"),
-        ]
-    return joined.select("rowkey", *out)
 
 
 def duration_statistics(
