@@ -39,12 +39,17 @@ def _small_boost(**settings):
     return models.boosted_trees(**{"rounds": 5, "depth": 3, **settings})
 
 
+def _periods(features):
+    """Rows up to the twentieth of the month, to fit on, and later ones, to score."""
+    early = F.dayofmonth("time") <= 20
+    return features.filter(early), features.filter(~early)
+
+
 def _scores(spark, sf, estimator, weight=None, positive=None):
-    features = feature_table(spark, sf)
-    matrix = models.model_matrix(features, FEATURES)
+    early, late = (models.model_matrix(part, FEATURES) for part in _periods(feature_table(spark, sf)))
     if weight:
-        matrix = models.weighted(matrix, positive)
-    return rounded(models.scored(estimator.fit(matrix), matrix))
+        early = models.weighted(early, positive)
+    return rounded(models.scored(estimator.fit(early), late))
 
 
 @query("M1_boosted_trees")
@@ -55,7 +60,7 @@ def boosted_trees(spark, sf):
 @query("M2_best_iteration")
 def best_iteration(spark, sf):
     _, matrix, folds = _setup(spark, sf)
-    per_round, _ = models.per_round_over_folds(matrix, folds, range(5), _small_boost(rate=0.3))
+    per_round, _ = models.per_round_over_folds(matrix, folds, range(6), _small_boost(rate=0.3))
     return rounded(models.best_round(per_round))
 
 
@@ -117,7 +122,7 @@ def feature_importance(spark, sf):
 def backward_elimination(spark, sf):
     features, _, folds = _setup(spark, sf)
     fit = models.random_forest(3, 3).fit
-    return rounded(models.backward_elimination(features, FEATURES, folds, range(6), fit, drop=0.3, until=0.2))
+    return rounded(models.backward_elimination(features, FEATURES, folds, range(6), fit, keep=0.7, until=0.2))
 
 
 @query("M9_grid_search")
@@ -127,6 +132,13 @@ def grid_search(spark, sf):
     return rounded(models.grid_search(cut(matrix), folds, range(6), grid, _small_boost))
 
 
+@query("M9_forest_grid_search")
+def forest_grid_search(spark, sf):
+    _, matrix, folds = _setup(spark, sf)
+    grid = [{"trees": n, "depth": d} for n in (3, 6) for d in (2, 4)]
+    return rounded(models.grid_search(cut(matrix), folds, range(6), grid, models.random_forest))
+
+
 @query("M10_ablation")
 def ablation(spark, sf):
     features, _, folds = _setup(spark, sf)
@@ -136,9 +148,11 @@ def ablation(spark, sf):
 
 @query("M16_stacking")
 def stacking(spark, sf):
-    features = splits.shuffled_folds(feature_table(spark, sf), "rowkey", 3)
-    matrix = cut(models.model_matrix(features, FEATURES).join(features.select("rowkey", "fold"), "rowkey"))
-    estimators = {"tree": models.decision_tree(3), "logistic": models.logistic_regression()}
-    meta = cut(models.out_of_fold(matrix, estimators, k=3))
-    final = models.model_matrix(meta.withColumnRenamed("label", "is_risk"), list(estimators))
-    return rounded(models.scored(models.logistic_regression().fit(final), final))
+    early, late = _periods(feature_table(spark, sf))
+    early = splits.shuffled_folds(early, "rowkey", 5)
+    matrix = cut(models.model_matrix(early, FEATURES).join(early.select("rowkey", "fold"), "rowkey"))
+    estimators = {"tree": models.decision_tree(3), "forest": models.random_forest(3, 3), "logistic": models.logistic_regression(), "linear": models.linear_regression()}
+    meta = cut(models.out_of_fold(matrix, estimators, k=5))
+    unseen = models.meta_features(matrix, models.model_matrix(late, FEATURES), estimators)
+    fitted, scored = (models.model_matrix(m.withColumnRenamed("label", "is_risk"), list(estimators)) for m in (meta, unseen))
+    return rounded(models.scored(models.logistic_regression().fit(fitted), scored))

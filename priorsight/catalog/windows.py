@@ -149,6 +149,16 @@ def duration_statistics(spark, sf):
     return rounded(families.duration_statistics(logins(spark, sf), trades(spark, sf), DAYS))
 
 
+@query(
+    "E5_plain_log_durations",
+    f"with {LOGS}, {_LOGIN_PAIRS} select rowkey, "
+    + _columns(*[_spread_sql("ln(nullif(greatest(timelong, 0), 0))", d, "timelong") for d in DAYS])
+    + " from j group by rowkey",
+)
+def plain_log_durations(spark, sf):
+    return rounded(families.duration_statistics(logins(spark, sf), trades(spark, sf), DAYS, offset=0.0))
+
+
 _FOLLOWED = (
     "f as (select *, lead(us) over (partition by id order by us, log_id) as next_us, "
     "lead(result) over (partition by id order by us, log_id) as next_result from l), "

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +37,8 @@ def quantile_edge_bins(df: DataFrame, column: str, bins: int = 10, name: str = "
 
 
 def chi_square_categories(df: DataFrame, column: str, label: str, key: str) -> DataFrame:
-    """``category`` and ``label``: the values themselves if they are few, else ten equal-count bins."""
+    """``category`` and ``label``: the values themselves if they are few, else ten equal-count bins; null is no category."""
+    df = df.filter(F.col(column).isNotNull())
     few = df.select(column).distinct().limit(FEW_VALUES).count() < FEW_VALUES
     data = df.select(key, F.col(column).alias("x"), F.col(label).alias("label"))
     if few:
@@ -70,16 +70,28 @@ def chi_square(df: DataFrame, column: str, label: str, key: str) -> DataFrame:
     )
 
 
+def chi_square_tail(x: float, degrees: int) -> float:
+    """Probability of a chi-square above ``x``, by the finite sums for whole degrees of freedom."""
+    if degrees < 1 or x <= 0:
+        return 1.0
+    half = x / 2
+    if degrees % 2:
+        tail, term = math.erfc(math.sqrt(half)), math.exp(-half) * math.sqrt(half) / math.gamma(1.5)
+        steps = [(1.5 + i) for i in range((degrees - 1) // 2)]
+    else:
+        tail, term = 0.0, math.exp(-half)
+        steps = [(1.0 + i) for i in range(degrees // 2)]
+    for k in steps:
+        tail += term
+        term *= half / k
+    return tail
+
+
 def chi_square_p_values(df: DataFrame, columns: Sequence[str], label: str, key: str) -> DataFrame:
-    """P-values of the uncorrected test, from MLlib, for the same categories."""
-    out = None
-    for c in columns:
-        rows = chi_square_categories(df, c, label, key)
-        vectors = VectorAssembler(inputCols=["category"], outputCol="features", handleInvalid="skip").transform(rows)
-        tested = ChiSquareTest.test(vectors.withColumn("label", F.col("label").cast("double")), "features", "label", flatten=True)
-        one = tested.select(F.lit(c).alias("feature"), "pValue", "statistic")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """``feature, chi2, degrees, p``: the corrected statistic and its own p-value; one row for each column."""
+    rows = [chi_square(df, c, label, key).first() for c in columns]
+    tested = [(r["feature"], r["chi2"], r["degrees"], chi_square_tail(r["chi2"] or 0.0, r["degrees"] or 0)) for r in rows]
+    return df.sparkSession.createDataFrame(tested, "feature string, chi2 double, degrees long, p double")
 
 
 def normality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -173,14 +185,14 @@ def row_unit_norm(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.signum(column))
 
 
-MAX_CATEGORIES = 1_000
+def one_hot(df: DataFrame, column: str, most: int = 1_000) -> DataFrame:
+    """One 0/1 column for every value that occurs, named ``<column>_<value>``.
 
-
-def one_hot(df: DataFrame, column: str) -> DataFrame:
-    """One 0/1 column for every value that occurs, named ``<column>_<value>``."""
-    seen = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()]
-    if len(seen) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} values; it is no category for one-hot columns")
+    Every value becomes a column of the plan; a caller who wants more than ``most`` of them says so.
+    """
+    seen = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(seen) > most:
+        raise ValueError(f"{column} has more than {most} values; allow more with most=")
     flags = {f"{column}_{v}": F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("int") for v in sorted(seen)}
     return df.withColumns(flags)
 
@@ -190,7 +202,11 @@ def repair_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(False)).cast("int") for c in columns})
 
 
-def _outside(x: Column, lower: float, upper: float) -> Column:
+def _outside(x: Column, middle: tuple[float | None, float | None], reach: float | None) -> Column:
+    """1 more than ``reach`` above the upper, -1 below the lower of ``middle``, else 0; 0 where nothing was fitted."""
+    if reach is None or None in middle:
+        return F.lit(0)
+    lower, upper = middle[0] - reach, middle[1] + reach
     return F.when(x > F.lit(upper), 1).when(x < F.lit(lower), -1).otherwise(0)
 
 
@@ -200,12 +216,8 @@ def three_sigma(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[F.avg(c).alias(f"mean_{i}") for i, c in enumerate(columns)],
         *[F.stddev_samp(c).alias(f"std_{i}") for i, c in enumerate(columns)],
     ).first()
-    return df.withColumns(
-        {
-            f"{c}_3sigma": _outside(F.col(c), stats[f"mean_{i}"] - 3 * stats[f"std_{i}"], stats[f"mean_{i}"] + 3 * stats[f"std_{i}"])
-            for i, c in enumerate(columns)
-        }
-    )
+    reach = [None if stats[f"std_{i}"] is None else 3 * stats[f"std_{i}"] for i in range(len(columns))]
+    return df.withColumns({f"{c}_3sigma": _outside(F.col(c), (stats[f"mean_{i}"],) * 2, reach[i]) for i, c in enumerate(columns)})
 
 
 # The quantiles behind the flags as they have been computed so
@@ -219,8 +231,8 @@ def tukey(df: DataFrame, columns: Sequence[str], q: tuple[float, float] = NARROW
     flags = {}
     for c in columns:
         row = quantiles(df, c, {"low": q[0], "high": q[1]}).first()
-        reach = 1.5 * (row["high"] - row["low"])
-        flags[f"{c}_tukey"] = _outside(F.col(c), row["low"] - reach, row["high"] + reach)
+        low, high = (row["low"], row["high"]) if row else (None, None)
+        flags[f"{c}_tukey"] = _outside(F.col(c), (low, high), None if low is None else 1.5 * (high - low))
     return df.withColumns(flags)
 
 

@@ -124,56 +124,55 @@ def importances(spark: SparkSession, models: Sequence, features: Sequence[str])
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
 
 
-def mean_auc(matrix: DataFrame, folds: DataFrame, numbers: Sequence[int], fit: Fit) -> tuple[float, list]:
-    total, models = 0.0, []
+def mean_metrics(matrix: DataFrame, folds: DataFrame, numbers: Sequence[int], fit: Fit) -> tuple[dict, list]:
+    """Mean ``f_beta`` and ``auc`` over the folds, how many folds the ``auc`` has, and the models.
+
+    A fold whose validation rows are all of one class has no area under the curve and is left out of that mean.
+    """
+    f_betas, aucs, models = [], [], []
     for number in numbers:
         train, validation = fold_parts(matrix, folds, number)
         model = fit(train)
         models.append(model)
-        total += metrics.roc_auc(scored(model, validation), "label", "score").first()["auc"] or 0.0
-    return total / len(numbers), models
+        result = cut(scored(model, validation))
+        f_betas.append(result.agg(metrics.f_beta(F.col("label"), F.col("score")).alias("f")).first()["f"] or 0.0)
+        aucs.append(metrics.roc_auc(result, "label", "score").first()["auc"])
+    some = [a for a in aucs if a is not None]
+    return {"f_beta": sum(f_betas) / len(f_betas), "auc": sum(some) / len(some) if some else None, "auc_folds": len(some)}, models
+
+
+_METRICS = "f_beta double, auc double, auc_folds int"
 
 
 def backward_elimination(
-    df: DataFrame, features: Sequence[str], folds: DataFrame, numbers: Sequence[int], fit: Fit, drop: float = 0.05, until: float = 0.2
+    df: DataFrame, features: Sequence[str], folds: DataFrame, numbers: Sequence[int], fit: Fit, keep: float = 0.95, until: float = 0.2
 ) -> DataFrame:
-    """Drop the least important share of features again and again; one row per step with its mean AUC."""
+    """Keep the most important ``keep`` of what is left, while more than ``until`` of all are; one row per step with its mean metrics."""
     table = cut(df)
     left, steps = list(features), []
     while left:
-        matrix = model_matrix(table, left)
-        auc, models = mean_auc(matrix, folds, numbers, fit)
-        ranked = importances(df.sparkSession, models, left).orderBy("place").select("feature").collect()
-        steps.append((len(steps), len(left), float(auc), [r["feature"] for r in ranked]))
-        fewer = len(left) - max(1, int(len(features) * drop))
-        if fewer < max(1, int(len(features) * until)):
+        found, models = mean_metrics(model_matrix(table, left), folds, numbers, fit)
+        ranked = [r["feature"] for r in importances(df.sparkSession, models, left).orderBy("place").select("feature").collect()]
+        steps.append((len(steps), len(left), *found.values(), ranked))
+        if len(left) <= until * len(features):
             break
-        left = [r["feature"] for r in ranked[:fewer]]
-    schema = "step int, n_features int, auc double, features array<string>"
-    return df.sparkSession.createDataFrame(steps, schema)
+        left = ranked[: int(keep * len(left))]
+    return df.sparkSession.createDataFrame(steps, f"step int, n_features int, {_METRICS}, features array<string>")
 
 
 def grid_search(
     matrix: DataFrame, folds: DataFrame, numbers: Sequence[int], grid: Sequence[Mapping], estimator: Callable[..., object]
 ) -> DataFrame:
     """Mean F-beta and AUC over the temporal folds for every setting of the grid."""
-    rows = []
-    for setting in grid:
-        f_beta, auc = 0.0, 0.0
-        for number in numbers:
-            train, validation = fold_parts(matrix, folds, number)
-            result = scored(estimator(**setting).fit(train), validation)
-            f_beta += result.agg(metrics.f_beta(F.col("label"), F.col("score")).alias("f")).first()["f"]
-            auc += metrics.roc_auc(result, "label", "score").first()["auc"] or 0.0
-        rows.append((str(dict(setting)), f_beta / len(numbers), auc / len(numbers)))
-    return matrix.sparkSession.createDataFrame(rows, "setting string, f_beta double, auc double")
+    rows = [(str(dict(s)), *mean_metrics(matrix, folds, numbers, estimator(**s).fit)[0].values()) for s in grid]
+    return matrix.sparkSession.createDataFrame(rows, f"setting string, {_METRICS}")
 
 
 def ablation(df: DataFrame, sets: Mapping[str, Sequence[str]], folds: DataFrame, numbers: Sequence[int], fit: Fit) -> DataFrame:
-    """Mean AUC over the folds for every named set of features."""
+    """Mean metrics over the folds for every named set of features."""
     table = cut(df)
-    rows = [(name, len(columns), float(mean_auc(model_matrix(table, columns), folds, numbers, fit)[0])) for name, columns in sets.items()]
-    return df.sparkSession.createDataFrame(rows, "name string, n_features int, auc double")
+    rows = [(name, len(columns), *mean_metrics(model_matrix(table, columns), folds, numbers, fit)[0].values()) for name, columns in sets.items()]
+    return df.sparkSession.createDataFrame(rows, f"name string, n_features int, {_METRICS}")
 
 
 def out_of_fold(matrix: DataFrame, estimators: Mapping[str, object], fold: str = "fold", k: int = 5, key: str = "rowkey") -> DataFrame:

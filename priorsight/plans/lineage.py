@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local session, as
-    in tests, gets a folder of its own when none is set.
+    The session names it in ``spark.checkpoint.dir`` or by ``setCheckpointDir``; without one
+    there is nowhere to write, local or not.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -20,9 +18,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="priorsight-checkpoint-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
 

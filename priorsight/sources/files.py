@@ -61,12 +61,29 @@ LISTING_SCHEMA = T.StructType(
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, malformed: str = "fail") -> DataFrame:
+    """The columns of ``schema``, found by the names in the header, in any order; others are not read.
 
+    A column that the header lacks is an error, and so is a file whose header differs from the first one's.  A field that
+    does not fit its type is an error, or null if ``malformed`` is ``"null"``.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(header)}")
+    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    rows = spark.read.schema(text).options(header=True, enforceSchema=False, mode=_mode(malformed)).csv(path)
+    typed = lambda f: F.col(f"`{f.name}`").try_cast(f.dataType) if malformed == "null" else F.col(f"`{f.name}`").cast(f.dataType)
+    return rows.select(*[typed(f).alias(f.name) for f in schema.fields])
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType, malformed: str = "fail") -> DataFrame:
+    """The fields of ``schema``, by name; a record may lack some.  Records that do not fit are an error, or null if ``malformed`` is ``"null"``."""
+    return spark.read.schema(schema).option("mode", _mode(malformed)).json(path)
+
+
+def _mode(malformed: str) -> str:
+    return {"fail": "FAILFAST", "null": "PERMISSIVE"}[malformed]
 
 
 def write_csv(df: DataFrame, path: str) -> None:

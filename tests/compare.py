@@ -82,6 +82,8 @@ def compare(spark, con, name, function, sql, sf) -> tuple[bool, str]:
 
 
 def session():
+    import tempfile
+
     from pyspark.sql import SparkSession
 
     spark = (
@@ -91,6 +93,8 @@ def session():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checkpoints-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -153,3 +153,61 @@ def test_hour_cycle_keeps_its_bound(spark):
 def test_composite_keys_match_on_missing_parts(spark):
     df = spark.createDataFrame([(None, "x"), (None, "x"), ("a", "x")], "a string, b string")
     assert df.select(scalars.composite_key(F.col("a"), F.col("b")).alias("k")).distinct().count() == 2
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    def written(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    good = written("a.csv", "id,rowkey,is_risk,more,time\nU1,R1,1,x,2015-01-01 00:00:00\nU2,R2,,y,\n")
+    rows = files.read_csv(spark, good, files.TRADE_SCHEMA).orderBy("rowkey").collect()
+    assert rows[0].asDict() == {"rowkey": "R1", "id": "U1", "time": "2015-01-01 00:00:00", "is_risk": 1} and rows[1].is_risk is None
+    with pytest.raises(ValueError, match="is_risk"):
+        files.read_csv(spark, written("b.csv", "id,rowkey,time\nU,R,t\n"), files.TRADE_SCHEMA)
+    bad = written("c.csv", "rowkey,id,time,is_risk\nR1,U1,t,many\nR2,U2,t,0\n")
+    with pytest.raises(Exception):  # noqa: B017
+        files.read_csv(spark, bad, files.TRADE_SCHEMA).collect()
+    assert [r.is_risk for r in files.read_csv(spark, bad, files.TRADE_SCHEMA, "null").orderBy("rowkey").collect()] == [None, 0]
+
+
+def test_json_records(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"price": 2.5, "listing_id": 1}\n{"listing_id": "no number"}\n')
+    with pytest.raises(Exception):  # noqa: B017
+        files.read_json(spark, str(tmp_path / "a.json"), files.LISTING_SCHEMA).collect()
+    rows = files.read_json(spark, str(tmp_path / "a.json"), files.LISTING_SCHEMA, "null").collect()
+    assert sorted((r.listing_id or 0, r.price or 0) for r in rows) == [(0, 0), (1, 2.5)]
+
+
+def test_chi_square_tail():
+    for degrees in range(1, 12):
+        for x in (0.1, 1.0, 7.5, 30.0):
+            grid = np.linspace(0, x, 200_001)[1:] - x / 400_000
+            density = grid ** (degrees / 2 - 1) * np.exp(-grid / 2) / (2 ** (degrees / 2) * math.gamma(degrees / 2))
+            assert featurestats.chi_square_tail(x, degrees) == pytest.approx(1 - density.sum() * x / 200_000, abs=2e-3)
+    assert featurestats.chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05)
+    assert featurestats.chi_square_tail(18.307038053275146, 10) == pytest.approx(0.05)
+
+
+def test_columns_without_values_have_no_outliers(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "k long, x double")
+    assert {r.x_3sigma for r in featurestats.three_sigma(df, ["x"]).collect()} == {0}
+    assert {r.x_tukey for r in featurestats.tukey(df, ["x"]).collect()} == {0}
+
+
+def test_one_hot_limit_is_a_parameter(spark):
+    df = spark.range(30).withColumnRenamed("id", "x")
+    with pytest.raises(ValueError):
+        featurestats.one_hot(df, "x", most=20)
+    assert len(featurestats.one_hot(df, "x", most=30).columns) == 31
+
+
+def test_folds_of_one_class_have_no_auc(spark):
+    rows = [(i, float(i % 2) if i < 40 else 1.0, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "rowkey long, is_risk double, x double")
+    folds = spark.createDataFrame(
+        [(f, r, i) for f, held in ((0, range(30, 40)), (1, range(50, 60))) for i in range(60) for r in (["validation"] if i in held else ["train"] if i < 30 else [])],
+        "fold int, role string, rowkey long",
+    )
+    found, fitted = models.mean_metrics(models.model_matrix(df, ["x"]), folds, [0, 1], models.decision_tree(2).fit)
+    assert found["auc_folds"] == 1 and found["auc"] is not None and len(fitted) == 2
