@@ -167,12 +167,12 @@ def last_rows_before(
         return queries.join(answered, [*keys, us], "left").select(*queries.columns, *[f"last_{i}" for i in range(k)])
 
     cell = [*keys, "cell"] if widths else list(keys)
-    place = [F.expr(f"`{us}` div {widths[0]}").alias("cell")] if widths else []
+    place = [F.expr(f"(`{us}` - pmod(`{us}`, {widths[0]}L)) div {widths[0]}").alias("cell")] if widths else []
     record = F.struct(F.col(us).alias("us"), F.col(order).alias("event_order"), *payload).alias("event")
     happened = events.select(*keys, us, *place, record)
     asked = queries.select("*", *place)
     if widths:
-        happened = happened.unionByName(_carried_events(happened, asked, keys, cell, k, us))
+        happened = happened.unionByName(_carried_events(events, asked, keys, payload, k, widths, order, us))
     rows = (
         happened.withColumn("is_event", F.lit(True))
         .unionByName(asked.withColumn("is_event", F.lit(False)), allowMissingColumns=True)
@@ -190,29 +190,22 @@ def last_rows_before(
 
 
 def _carried_events(
-    happened: DataFrame, asked: DataFrame, keys: Sequence[str], cell: Sequence[str], k: int, us: str
+    events: DataFrame, asked: DataFrame, keys: Sequence[str], payload: Sequence[str], k: int, widths: Sequence[int], order: str, us: str
 ) -> DataFrame:
-    """For every cell with queries, the ``k`` latest events of the cells before it."""
-    newest = Window.partitionBy(*cell).orderBy(F.desc("event.us"), F.desc("event.event_order"))
-    tails = (
-        happened.withColumn("nth", F.row_number().over(newest))
-        .filter(F.col("nth") <= k)
-        .groupBy(*cell)
-        .agg(F.sort_array(F.collect_list("event"), asc=False).alias("tail"))
-    )
-    along = Window.partitionBy(*keys).orderBy("cell")
-    earlier = [F.coalesce(F.lag("tail", i).over(along), F.array()) for i in range(1, k)]
-    state = tails.select(
-        *cell, F.slice(F.concat(F.col("tail"), *earlier), 1, k).alias("state"), F.lit(False).alias("wanted")
-    )
-    wanted = asked.select(*cell).distinct().withColumn("wanted", F.lit(True))
-    before = Window.partitionBy(*keys).orderBy("cell", F.col("wanted").desc()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    """For every cell with queries, the ``k`` latest events of the cells before it.
+
+    A cell's own latest events are few; what precedes a cell is the same question about them, asked at its start and
+    over the next coarser cells, so that no task sees all cells of a key.
+    """
+    width = widths[0]
+    start = F.expr(f"`{us}` - pmod(`{us}`, {width}L)")
+    newest = Window.partitionBy(*keys, "cell").orderBy(F.desc(us), F.desc(order))
+    tails = events.withColumn("cell", start).withColumn("nth", F.row_number().over(newest)).filter(F.col("nth") <= k)
+    tails = tails.select(*dict.fromkeys([*keys, us, order, *payload]))
+    starts = asked.select(*keys, start.alias(us)).distinct()
+    carried = last_rows_before(tails, starts, keys, payload, k, widths[1:], order, us)
     return (
-        state.unionByName(wanted, allowMissingColumns=True)
-        .withColumn("state", F.when(F.col("wanted"), F.last("state", ignorenulls=True).over(before)))
-        .filter("wanted")
-        .select(*cell, F.explode("state").alias("event"))
+        carried.select(*keys, F.expr(f"`{us}` div {width}").alias("cell"), F.explode(F.array(*[f"last_{i}" for i in range(k)])).alias("event"))
+        .filter(F.col("event").isNotNull())
         .withColumn(us, F.col("event.us"))
     )
