@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priorsight.operators.profile import quantiles
+from priorsight.operators.profile import column_quantiles, quantiles
 from priorsight.plans.ordering import attach_row, with_global_order
 
 FEW_VALUES = 20
@@ -125,8 +125,8 @@ def normality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def impute_median(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
     """Nulls become the median of the column among the rows it is fitted on."""
     source = df if fitted_on is None else fitted_on
-    medians = {c: quantiles(source, c, {"median": 0.5}).first()["median"] for c in columns}
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c]).cast("double")) for c in columns})
+    medians = column_quantiles(source, columns, {"median": 0.5})
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c]["median"]).cast("double")) for c in columns})
 
 
 def impute_mean(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
@@ -229,9 +229,9 @@ QUARTILES = (0.25, 0.75)
 def tukey(df: DataFrame, columns: Sequence[str], q: tuple[float, float] = NARROW_QUANTILES) -> DataFrame:
     """``<c>_tukey``: 1 above, -1 below the fences 1.5 quantile ranges outside the two quantiles, else 0."""
     flags = {}
+    fences = column_quantiles(df, columns, {"low": q[0], "high": q[1]})
     for c in columns:
-        row = quantiles(df, c, {"low": q[0], "high": q[1]}).first()
-        low, high = (row["low"], row["high"]) if row else (None, None)
+        low, high = fences[c]["low"], fences[c]["high"]
         flags[f"{c}_tukey"] = _outside(F.col(c), (low, high), None if low is None else 1.5 * (high - low))
     return df.withColumns(flags)
 

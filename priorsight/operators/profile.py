@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorsight.functions.scalars import MISSING
+from priorsight.plans.lineage import cut
 from priorsight.plans.ordering import attach_row, with_global_order
 
+#: More groups than this meet their rows by a shuffle.
+BROADCAST_GROUPS = 100_000
+
 
 def n_rows() -> Column:
     return F.count(F.lit(1))
@@ -50,8 +54,10 @@ def quantiles(df: DataFrame, column: str, qs: Mapping[str, float], by: Sequence[
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("x")).agg(n_rows().alias("n"))
     ordered = with_global_order(counts, [*by, "x"], ["n"])
     if by:
-        groups = ordered.groupBy(*by).agg(F.sum("n").alias("size"), F.min(F.col("run_n") - F.col("n")).alias("before"))
-        joined = ordered.join(groups, by)
+        groups = cut(ordered.groupBy(*by).agg(F.sum("n").alias("size"), F.min(F.col("run_n") - F.col("n")).alias("before")))
+        # A large group is not shuffled to its one row while there are few groups.
+        few = groups.count() <= BROADCAST_GROUPS
+        joined = ordered.join(F.broadcast(groups) if few else groups, by)
     else:
         joined = ordered.withColumns({"size": F.col("all_n"), "before": F.lit(0)})
     first = F.col("run_n") - F.col("n") - F.col("before")
@@ -69,6 +75,14 @@ def quantiles(df: DataFrame, column: str, qs: Mapping[str, float], by: Sequence[
     )
 
 
+def column_quantiles(df: DataFrame, columns: Sequence[str], qs: Mapping[str, float]) -> dict[str, dict[str, float | None]]:
+    """The quantiles of every column, by one order over the values of all of them; null where a column has no values."""
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns]))
+    found = quantiles(df.select(values.alias("v")).select("v.*"), "x", qs, ["feature"]).collect()  # one row a column
+    by = {r["feature"]: {name: r[name] for name in qs} for r in found}
+    return {c: by.get(c, dict.fromkeys(qs)) for c in columns}
+
+
 def summary(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum of a column, in one row."""
     parts = quantiles(df, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
