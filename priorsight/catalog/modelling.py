@@ -57,6 +57,14 @@ def boosted_trees(spark, sf):
     return _scores(spark, sf, _small_boost(weight="weight"), "weight", 10)
 
 
+@query("M1_early_stopping")
+def early_stopping(spark, sf):
+    early, late = _periods(feature_table(spark, sf))
+    matrix = models.model_matrix(early, FEATURES).join(early.select("rowkey", (F.dayofmonth("time") > 15).alias("held")), "rowkey")
+    stopped = _small_boost(rounds=10, rate=0.3, validation="held").fit(cut(matrix))
+    return rounded(models.scored(stopped, models.model_matrix(late, FEATURES)))
+
+
 @query("M2_best_iteration")
 def best_iteration(spark, sf):
     _, matrix, folds = _setup(spark, sf)
@@ -80,6 +88,12 @@ def decision_tree(spark, sf):
     return _scores(spark, sf, models.decision_tree(3))
 
 
+@query("M4_tree_rules")
+def tree_rules(spark, sf):
+    early, _ = _periods(feature_table(spark, sf))
+    return rounded(models.tree_rules(models.decision_tree(3).fit(models.model_matrix(early, FEATURES)), FEATURES))
+
+
 @query("M5_logistic_regression")
 def logistic_regression(spark, sf):
     return _scores(spark, sf, models.logistic_regression("weight"), "weight")
@@ -118,6 +132,13 @@ def feature_importance(spark, sf):
     return rounded(models.importances(spark, fitted, FEATURES))
 
 
+@query("M7_top_features")
+def top_features(spark, sf):
+    _, matrix, folds = _setup(spark, sf)
+    _, fitted = models.per_round_over_folds(matrix, folds, range(6), _small_boost())
+    return rounded(models.important(models.importances(spark, fitted, FEATURES)))
+
+
 @query("M8_backward_elimination")
 def backward_elimination(spark, sf):
     features, _, folds = _setup(spark, sf)

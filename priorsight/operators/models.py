@@ -35,9 +35,13 @@ def model_matrix(df: DataFrame, features: Sequence[str], key: str = "rowkey", la
 
 
 def boosted_trees(
-    rounds: int = 20, rate: float = 0.1, depth: int = 4, rows: float = 0.75, columns: float = 0.75, seed: int = 0, weight: str | None = None
+    rounds: int = 20, rate: float = 0.1, depth: int = 4, rows: float = 0.75, columns: float = 0.75, seed: int = 0, weight: str | None = None,
+    validation: str | None = None, tolerance: float = 0.01,
 ) -> GBTClassifier:
+    """``validation`` names a boolean column; boosting stops when the error of its rows falls by less than ``tolerance``."""
     extra = {"weightCol": weight} if weight else {}
+    if validation:
+        extra |= {"validationIndicatorCol": validation, "validationTol": tolerance}
     return GBTClassifier(
         maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=rows, featureSubsetStrategy=str(columns), seed=seed,
         featuresCol="features", labelCol="label", **extra,
@@ -70,18 +74,18 @@ def scored(model, matrix: DataFrame, name: str = "score", key: str = "rowkey") -
 
 
 def scores_per_round(model: GBTClassificationModel, matrix: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``iteration`` and ``f_beta`` of the model cut off after every boosting round, in one pass."""
+    """``iteration`` and ``f_beta`` of the model cut off after every boosting round.
+
+    A row's tree outputs become an array of running sums, so the plan grows with the number of trees and not with its square.
+    """
     out = matrix
-    margin = F.lit(0.0)
-    columns = []
-    for i, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
+    for i, tree in enumerate(model.trees):
         out = tree.setPredictionCol(f"tree_{i}").setFeaturesCol("features").transform(out)
-        margin = margin + F.col(f"tree_{i}") * float(weight)
-        probability = 1 / (1 + F.exp(-2 * margin))
-        columns.append(metrics.f_beta(F.col("label"), probability, threshold).alias(f"r{i}"))
-    row = out.agg(*columns)
-    points = [F.struct(F.lit(i + 1).alias("iteration"), F.col(f"r{i}").alias("f_beta")) for i in range(len(columns))]
-    return row.select(F.explode(F.array(*points)).alias("p")).select("p.*")
+    outputs = F.array(*[F.col(f"tree_{i}") * float(w) for i, w in enumerate(model.treeWeights)])
+    sums = F.aggregate(outputs, F.array().cast("array<double>"), lambda done, x: F.array_append(done, F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + x))
+    rounds = out.select("label", F.posexplode(sums).alias("at", "margin"))
+    probability = 1 / (1 + F.exp(-2 * F.col("margin")))
+    return rounds.groupBy((F.col("at") + 1).alias("iteration")).agg(metrics.f_beta(F.col("label"), probability, threshold).alias("f_beta"))
 
 
 def fold_parts(matrix: DataFrame, folds: DataFrame, fold: int, key: str = "rowkey") -> tuple[DataFrame, DataFrame]:
@@ -124,6 +128,27 @@ def importances(spark: SparkSession, models: Sequence, features: Sequence[str])
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
 
 
+def important(ranked: DataFrame, share: float = 0.75, at_least: float | None = None) -> DataFrame:
+    """The first ``share`` of the features by place, or those whose importance is ``at_least`` so high."""
+    if at_least is not None:
+        return ranked.filter(F.col("importance") >= at_least)
+    return ranked.filter(F.col("place") <= F.lit(share) * ranked.count())
+
+
+def tree_rules(model, features: Sequence[str]) -> DataFrame:
+    """Every leaf of a fitted tree: ``leaf``, the conditions that lead to it, and what it predicts."""
+    path: dict[int, str] = {}
+    rows = []
+    for line in model.toDebugString.splitlines():
+        depth, text = len(line) - len(line.lstrip()), line.strip()
+        if text.startswith("Predict:"):
+            rows.append((len(rows), " and ".join(path[d] for d in sorted(path) if d < depth), float(text.removeprefix("Predict:"))))
+        elif "(feature " in text:
+            number, condition = text[text.index("(feature ") + 9 : -1].split(" ", 1)
+            path = {d: c for d, c in path.items() if d < depth} | {depth: f"{features[int(number)]} {condition}"}
+    return SparkSession.active().createDataFrame(rows, "leaf int, rule string, prediction double")
+
+
 def mean_metrics(matrix: DataFrame, folds: DataFrame, numbers: Sequence[int], fit: Fit) -> tuple[dict, list]:
     """Mean ``f_beta`` and ``auc`` over the folds, how many folds the ``auc`` has, and the models.
 
