@@ -37,18 +37,17 @@ def temporal_folds(
     the key with ``fold`` (from 0) and ``role``; part i of a training period
     meets part i of its validation period.
     """
-    dated = df.select(key, period.alias("period"))
-    out = None
+    chosen = []
     for i, ((first, last), validation) in enumerate(folds):
-        for role, rows in (
-            ("train", dated.filter(F.col("period").between(first, last))),
-            ("validation", dated.filter(F.col("period") == validation)),
-        ):
-            cut_rows = nth_part(rows, parts, key, f"{role}{i}").select(
-                key, ((F.col("part") - 1) * len(folds) + i).alias("fold"), F.lit(role).alias("role")
-            )
-            out = cut_rows if out is None else out.unionByName(cut_rows)
-    return out
+        for role, inside in (("train", F.col("period").between(first, last)), ("validation", F.col("period") == validation)):
+            draw = hashed_unit(F.col(key), f"{role}{i}")
+            chosen.append(F.when(inside, F.struct(F.lit(i).alias("number"), F.lit(role).alias("role"), draw.alias("draw"))))
+    rows = df.select(key, period.alias("period")).select(key, F.explode(F.array_compact(F.array(*chosen))).alias("m")).select(key, "m.*")
+    # One order for all folds and roles; a row for each of them tells where it begins.
+    ordered = with_global_order(rows, ["number", "role", "draw", key])
+    groups = ordered.groupBy("number", "role").agg((F.min("position") - 1).alias("before"), F.count(F.lit(1)).alias("size"))
+    part = F.ceil((F.col("position") - F.col("before")) * parts / F.col("size")).cast("int")
+    return ordered.join(F.broadcast(groups), ["number", "role"]).select(key, ((part - 1) * len(folds) + F.col("number")).alias("fold"), "role")
 
 
 def shuffled_folds(df: DataFrame, key: str, k: int = 5, salt: str = "fold") -> DataFrame:
