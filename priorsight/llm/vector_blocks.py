@@ -50,11 +50,11 @@ def tiles(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     Every block of one side must meet every block of the other; both are repeated by number and met by the pair, so tiles
     spread over all tasks, and a block moves once a tile.
     """
-    of_queries = queries.groupBy("dim").agg(F.collect_list("block").alias("there"))
-    of_candidates = candidates.groupBy("dim").agg(F.collect_list("block").alias("there"))
+    of_queries, of_candidates = (side.groupBy("dim").agg(F.max("block").alias("last")) for side in (queries, candidates))
 
     def repeated(side: DataFrame, others: DataFrame, name: str, own: str, other: str) -> DataFrame:
-        return side.join(others, "dim").select("dim", F.col("block").alias(own), F.explode("there").alias(other), F.struct(*[c for c in side.columns if c != "dim"]).alias(name))
+        numbers = F.sequence(F.lit(0).cast("long"), F.col("last"))
+        return side.join(others, "dim").select("dim", F.col("block").alias(own), F.explode(numbers).alias(other), F.struct(*[c for c in side.columns if c != "dim"]).alias(name))
 
     return repeated(queries, of_candidates, "q", "qb", "cb").join(repeated(candidates, of_queries, "c", "cb", "qb"), ["dim", "qb", "cb"]).select("dim", "q", "c")
 
