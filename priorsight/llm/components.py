@@ -7,25 +7,29 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorsight.plans.lineage import checkpoint_dir
+from priorsight.plans.lineage import checkpoint_dir, cut
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` from a table written to the shared folder.
+#: Links of a task, about; the tables of a loop are as many files.
+TASK_LINKS = 250_000
+
+
+def written(df: DataFrame, files: int) -> DataFrame:
+    """``df`` from a table of at most so many files, written to the shared folder.
 
     For loops: a checkpoint keeps the size estimates of the plan it cuts, which multiply with every join of a loop.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/steps-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(files).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _roots(edges: DataFrame) -> DataFrame:
+def _roots(edges: DataFrame, files: int) -> DataFrame:
     """``id, to``: every id points to its smallest neighbour or itself, and pointers are followed to their ends, doubling their length."""
-    tree = written(edges.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("to")))
+    tree = written(edges.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("to")), files)
     while True:
         further = tree.select(F.col("id").alias("to"), F.col("to").alias("last"))
-        tree = written(tree.select("id", "to").join(further, "to").select("id", F.col("last").alias("to"), (F.col("last") != F.col("to")).alias("moved")))
+        tree = written(tree.select("id", "to").join(further, "to").select("id", F.col("last").alias("to"), (F.col("last") != F.col("to")).alias("moved")), files)
         if tree.filter("moved").isEmpty():
             return tree.select("id", "to")
 
@@ -37,16 +41,18 @@ def components(links: DataFrame) -> DataFrame:
     rewritten between those ends; links within one end disappear.  At least half of the ids that still have links move in a round, and
     chains are followed by doubling, so rounds and steps stay logarithmic.  Nothing is collected.
     """
-    edges = written(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
+    both = cut(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
+    files = 8 + both.count() // TASK_LINKS
+    edges = written(both, files)
     labels = None
     while True:
-        roots = _roots(edges)
+        roots = _roots(edges, files)
         if labels is None:
             labels = roots.select("id", F.col("to").alias("root"))
         else:
             moved = roots.select(F.col("id").alias("root"), "to")
-            labels = written(labels.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+            labels = written(labels.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")), files)
         a, b = roots.select(F.col("id").alias("a"), F.col("to").alias("na")), roots.select(F.col("id").alias("b"), F.col("to").alias("nb"))
-        edges = written(edges.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).filter("a <> b").distinct())
+        edges = written(edges.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).filter("a <> b").distinct(), files)
         if edges.isEmpty():
             return labels
