@@ -129,7 +129,8 @@ class Pieces:
         Chunks of one length are the rows of a matrix; in each round every row makes its best merge, so all rows that go on have the same width.
         """
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        result: list = [None] * len(chunks)
+        blocks: list[tuple[np.ndarray, np.ndarray]] = []  # rows that ended in one round, and their ids
+        counts = np.zeros(len(chunks), np.int64)
         unknown = np.zeros(len(chunks), bool)
         for length in np.unique(lengths).tolist():
             rows = np.flatnonzero(lengths == length)
@@ -139,8 +140,7 @@ class Pieces:
                 keys = keys * _CODE + codes[:, j]
             keys = mix64(keys ^ mix64(variants[rows].astype(np.uint64) * _CODE + np.uint64(seed & (2**64 - 1))))
             if length > LONG:
-                for r, k in zip(rows.tolist(), keys.tolist()):
-                    result[r] = self.agenda(chunks[r], k, dropout)
+                blocks += [(np.array([r]), np.array([self.agenda(chunks[r], k, dropout)])) for r, k in zip(rows.tolist(), keys.tolist())]
                 continue
             seen, back = np.unique(codes, return_inverse=True)
             ids = np.array([self.chars.get(chr(c), _NO_PIECE) for c in seen.tolist()], np.int32)[back.reshape(codes.shape)]
@@ -153,9 +153,11 @@ class Pieces:
                 at = rank.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
                 going = rank[np.arange(len(rows)), at] != _NEVER if width > 1 else np.zeros(len(rows), bool)
                 ended = np.flatnonzero(~going)
-                for r, i, s in zip(rows[ended].tolist(), ids[ended].tolist(), starts[ended].tolist()):
-                    result[r] = self._spelled(i, s, chunks[r]) if unknown[r] else i
                 if len(ended):
+                    spell = unknown[rows[ended]]
+                    for r, i, s in zip(*(x[ended][spell].tolist() for x in (rows, ids, starts))):
+                        blocks.append((np.array([r]), np.array([self._spelled(i, s, chunks[r])])))
+                    blocks.append((rows[ended][~spell], ids[ended][~spell]))
                     rows, ids, starts, rank, merged, keys, at = (x[going] for x in (rows, ids, starts, rank, merged, keys, at))
                 if not len(rows):
                     break
@@ -175,8 +177,21 @@ class Pieces:
                 for where, there in ((at - 1, at > 0), (at, at < width - 2)):
                     e, p = each[there], where[there]
                     rank[e, p], merged[e, p] = self.merges(ids[e, p], ids[e, p + 1], keys[e], starts[e, p], starts[e, p + 2], dropout)
-        counts = np.fromiter(map(len, result), np.int64, len(result))
-        return np.fromiter((i for r in result for i in r), np.int32, int(counts.sum())), counts
+        for rows, ids in blocks:
+            counts[rows] = ids.shape[1]
+        starts = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), np.int32)
+        for rows, ids in blocks:
+            flat[starts[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return flat, counts
+
+
+class _Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -195,13 +210,13 @@ def _encoder(shared, seed: int, dropout: float, variants: int):
         model: Pieces = shared.value
         for batch in batches:
             for part, raw in pieces(batch, "text", 1 << 20):
-                known: dict[str, int] = {}
+                known = _Numbers()
                 seen: list[int] = []
                 per_text = np.zeros(len(raw), np.int64)
                 for i, t in enumerate(raw):
                     chunks = CHUNK.findall(" " + t.decode()) if t else []
                     per_text[i] = len(chunks)
-                    seen += [known.setdefault(c, len(known)) for c in chunks]
+                    seen += map(known.__getitem__, chunks)
                 ends = np.cumsum(per_text)
                 place = np.arange(len(seen)) - np.repeat(ends - per_text, per_text)
                 key = np.array([k or 0 for k in part["key"].to_pylist()], np.int64).view(np.uint64)
