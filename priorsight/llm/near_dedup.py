@@ -32,13 +32,13 @@ WORDS, PERCENT = 5, 80
 TREES, LEVELS = 10, 5
 #: Members up to which a node is compared exhaustively, a power of two.
 NODE = 64
-#: Minwise tokens in a sketch.
-TOKENS = 64
-#: Of 64 tokens, so many agree in their last 4 bits with probability above 0.99999 at similarity 0.8 (mean 52, deviation 3.1).
-AGREE = 37
+#: Minwise tokens that trees may choose, and tokens of which a sketch keeps the last 4 bits.
+TOKENS, SKETCH = 64, 256
+#: Of the sketch, so many agree with probability above 0.99996 at similarity 0.8 (mean 208, deviation 6.2).
+AGREE = 183
 _POWERS = _Powers(0x27D4EB2F165667C5 | 1)
-_MULTIPLIERS = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
-_OFFSETS = mix64(np.arange(1001, 1001 + TOKENS, dtype=np.uint64))
+_MULTIPLIERS = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+_OFFSETS = mix64(np.arange(1001, 1001 + SKETCH, dtype=np.uint64))
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -58,9 +58,9 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
 
 def minwise(tokens: np.ndarray) -> np.ndarray:
     """The sketch of a non-empty set: under each of the hash functions, the smallest value."""
-    least = np.full(TOKENS, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(tokens), 1 << 14):
-        part = tokens[at : at + (1 << 14), None] * _MULTIPLIERS + _OFFSETS
+    least = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(tokens), 1 << 9):  # slices that stay in the cache
+        part = tokens[at : at + (1 << 9), None] * _MULTIPLIERS + _OFFSETS
         least = np.minimum(least, (part >> np.uint64(32)).min(axis=0).astype(np.uint32))
     return least
 
@@ -72,8 +72,8 @@ def _sketches(words: int):
                 sets = shingle_sets(texts, words)
                 low = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
                 high = np.array([mix64(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
-                mins = np.array([minwise(s) if len(s) else np.zeros(TOKENS, np.uint32) for s in sets]).reshape(len(sets), TOKENS)
-                nibbles = (mins & 15).astype(np.uint64).reshape(len(sets), TOKENS // 16, 16)
+                mins = np.array([minwise(s) if len(s) else np.zeros(SKETCH, np.uint32) for s in sets]).reshape(len(sets), SKETCH)
+                nibbles = (mins & 15).astype(np.uint64).reshape(len(sets), SKETCH // 16, 16)
                 packed = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
                 yield pa.record_batch({
                     "doc_id": part["doc_id"],
@@ -81,8 +81,8 @@ def _sketches(words: int):
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "cls": pa.array(mix64(low).view(np.int64)),
                     "check": pa.array(high.view(np.int64)),
-                    "mins": pa.FixedSizeListArray.from_arrays(pa.array(mins.ravel().view(np.int32)), TOKENS).cast(pa.list_(pa.int32())),
-                    "bits": pa.FixedSizeListArray.from_arrays(pa.array(packed.ravel().view(np.int64)), TOKENS // 16).cast(pa.list_(pa.int64())),
+                    "mins": pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(mins[:, :TOKENS]).ravel().view(np.int32)), TOKENS).cast(pa.list_(pa.int32())),
+                    "bits": pa.FixedSizeListArray.from_arrays(pa.array(packed.ravel().view(np.int64)), SKETCH // 16).cast(pa.list_(pa.int64())),
                 })
 
     return run
@@ -111,14 +111,15 @@ def _unpacked(blob: bytes) -> np.ndarray:
 def _confirmed(percent: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist())):
-                both = np.concatenate((_unpacked(x), _unpacked(y)))
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            for at in range(0, batch.num_rows, 256):
+                part, keep = batch.slice(at, 256), []
+                for i, (x, y) in enumerate(zip(part["set_a"].to_pylist(), part["set_b"].to_pylist())):
+                    both = np.concatenate((_unpacked(x), _unpacked(y)))
+                    both.sort(kind="stable")
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= percent * (len(both) - shared):
+                        keep.append(i)
+                yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
@@ -127,13 +128,13 @@ def _agreement(x: str, y: str) -> Column:
     """In how many of the minwise tokens' last four bits two sketches agree."""
     differs = lambda i: f"({x}[{i}] ^ {y}[{i}])"
     one = lambda i: f"bit_count(({differs(i)} | shiftrightunsigned({differs(i)}, 1) | shiftrightunsigned({differs(i)}, 2) | shiftrightunsigned({differs(i)}, 3)) & 1229782938247303441L)"
-    return F.expr(f"{TOKENS} - (" + " + ".join(one(i) for i in range(TOKENS // 16)) + ")")
+    return F.expr(f"{SKETCH} - (" + " + ".join(one(i) for i in range(SKETCH // 16)) + ")")
 
 
 def _similar(percent: int) -> Column:
     sizes = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
     # The bound on agreements is for 80 per cent; lower thresholds lower it by their own mean.
-    return sizes & (_agreement("x.bits", "y.bits") >= AGREE - max(0, 80 - percent))
+    return sizes & (_agreement("x.bits", "y.bits") >= AGREE - 3 * max(0, 80 - percent))
 
 
 def _nodes(classes: DataFrame, trees: int, levels: int) -> DataFrame:
@@ -194,6 +195,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     best = first.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
     links = _confirm(best, sets, percent)
+    # What the best of these links have not joined, the others may.
+    more = _between(first.join(best, ["a", "b"], "left_anti").select("a", "b"), components(links))
+    links = links.union(_confirm(more, sets, percent))
     joined = components(links)
 
     # All pairs of a block that the first links have not joined.
@@ -202,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     open_ = cut(labelled.join(mixed, ["node", "block"], "left_semi").join(light, "cls"))
     x, y = open_.alias("x"), open_.alias("y")
     pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & _similar(percent))
-    rest = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).union(first.select("a", "b").join(best, ["a", "b"], "left_anti")).distinct()
+    rest = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     links = links.union(_confirm(rest, sets, percent))
     joined = components(links)
 
@@ -213,6 +217,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return named.union(alone).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _between(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    a, b = joined.select(F.col("id").alias("a"), F.col("root").alias("root_a")), joined.select(F.col("id").alias("b"), F.col("root").alias("root_b"))
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    return pairs.join(a, "a", "left").join(b, "b", "left").filter(apart).select("a", "b")
+
+
 def _sketch_pairs(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and sketches allow a link, with the number of agreeing tokens."""
     x, y = light.alias("x"), light.alias("y")
