@@ -9,7 +9,8 @@ two sets at the threshold share a root's token with probability 0.8, so the
 ten trees miss a link about once in 10^7 where nodes are small.
 
 Copies never multiply: equal sets are one class; in a node, each member is first held only against the node's
-smallest member, and all pairs are looked at only between what these first links have not joined yet.
+smallest member, and all pairs are looked at only between what these first links have not joined yet.  Nodes that stay
+too large are compared tile by tile, every tile with every other, so that none of their pairs is left out.
 A link counts only after it is confirmed on the full sets.
 """
 
@@ -19,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priorsight.llm.components import components
@@ -32,6 +33,8 @@ WORDS, PERCENT = 5, 80
 TREES, LEVELS = 10, 5
 #: Members up to which a node is compared exhaustively, a power of two.
 NODE = 64
+#: Members of a tile of a larger node, about.
+TILE = 128
 #: Minwise tokens that trees may choose, and tokens of which a sketch keeps the last 4 bits.
 TOKENS, SKETCH = 64, 256
 #: Of the sketch, so many agree with probability above 0.99996 at similarity 0.8 (mean 208, deviation 6.2).
@@ -131,10 +134,81 @@ def _agreement(x: str, y: str) -> Column:
     return F.expr(f"{SKETCH} - (" + " + ".join(one(i) for i in range(SKETCH // 16)) + ")")
 
 
+def _least_agreement(percent: int) -> int:
+    """The bound on agreements is for 80 per cent; lower thresholds lower it by their own mean."""
+    return AGREE - 3 * max(0, 80 - percent)
+
+
 def _similar(percent: int) -> Column:
     sizes = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    # The bound on agreements is for 80 per cent; lower thresholds lower it by their own mean.
-    return sizes & (_agreement("x.bits", "y.bits") >= AGREE - 3 * max(0, 80 - percent))
+    return sizes & (_agreement("x.bits", "y.bits") >= _least_agreement(percent))
+
+
+def _tile(tile: pa.StructScalar) -> tuple:
+    members = tile["members"].values
+    field = lambda name: members.field(name).to_numpy()
+    bits = members.field("bits").flatten().to_numpy().view(np.uint64).reshape(len(members), SKETCH // 16)
+    return field("cls"), field("root"), field("n"), bits, members.field("nodes").to_pylist()
+
+
+def _tiles_met(percent: int):
+    """Of each two tiles ``x, y`` of a node: the pairs apart whose sizes and sketches allow a link, at the first node that both members share."""
+    least, ones = _least_agreement(percent), np.uint64(0x1111111111111111)
+
+    def allowed(node: int, x: tuple, y: tuple, same: bool):
+        (cls_x, root_x, n_x, bits_x, nodes_x), (cls_y, root_y, n_y, bits_y, nodes_y) = x, y
+        n = n_x[:, None]
+        met = (root_x[:, None] != root_y) & (n * 100 >= n_y * percent) & (n_y * 100 >= n * percent)
+        i, j = np.nonzero(np.triu(met, 1) if same else met)
+        for at in range(0, len(i), 1 << 12):
+            a, b = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
+            differs = bits_x[a] ^ bits_y[b]
+            differs |= differs >> np.uint64(1)
+            differs |= differs >> np.uint64(2)
+            agree = SKETCH - np.bitwise_count(differs & ones).sum(axis=1, dtype=np.int64)
+            for k in np.flatnonzero(agree >= least):
+                if min(set(nodes_x[a[k]]) & set(nodes_y[b[k]])) == node:
+                    yield sorted((int(cls_x[a[k]]), int(cls_y[b[k]])))
+
+    def run(batches):
+        for batch in batches:
+            for node, same, x, y in zip(batch["node"].to_pylist(), batch["same"].to_pylist(), batch["x"], batch["y"]):
+                found = list(allowed(node, _tile(x), _tile(y), same))
+                yield pa.record_batch({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
+def _between_tiles(members: DataFrame, joined: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: of the nodes of ``members`` (``node, cls``), all pairs that nothing has joined yet and whose sizes and sketches allow a link.
+
+    A component with many members in a node has tiles of its own there, which do not meet each other; the other members share tiles.
+    Pairs of tiles are rows of their own, spread by the node and the first tile.
+    """
+    rooted = members.join(joined, members["cls"] == joined["id"], "left").select("node", "cls", F.coalesce("root", "cls").alias("root"))
+    mixed = rooted.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("node")
+    rooted = cut(rooted.join(mixed, "node", "left_semi"))
+    many = rooted.groupBy("node", "root").count().filter(F.col("count") >= TILE).select("node", "root", F.lit(True).alias("own"))
+    own = F.coalesce("own", F.lit(False))
+    grouped = rooted.join(many, ["node", "root"], "left").select("node", "cls", "root", own.alias("own"), F.when(own, F.col("root")).otherwise(0).alias("group"))
+    parts = grouped.groupBy("node", "own", "group").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
+    part = F.pmod(F.xxhash64("cls", "node"), F.col("parts")).alias("part")
+    dealt = cut(grouped.join(parts, ["node", "own", "group"]).select("node", "cls", "root", "own", "group", part))
+
+    # The tiles of a node, numbered; those of one component follow each other.
+    node = Window.partitionBy("node")
+    listed = dealt.select("node", "own", "group", "part").distinct().withColumn("i", F.row_number().over(node.orderBy("own", "group", "part")))
+    listed = listed.withColumn("last", F.count(F.lit(1)).over(node).cast("int")).withColumn("from", F.when(F.col("own"), F.max("i").over(Window.partitionBy("node", "own", "group")) + 1).otherwise(F.col("i")))
+    listed = cut(listed)
+    pairs = listed.filter("from <= last").select("node", "i", F.explode(F.sequence("from", "last")).alias("j"))
+
+    nodes = members.groupBy("cls").agg(F.collect_set("node").alias("nodes"))
+    known = dealt.join(listed.select("node", "own", "group", "part", "i"), ["node", "own", "group", "part"]).join(light, "cls").join(nodes, "cls")
+    tiles = cut(known.groupBy("node", "i").agg(F.collect_list(F.struct("cls", "root", "n", "bits", "nodes")).alias("members")))
+    first = tiles.select("node", "i", F.struct("members").alias("x"))
+    second = tiles.select("node", F.col("i").alias("j"), F.struct("members").alias("y"))
+    met = pairs.join(first, ["node", "i"]).join(second, ["node", "j"]).select("node", (F.col("i") == F.col("j")).alias("same"), "x", "y")
+    return met.mapInArrow(_tiles_met(percent), "a long, b long").distinct()
 
 
 def _nodes(classes: DataFrame, trees: int, levels: int) -> DataFrame:
@@ -177,10 +251,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes = cut(full.groupBy("cls", "check").agg(F.min(F.struct("doc_id", "text_key", "n", "mins", "bits")).alias("r")).select("cls", "r.*"))
     light = classes.select("cls", "n", "bits")
 
-    # A node with many members left is dealt to blocks of NODE members; their smallest members meet as a block of the node's own.
+    # A node with many members left is dealt to blocks of NODE members, in each node anew; their smallest members meet as a block of the node's own.
     shift = F.ceil(F.log2(F.greatest(F.col("members") / NODE, F.lit(1.0)))).cast("int")
-    blocks = _nodes(classes, trees, levels).select("node", "cls", F.pmod(F.xxhash64("cls"), F.pow(F.lit(2), shift).cast("long")).alias("block"))
-    members = cut(blocks.groupBy("node", "block", "cls").count().drop("count"))
+    block = F.pmod(F.xxhash64("cls", "node"), F.pow(F.lit(2), shift).cast("long")).alias("block")
+    blocks = _nodes(classes, trees, levels).select("node", "cls", block, (shift > 0).alias("large"))
+    members = cut(blocks.groupBy("node", "block", "cls", "large").count().drop("count"))
     heads = cut(members.groupBy("node", "block").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("size")))
     tops = heads.groupBy("node").agg(F.min("head").alias("top"), F.count(F.lit(1)).alias("blocks")).filter("blocks > 1")
     first = members.join(heads.filter("size > 1"), ["node", "block"]).select(F.col("head").alias("a"), F.col("cls").alias("b"))
@@ -188,7 +263,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     first = _sketch_pairs(first.filter("a <> b").distinct(), light, percent)
 
     # Only sets that may be linked at all are fetched: those that share a node with another one.
-    wanted = members.join(heads.filter("size > 1"), ["node", "block"], "left_semi").select("cls").union(heads.join(tops, "node", "left_semi").select("head")).distinct()
+    wanted = members.join(heads.filter("size > 1"), ["node", "block"], "left_semi").select("cls").union(members.filter("large").select("cls")).distinct()
     fetched = classes.join(wanted, "cls", "left_semi").select("cls", F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"))
     texts = keyed.join(fetched, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text"))).select("cls", "text")
     sets = cut(texts.mapInArrow(_packed_sets(words), "cls long, shingles binary").dropDuplicates(["cls"]))
@@ -200,8 +275,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links = links.union(_confirm(more, sets, percent))
     joined = components(links)
 
-    # All pairs of a block that the first links have not joined.
-    labelled = members.join(joined, members["cls"] == joined["id"], "left").select("node", "block", "cls", F.coalesce("root", "cls").alias("root"))
+    # All pairs of a small node that the first links have not joined.
+    labelled = members.filter("not large").join(joined, members["cls"] == joined["id"], "left").select("node", "block", "cls", F.coalesce("root", "cls").alias("root"))
     mixed = labelled.groupBy("node", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("node", "block")
     open_ = cut(labelled.join(mixed, ["node", "block"], "left_semi").join(light, "cls"))
     x, y = open_.alias("x"), open_.alias("y")
@@ -209,6 +284,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rest = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     links = links.union(_confirm(rest, sets, percent))
     joined = components(links)
+    # Of the larger ones, all pairs that are not joined even then.
+    large = members.filter("large").select("node", "cls")
+    if not large.isEmpty():
+        links = links.union(_confirm(_between_tiles(large, joined, light, percent), sets, percent))
+        joined = components(links)
 
     named = full.select("doc_id", "text_key", "n", "cls").join(joined, F.col("cls") == F.col("id"), "left").withColumn("root", F.coalesce("root", "cls"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

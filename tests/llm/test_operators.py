@@ -98,6 +98,23 @@ def test_large_groups_of_near_copies(spark):
     assert {r.component_id for r in got} == {0} and len(got) == 500
 
 
+def test_large_groups_of_loosely_near_copies(spark):
+    """More copies than a node holds, with similarities to their origin from 0.6 to 1: every link counts, whatever block its ends are in."""
+    rng = random.Random(11)
+    base = words(rng, 250, 5000).split()
+    texts = {}
+    for i in range(400):
+        t = list(base)
+        for at in rng.sample(range(len(t)), rng.randrange(0, 16)):
+            t[at] = f"x{i}y{at}"
+        texts[i] = " ".join(t)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 4).collect()}
+    want, _ = near_components(texts, 4, 80)
+    assert len(set(want.values())) > 20
+    assert got == want
+
+
 def test_substrings(docs, none):
     given = rows()
     width = 12
