@@ -2,11 +2,11 @@
 
 Every distinct set has a sketch of minwise tokens.  A tree sends a document from
 its root into the node named by one of these tokens; nodes with too many members
-branch again, by tokens chosen by hashing the path so far, 1.25 on average, so that two
+branch again, by tokens chosen by hashing the path so far, 1 / threshold on average (1.25 at 0.8), so that two
 sets of the target similarity keep meeting while others part.  Small nodes are
-compared exhaustively.  Independent trees repeat this to the target recall:
-two sets at the threshold share a root's token with probability 0.8, so the
-ten trees miss a link about once in 10^7 where nodes are small.
+compared exhaustively.  Independent trees repeat this to the target recall, ``RECALL`` where all nodes
+branch to the last level, which takes ten trees at 0.8; two sets at the threshold share a root's token with
+probability 0.8, so these miss a link about once in 10^7 where nodes are small.
 
 Copies never multiply: equal sets are one class; in a node, each member is first held only against the node's
 smallest member, and all pairs are looked at only between what these first links have not joined yet.  Nodes that stay
@@ -16,6 +16,7 @@ A link counts only after it is confirmed on the full sets.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -30,7 +31,10 @@ from priorsight.plans.lineage import cut
 
 #: Shingle length in words and similarity in percent, as most of the library's callers want them.
 WORDS, PERCENT = 5, 80
+#: Trees at least, and levels of each.
 TREES, LEVELS = 10, 5
+#: Of links at the threshold, the share that the trees find even if every node on the way branches.
+RECALL = 0.997
 #: Members up to which a node is compared exhaustively, a power of two.
 NODE = 64
 #: Members of a tile of a larger node, about.
@@ -211,7 +215,23 @@ def _between_tiles(members: DataFrame, joined: DataFrame, light: DataFrame, perc
     return met.mapInArrow(_tiles_met(percent), "a long, b long").distinct()
 
 
-def _nodes(classes: DataFrame, trees: int, levels: int) -> DataFrame:
+def _together(percent: int, levels: int) -> float:
+    """How likely a pair at the threshold shares a last node of a tree if every node branches."""
+    alike, kept = percent / 100, 1.0
+    whole, part = divmod(100 / percent, 1)
+    for _ in range(levels - 1):
+        parted = 1 - alike * kept
+        kept = 1 - (1 - part) * parted**whole - part * parted ** (whole + 1)
+    return alike * kept
+
+
+def trees_for(percent: int, levels: int = LEVELS, recall: float = RECALL) -> int:
+    """Trees that find a link at the threshold with probability ``recall``, ``TREES`` at least."""
+    together = _together(percent, levels)
+    return TREES if together >= recall else max(TREES, math.ceil(math.log(1 - recall) / math.log(1 - together)))
+
+
+def _nodes(classes: DataFrame, percent: int, trees: int, levels: int) -> DataFrame:
     """``node, cls``: the nodes at which the trees stop, those of a single member left out."""
     roots = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.col("mins")[t * 37 % TOKENS].alias("token")) for t in range(trees)]))
     rows = classes.select("cls", roots.alias("r")).select(F.xxhash64("r.tree", "r.token").alias("node"), "cls")
@@ -224,19 +244,21 @@ def _nodes(classes: DataFrame, trees: int, levels: int) -> DataFrame:
         large = rows.filter(F.col("members") > NODE)
         if last or large.isEmpty():
             break
-        # The path chooses one token, and with probability 1/4 a second.
-        chosen = F.explode(F.when(F.pmod("node", F.lit(4)) == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+        # The path chooses the whole part of 100 / percent tokens, and with the rest as probability one more.
+        whole, part = divmod(100, percent)
+        tokens = F.lit(whole) + (F.pmod("node", F.lit(percent)) < part).cast("int")
+        chosen = F.explode(F.sequence(F.lit(1), tokens))
         large = large.join(classes.select("cls", "mins"), "cls").withColumn("branch", chosen)
         at = F.pmod(F.xxhash64("node", "branch"), F.lit(TOKENS)).cast("int")
         rows = large.select(F.xxhash64("node", at.alias("at"), F.get("mins", at)).alias("node"), "cls")
     return reduce(DataFrame.unionByName, stopped)
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int = TREES, levels: int = LEVELS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int | None = None, levels: int = LEVELS) -> DataFrame:
     """``doc_id, text_key, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``).
 
     With A-Z lower-cased, documents are linked if their sets of word shingles have an intersection of at least ``percent`` of their union;
-    ``component_id`` is the smallest ``doc_id`` that links reach.
+    ``component_id`` is the smallest ``doc_id`` that links reach.  Unless given, the number of trees follows from ``percent`` and ``RECALL``.
 
     Null texts and texts without words have an empty set, no links and themselves as component; texts with fewer words than a
     shingle have one shingle, the whole sequence; repeated rows are linked; null ids take part but never name a component
@@ -254,7 +276,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # A node with many members left is dealt to blocks of NODE members, in each node anew; their smallest members meet as a block of the node's own.
     shift = F.ceil(F.log2(F.greatest(F.col("members") / NODE, F.lit(1.0)))).cast("int")
     block = F.pmod(F.xxhash64("cls", "node"), F.pow(F.lit(2), shift).cast("long")).alias("block")
-    blocks = _nodes(classes, trees, levels).select("node", "cls", block, (shift > 0).alias("large"))
+    blocks = _nodes(classes, percent, trees or trees_for(percent, levels), levels).select("node", "cls", block, (shift > 0).alias("large"))
     members = cut(blocks.groupBy("node", "block", "cls", "large").count().drop("count"))
     heads = cut(members.groupBy("node", "block").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("size")))
     tops = heads.groupBy("node").agg(F.min("head").alias("top"), F.count(F.lit(1)).alias("blocks")).filter("blocks > 1")

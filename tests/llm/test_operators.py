@@ -115,6 +115,23 @@ def test_large_groups_of_loosely_near_copies(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("percent", [50, 60, 80, 90])
+def test_trees_reach_the_recall(percent):
+    """Pairs at the threshold, followed through trees that branch at every level."""
+    rng, misses, trees = random.Random(7), 0, near_dedup.trees_for(percent)
+    whole, part = divmod(100, percent)
+
+    def meets(level):
+        if rng.random() * 100 >= percent:
+            return False
+        return level == near_dedup.LEVELS or any([meets(level + 1) for _ in range(whole + (rng.random() * percent < part))])
+
+    for _ in range(4000):
+        misses += not any(meets(1) for _ in range(trees))
+    assert misses / 4000 <= 1.6 * (1 - near_dedup.RECALL)
+    assert near_dedup.trees_for(80) == 10
+
+
 def test_substrings(docs, none):
     given = rows()
     width = 12
