@@ -31,7 +31,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the windows of 35 words that occur more than once; a text that loses nothing stays as it is."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
-    done = substring_dedup.remove_repeats(rows)
+    done = substring_dedup.remove_repeats(rows, spread=[F.col("doc.doc_id")])
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("doc.text"))
     changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("doc.n_chars"))} if "n_chars" in docs.columns else {"text": text}
     return done.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -9,9 +9,11 @@ The batch then joins the repeated windows into maximal intervals and cuts them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,7 +54,20 @@ def _spans(covered: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()))
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+def _short(batches):
+    """Texts of fewer words than a window, as they stay."""
+    for batch in batches:
+        words = [t.split() for t in as_bytes(batch["text"])]
+        yield pa.record_batch({
+            "row": batch["row"],
+            "n_words": pa.array([len(w) for w in words], pa.int64()),
+            "n_removed": pa.array([0] * len(words), pa.int64()),
+            "removed": pa.array([[] for _ in words], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
+            "kept": pa.array([b" ".join(w) for w in words], pa.binary()).cast(pa.string()),
+        })
+
+
+def remove_repeats(docs: DataFrame, width: int = WINDOW, spread: Sequence[Column] = ()) -> DataFrame:
     """``docs`` (any columns, ``text`` among them) with ``n_words``, ``n_removed``, ``removed`` and ``kept``.
 
     A word goes if a window of ``width`` words over it has a word sequence that starts anywhere else too, in the
@@ -61,6 +76,8 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     Null texts have no words and an empty ``kept``; texts of fewer than ``width`` words lose nothing; repeated
     rows repeat each other's windows; an empty table gives no rows.  Columns of those four names are replaced.
+    Texts of at least ``width`` words are dealt to batches by text, ``doc_id`` if there is such a column, and the columns
+    ``spread``, which should tell rows with one text apart; the others are not dealt at all.
     Two window sequences count as equal if 64 bits and the bucket from another hash agree.
     """
     own = ("n_words", "n_removed", "removed", "kept")
@@ -68,7 +85,14 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches, buckets = size // BATCH + 1, size // BUCKET + 1
     rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    dealt = docs.select(F.pmod(F.xxhash64("text", *[F.col(f"`{c}`") for c in docs.columns if c == "doc_id"]), F.lit(batches)).alias("batch"), "text", rows)
+    # Split no further than the width, so that long texts cost no more than their first words.
+    space = " \t\n\x0b\x0c\r"
+    windowed = F.coalesce(F.size(F.split(F.trim("text", F.lit(space)), f"[{space}]+", width)) >= width, F.lit(False))
+    if width < 2:
+        windowed = F.lit(True)
+    keys = [F.col(f"`{c}`") for c in docs.columns if c == "doc_id"]
+    dealt = docs.filter(windowed).select(F.pmod(F.xxhash64("text", *keys, *spread), F.lit(batches)).alias("batch"), "text", rows)
+    short = docs.filter(~windowed).select("text", rows)
 
     def send(key: tuple, part: pa.Table) -> pa.Table:
         _, _, _, bucket, hashes = _windows(as_bytes(part["text"]), width, buckets)
@@ -132,7 +156,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     span = T.ArrayType(T.StructType().add("first", T.LongType()).add("last", T.LongType()))
     out = T.StructType().add("row", docs.schema).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("removed", span).add("kept", T.StringType())
     done = dealt.groupBy("batch").cogroup(bits.groupBy("batch")).applyInArrow(cut, out)
-    return done.select("row.*", *own)
+    return done.union(short.mapInArrow(_short, out)).select("row.*", *own)
 
 
 @query(

@@ -153,6 +153,25 @@ def test_substrings(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_equal_texts_share_no_batch(spark, monkeypatch):
+    """Texts without a window skip the batches, and equal longer ones are dealt by the caller's columns."""
+    monkeypatch.setattr(substring_dedup, "BATCH", 1 << 10)
+    text = " ".join(f"w{i}" for i in range(40))
+    texts = [None, "", " \v\f a\r\nb ", " ".join(["c"] * 34) + " ", text] * 50
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").select(F.struct("i").alias("doc"), "text")
+    dealt = []
+    group = type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *c: (dealt.append(self), group(self, *c))[1])
+    got = substring_dedup.remove_repeats(df, spread=[F.col("doc.i")]).collect()
+    batches = {r.batch: r["count"] for r in group(next(d for d in dealt if "batch" in d.columns), "batch").count().collect()}
+    assert sum(batches.values()) == 50 and max(batches.values()) < 50
+    assert len(got) == 250
+    for r in got:
+        words_in = (texts[r.doc.i] or "").split()
+        gone = len(words_in) if len(words_in) >= 35 else 0
+        assert (r.n_words, r.n_removed, r.kept) == (len(words_in), gone, "" if gone else " ".join(words_in))
+
+
 def test_mixing(docs, none):
     given = rows()
     got = mixing.mix(docs).collect()
