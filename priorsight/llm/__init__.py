@@ -9,7 +9,7 @@ from priorsight.llm import registry
 
 
 def load_all() -> None:
-    from priorsight.llm import grace_dedup, language_id, license_scan, mixing, near_dedup, nearest_blocks, periodic_runs, pivot_search, quality, sentence_pieces, substring_dedup, url_filters  # noqa: F401
+    from priorsight.llm import grace_dedup, language_id, license_scan, mixing, near_dedup, nearest_blocks, periodic_runs, pivot_search, quality, sentence_pieces, substring_dedup, token_alignment, url_filters  # noqa: F401
 
 
 def queries() -> dict:
