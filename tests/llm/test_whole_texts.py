@@ -134,6 +134,13 @@ def test_alignment(spark, docs, given, models, sizes):
     assert {((r.a_id, r.b_id), r["count"], r.best) for r in pairs.collect()} == {(k, n, n == best[k[1]]) for k, n in count.items()}
 
 
+def test_both_libraries_encode_alike(given, models):
+    a, _ = models
+    texts = [t for _, t, _ in given if t] + ["a" * 399, "b" * 401, " " * 800, "x" + " \n" * 300 + "y", "ab " * 400, "it's we'll 12345 --- \u00a0\u2003 end "]
+    plain = [e.ids for e in a.model().encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert a._ranked is not None and a.encode(texts) == plain
+
+
 def brute_runs(words, length, times):
     n, found = len(words), []
     for q in range(1, n // times + 1):
