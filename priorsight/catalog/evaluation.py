@@ -50,6 +50,17 @@ def roc_auc(spark, sf):
     return rounded(metrics.roc_auc(scored(spark, sf), "is_risk", "score"))
 
 
+@query(
+    "M13_roc_auc_by_group",
+    f"with {_SCORED} select a.fold, h.hour, round(avg(case when a.score > b.score then 1.0 when a.score = b.score then 0.5 else 0 end), 6) as auc from "
+    "(select *, hour(time) as hour from s join t using (rowkey, is_risk)) a join (select distinct hour(time) as hour from t) h on h.hour = a.hour "
+    "join (select *, hour(time) as hour from s join t using (rowkey, is_risk)) b on a.fold = b.fold and b.hour = a.hour and b.is_risk = 0 where a.is_risk = 1 group by 1, 2",
+)
+def roc_auc_by_group(spark, sf):
+    rows = scored(spark, sf).join(trades(spark, sf).select("rowkey", F.hour("time").cast("long").alias("hour")), "rowkey")
+    return rounded(metrics.roc_auc_by(rows, "is_risk", "score", ["fold", "hour"]).filter("auc is not null").select("fold", "hour", "auc"))
+
+
 @query("M14_confusion", f"with {_SCORED} select is_risk as label, cast(score > 0.5 as int) as predicted, count(*) as n from s group by 1, 2")
 def confusion(spark, sf):
     return metrics.confusion(scored(spark, sf), "is_risk", "score")

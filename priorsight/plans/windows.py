@@ -191,8 +191,10 @@ def window_order_statistics(
     for i in range(rounds):
         shift = DIGIT_BITS * (rounds - 1 - i)
         digit = F.shiftright("code", shift).bitwiseAND(base - 1)
+        # Nothing is found before the first round; a shift by 64 would be one by 0.
+        known = F.shiftright("code", shift + DIGIT_BITS) if i else F.lit(0).cast("long")
         stepped = deltas.select(
-            *keys, "d", us, F.shiftright("code", shift + DIGIT_BITS).alias("found"), F.lit(1).alias("is_event"), *lane,
+            *keys, "d", us, known.alias("found"), F.lit(1).alias("is_event"), *lane,
             *[F.when(digit == j, F.col("by")).otherwise(0).cast("long").alias(c) for j, c in enumerate(digits)],
         )
         asked = with_lane(found, widths, *queries.columns).withColumns({"is_event": F.lit(0), **{c: F.lit(0).cast("long") for c in digits}})

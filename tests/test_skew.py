@@ -166,6 +166,20 @@ def test_statistics_of_large_and_equal_values(spark, values, frame_rows):
     assert abs(got[0].std_1 - pstdev(values)) <= 2**-44 * max(1, max(values)) and (len(set(values)) > 1 or got[0].std_1 == 0)
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_statistics_of_the_largest_values_in_both_modes(spark, ansi):
+    values = [2**63 - 1, 2**63 - 2**40, 2**60, 2**60 - 1, 5]
+    events = spark.createDataFrame([(1, i, v, i) for i, v in enumerate(values)], "id long, us long, code long, event long")
+    queries = spark.createDataFrame([(0, 1, 10**6)], "rowkey long, id long, us long")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        got = families.value_statistics(events, queries, (1,), lambda c: c.cast("double"), frame_rows=2).first()
+        assert (got.max_1, got.min_1, got.med_1) == (float(values[0]), 5.0, float(2**60))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def counts(values):
     out = {}
     for v in values:
