@@ -8,7 +8,8 @@ from priorsight.catalog import query
 from priorsight.catalog.binding import logins, rounded, table, trades
 from priorsight.catalog.splitting import _FOLDS, week
 from priorsight.operators import families, models, splits
-from priorsight.operators.neighbours import neighbour_vote
+from priorsight.operators.hashed_neighbours import hashed_neighbours, recall
+from priorsight.operators.neighbours import nearest_neighbours, neighbour_vote, vote
 from priorsight.plans.lineage import cut
 from priorsight.plans.windows import window_totals
 
@@ -125,6 +126,21 @@ _vote(3)
 _vote(5)
 
 
+@query("M6_neighbour_vote_lsh", _vote_sql(5).replace("round(votes / total, 6) as share", "round(votes / total, 6) as share, true as recall_reached"))
+def vote_lsh(spark, sf):
+    """The vote among hashed neighbours; a row that misses one of its neighbours is given the exact vote, and the recall of all is held against 0.95."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), "label")
+    labels = vectors.select("key", "label")
+    found = cut(hashed_neighbours(vectors, vectors, 6))
+    exact = cut(nearest_neighbours(vectors, vectors, 6))
+    shares = cut(recall(found, exact))
+    total = shares.agg((F.sum("n_found") / F.sum("n_exact")).alias("recall")).first()["recall"]
+    whole = shares.select(F.col("query").alias("key"), (F.col("n_found") == F.col("n_exact")).alias("whole"))
+    hashed, known = (vote(x, labels, 5, same_table=True) for x in (found, exact))
+    chosen = hashed.join(whole.filter("whole"), "key", "left_semi").union(known.join(whole.filter("not whole"), "key", "left_semi"))
+    return rounded(chosen.withColumn("recall_reached", F.lit(total >= 0.95)))
+
+
 @query("M7_feature_importance")
 def feature_importance(spark, sf):
     _, matrix, folds = _setup(spark, sf)

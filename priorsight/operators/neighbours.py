@@ -19,48 +19,78 @@ from pyspark.sql import functions as F
 from priorsight.functions.scalars import hashed_unit
 from priorsight.plans.lineage import cut
 
-MAX_PIVOTS = 256
+#: Pivots held by the driver and every task: at most 4,096 vectors.  Up to there they grow with the root of the rows.
+MAX_PIVOTS = 4_096
 BLOCK_ROWS = 20_000
-SLACK = 1e-9
+SLACK, ROUGH = 1e-9, 1e-6
 CHUNK_NUMBERS = 2_000_000
+#: Rows of (cell, sizes) that are sent to every task; more are joined by cell.
+SENT_CELLS = 500_000
 _FOUND = {"query": "int64", "neighbour": "int64", "distance": "float64"}
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def stacked(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(np.float64)
 
 
 def _search_block(k: int):
+    """The ``k`` nearest of a block to each query: by squared norms and a matrix product, the few that can matter then exactly."""
+
     def search(base: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"query": [], "neighbour": [], "distance": []}).astype(_FOUND)]
         if not base.empty and not asked.empty:
             base = base.sort_values("key", kind="stable")
-            matrix, keys = _matrix(base["vector"]), base["key"].to_numpy()
-            vectors, queries = _matrix(asked["vector"]), asked["query"].to_numpy()
-            step = max(1, CHUNK_NUMBERS // matrix.size)
+            matrix, keys = stacked(base["vector"]), base["key"].to_numpy()
+            vectors, queries = stacked(asked["vector"]), asked["query"].to_numpy()
+            norms, wanted = (matrix**2).sum(axis=1), min(k, len(matrix))
+            step = max(1, CHUNK_NUMBERS // len(matrix))
             for at in range(0, len(queries), step):
-                apart = vectors[at : at + step, None, :] - matrix[None, :, :]
-                distance = np.sqrt((apart * apart).sum(axis=2))
-                best = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                found.append(
-                    pd.DataFrame(
-                        {
-                            "query": np.repeat(queries[at : at + step], best.shape[1]),
-                            "neighbour": keys[best].ravel(),
-                            "distance": np.take_along_axis(distance, best, axis=1).ravel(),
-                        }
-                    )
-                )
+                some = vectors[at : at + step]
+                own = (some**2).sum(axis=1)
+                rough = own[:, None] + norms - 2 * some @ matrix.T
+                bound = np.partition(rough, wanted - 1, axis=1)[:, wanted - 1]
+                # Twice the rounding error of the products keeps every row that may be among the nearest, ties included.
+                slack = 1e-12 * matrix.shape[1] * (own + norms.max())
+                which, near = np.nonzero(rough <= (bound + slack)[:, None])
+                distance = np.empty(len(near))
+                for part in range(0, len(near), max(1, CHUNK_NUMBERS // matrix.shape[1])):
+                    stop = part + max(1, CHUNK_NUMBERS // matrix.shape[1])
+                    apart = some[which[part:stop]] - matrix[near[part:stop]]
+                    distance[part:stop] = np.sqrt((apart * apart).sum(axis=1))
+                order = np.lexsort((near, distance, which))
+                starts = np.searchsorted(which[order], np.arange(len(some)))
+                nth = np.arange(len(order)) - starts[which[order]]
+                best = order[nth < wanted]
+                found.append(pd.DataFrame({"query": queries[at : at + step][which[best]], "neighbour": keys[near[best]], "distance": distance[best]}))
         return pd.concat(found, ignore_index=True)
 
     return search
 
 
-def _best(candidates: DataFrame, k: int) -> DataFrame:
+def best_of(candidates: DataFrame, k: int) -> DataFrame:
     nearest = Window.partitionBy("query").orderBy("distance", "neighbour")
     return candidates.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= k)
 
 
+def search_cells(placed: DataFrame, visits: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``query, neighbour, distance``: the ``k`` nearest rows of ``placed`` (key, vector, cell) in every cell that ``visits`` (query, vector, cell) open.
+
+    Large cells are split into parts and their many visitors into chunks, each part meeting each chunk of its own cell; rows of a cell
+    that nobody visits are not sent at all.
+    """
+    rows = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
+    askers = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("askers"))
+    blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
+    grid = cut(rows.join(askers, "cell").select("cell", blocks("rows").alias("parts"), blocks("askers").alias("chunks")))
+    near = F.broadcast(grid) if grid.count() <= SENT_CELLS else grid
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = lambda key, c: F.pmod(F.xxhash64(key), F.col(c)).cast("int")
+    side = placed.join(near, "cell").select("key", "vector", "cell", one("key", "parts").alias("part"), every("chunks").alias("chunk"))
+    asked = visits.join(near, "cell").select("query", "vector", "cell", one("query", "chunks").alias("chunk"), every("parts").alias("part"))
+    by = ["cell", "part", "chunk"]
+    return side.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(_search_block(k), "query long, neighbour long, distance double")
+
+
 def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query, neighbour, distance, nth`` for the ``k`` nearest base rows by Euclidean distance.
 
@@ -73,8 +103,8 @@ def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int) -> DataFrame
     pivots = np.array([r["vector"] for r in chosen], dtype=np.float64)
 
     def distances(vectors: pd.Series) -> np.ndarray:
-        m = _matrix(vectors)
-        return np.stack([np.sqrt(((m - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+        m = stacked(vectors)
+        return np.sqrt(np.maximum((m**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * m @ pivots.T, 0))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -95,9 +125,8 @@ def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int) -> DataFrame
     ids = np.array(sorted(cells), dtype=np.int64)
     counts = np.array([cells[c][0] for c in ids])
     radii = np.array([cells[c][1] for c in ids])
-    split = {int(c): int(-(-n // BLOCK_ROWS)) for c, n in zip(ids, counts)}
-    chunks = max(1, -(-sizes[1] // BLOCK_ROWS))
-
+    # No vector is longer than its pivot and its cell's radius together.
+    largest = 2 * float(np.sqrt((pivots**2).sum(axis=1)).max(initial=0.0) + radii.max(initial=0.0))
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -109,26 +138,17 @@ def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int) -> DataFrame
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                near = distances(batch["vector"])[:, ids] - radii
-                open_cells = near <= batch["bound"].to_numpy()[:, None] * (1 + SLACK) + SLACK
+                apart = distances(batch["vector"])[:, ids]
+                # Distances from squared norms err by the root of the rounding error, and so do the radii.
+                size = np.sqrt((stacked(batch["vector"]) ** 2).sum(axis=1)) + largest
+                open_cells = apart - radii <= batch["bound"].to_numpy()[:, None] * (1 + SLACK) + (ROUGH * size)[:, None]
                 yield batch[["query", "vector"]].assign(cells=[ids[o].tolist() for o in open_cells])
 
-    blocks = F.create_map(*[F.lit(x) for c in split for x in (c, split[c])])
-    side = placed.withColumn("block", F.pmod(F.xxhash64("key"), blocks[F.col("cell")])).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    ).select("key", "vector", "cell", "block", F.col("chunk").cast("long").alias("chunk"))
     shape = "query long, vector array<double>, cells array<int>"
+    side = placed.select("key", "vector", "cell")
 
     def look(visits: DataFrame) -> DataFrame:
-        opened = visits.select("query", "vector", F.explode("cells").alias("cell")).select(
-            "*", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)).alias("part")
-        ).withColumn("block", F.col("part").cast("long")).drop("part")
-        opened = opened.withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks)))
-        by = ["cell", "block", "chunk"]
-        candidates = side.groupBy(*by).cogroup(opened.groupBy(*by)).applyInPandas(
-            _search_block(k), "query long, neighbour long, distance double"
-        )
-        return _best(candidates, k)
+        return best_of(search_cells(side, visits.select("query", "vector", F.explode("cells").alias("cell")), k), k)
 
     asked = queries.select(F.col("key").alias("query"), F.col("vector").cast("array<double>").alias("vector"))
     first = look(asked.mapInPandas(home, shape))
@@ -143,10 +163,13 @@ def neighbour_vote(base: DataFrame, queries: DataFrame, labels: DataFrame, k: in
     ``labels`` holds ``key`` and ``label``.  ``same_table`` leaves a row out of
     its own neighbours.
     """
-    found = nearest_neighbours(base, queries, k + 1 if same_table else k)
+    return vote(nearest_neighbours(base, queries, k + 1 if same_table else k), labels, k, same_table)
+
+
+def vote(found: DataFrame, labels: DataFrame, k: int, same_table: bool = False) -> DataFrame:
     if same_table:
         others = found.filter(F.col("neighbour") != F.col("query")).drop("nth")
-        found = _best(others, k)
+        found = best_of(others, k)
     voted = found.join(labels.withColumnRenamed("key", "neighbour"), "neighbour").groupBy("query", "label").agg(
         F.count(F.lit(1)).alias("votes")
     )
