@@ -25,6 +25,39 @@ def csv_scan(spark, sf):
     return files.read_csv(spark, path, files.TRADE_SCHEMA)
 
 
+_SPOILT = "case when rowkey % 97 = 0 then 'does not fit: is_risk' when rowkey % 89 = 0 then 'does not fit: hour, is_risk' end"
+
+
+@query(
+    "A1_csv_quarantine",
+    f"with {LOGS}, m as (select {_SPOILT} as reason from t) select coalesce(reason, 'fits') as reason, count(*) as n from m group by 1",
+)
+def csv_quarantine(spark, sf):
+    """Records in which one or two numbers are words are kept apart, each with its reason; the others go on."""
+    path = files.scratch_path(spark, "spoilt-csv")
+    first, second = F.col("rowkey") % 97 == 0, F.col("rowkey") % 89 == 0
+    risk = F.when(first | second, "yes").otherwise(F.col("is_risk").cast("string")).alias("is_risk")
+    hour = F.when(second & ~first, "noon").otherwise(F.hour("time").cast("string")).alias("hour")
+    files.write_csv(trades(spark, sf).select(F.col("rowkey").cast("string").alias("rowkey"), hour, risk), path)
+    schema = T.StructType([T.StructField("is_risk", T.IntegerType()), T.StructField("rowkey", T.LongType()), T.StructField("hour", T.IntegerType())])
+    good, bad = files.read_csv_apart(spark, path, schema)
+    return good.select(F.lit("fits").alias("reason")).union(bad.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "A2_json_quarantine",
+    "select case when p_partkey % 50 = 0 then 'is no JSON' when p_partkey % 70 = 0 then 'does not fit: price' else 'fits' end as reason, count(*) as n from part group by 1",
+)
+def json_quarantine(spark, sf):
+    path = files.scratch_path(spark, "spoilt-json")
+    price = F.when(F.col("listing_id") % 70 == 0, F.lit("cheap")).otherwise(F.col("price").cast("string"))
+    quote = F.when(F.col("listing_id") % 70 == 0, F.lit('"')).otherwise("")
+    line = F.concat(F.lit('{"listing_id": '), F.col("listing_id"), F.lit(', "price": '), quote, price, quote, F.when(F.col("listing_id") % 50 == 0, "").otherwise("}"))
+    _listings(spark, sf).select(line.alias("value")).write.text(path)
+    good, bad = files.read_json_apart(spark, path, files.LISTING_SCHEMA)
+    return good.select(F.lit("fits").alias("reason")).union(bad.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 _LISTINGS = """select p_partkey as listing_id, case when p_retailprice < 1000 then 'low' when p_retailprice < 1500 then 'medium' else 'high' end as interest_level,
     p_retailprice as price, p_size as bedrooms, string_split(p_name || ' ' || p_type, ' ') as features from part"""
 
@@ -71,6 +104,21 @@ def assemble_feature_sets(spark, sf):
     return files.assemble(spark, _store(spark, sf), sets)
 
 
+@query(
+    "A4_assemble_buckets",
+    f"with {LOGS} select t.rowkey, t.period, t.amount, count(l.us) filter (where t.us - l.us < 7 * 86400000000) as logins_7, "
+    "count(l.us) filter (where t.us - l.us < 30 * 86400000000 and l.result < 0) as failures_30 "
+    "from t left join l on l.id = t.id and l.us < t.us group by t.rowkey, t.period, t.amount",
+)
+def assemble_buckets(spark, sf):
+    store = files.scratch_path(spark, "buckets")
+    log, asked = logins(spark, sf), trades(spark, sf)
+    one = {"logins": F.lit(1).cast("long"), "failures": (F.col("result") < 0).cast("long")}
+    files.write_bucketed(trailing_counts(log, asked.select("rowkey", "id", "us"), (30, 7), measures=one).drop("id", "us"), store, "logins", buckets=8)
+    files.write_bucketed(asked.select("rowkey", "period", "amount", "is_risk"), store, "trades", buckets=8)
+    return files.assemble_bucketed(spark, store, {"trades": ["period", "amount"], "logins": ["logins_7", "failures_30"]}, buckets=8)
+
+
 @query("A5_csv_sink", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders")
 def csv_sink(spark, sf):
     path = files.scratch_path(spark, "orders-csv")

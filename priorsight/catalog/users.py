@@ -32,6 +32,16 @@ def distinct_counts(spark, sf):
     return logins(spark, sf).groupBy("id").agg(*users.distinct_counts(_COUNTED))
 
 
+@query(
+    "F3_approximate_distinct_counts",
+    f"with {LOGS} select id, " + ", ".join(f'count(distinct {c}) as "{c}_Counts"' for c in _COUNTED) + " from l where day(time) between 8 and 21 group by id",
+)
+def approximate_distinct_counts(spark, sf):
+    """Two weeks rolled up from daily sketches; a sketch of a few hundred values counts them exactly."""
+    sketches = users.daily_sketches(logins(spark, sf), _COUNTED)
+    return users.rolled_up(sketches.filter(F.dayofmonth("day").between(8, 21)), _COUNTED)
+
+
 def _spread(name: str, which: str, sql: str) -> None:
     @query(name, f'with {LOGS} select id, round({sql}(timelong), 3) as "timelong_{which}" from l group by id')
     def one(spark, sf):

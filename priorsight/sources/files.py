@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +83,50 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, malformed: s
     return spark.read.schema(schema).option("mode", _mode(malformed)).json(path)
 
 
+_RAW = "_raw"
+
+
+def read_csv_apart(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The records that fit ``schema``, and those that do not: ``raw`` text, ``file``, ``reason`` and ``parsed``, the fields that could be read.
+
+    Columns are found by the header's names, as in ``read_csv``, whose errors for a header apply.  Both tables are one
+    scan each and neither holds a record of the other.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(header)}")
+    types = {f.name: f.dataType for f in schema.fields}
+    fields = [T.StructField(c, types.get(c, T.StringType())) for c in header]
+    asked = T.StructType([*fields, T.StructField(_RAW, T.StringType())])
+    rows = spark.read.schema(asked).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_RAW).csv(path)
+    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    as_text = F.from_csv(F.col(_RAW), text.simpleString()[len("struct<") : -1].replace(":", " "))
+    wrong = [F.when(as_text[c].isNotNull() & F.col(f"`{c}`").isNull(), F.lit(c)) for c in header]
+    named = F.array_join(F.array_compact(F.array(*wrong)), ", ")
+    reason = F.when(named != "", F.concat(F.lit("does not fit: "), named)).otherwise(f"has not {len(header)} fields")
+    return rows.filter(F.col(_RAW).isNull() & _whole(header)).select(*schema.names), _quarantined(rows, header, reason)
+
+
+def read_json_apart(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """As ``read_csv_apart`` for JSON lines; a record may lack fields, which are null."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(_RAW, T.StringType())])).options(mode="PERMISSIVE", columnNameOfCorruptRecord=_RAW).json(path)
+    wrong = [F.when(F.get_json_object(_RAW, f"$.{c}").isNotNull() & F.col(f"`{c}`").isNull(), F.lit(c)) for c in schema.names]
+    named = F.array_join(F.array_compact(F.array(*wrong)), ", ")
+    reason = F.when(F.try_parse_json(_RAW).isNull(), "is no JSON").when(named != "", F.concat(F.lit("does not fit: "), named)).otherwise("is no record")
+    return rows.filter(F.col(_RAW).isNull() & _whole(schema.names)).select(*schema.names), _quarantined(rows, schema.names, reason)
+
+
+def _whole(names: Sequence[str]) -> Column:
+    """True, by way of all columns: a reader parses, and so judges, only the columns that a query needs."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in names]) >= F.lit(-(2**63))
+
+
+def _quarantined(rows: DataFrame, names: Sequence[str], reason: Column) -> DataFrame:
+    bad = rows.filter(F.col(_RAW).isNotNull() & _whole(names))
+    return bad.select(F.col(_RAW).alias("raw"), F.col("_metadata.file_path").alias("file"), reason.alias("reason"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("parsed"))
+
+
 def _mode(malformed: str) -> str:
     return {"fail": "FAILFAST", "null": "PERMISSIVE"}[malformed]
 
@@ -112,6 +157,34 @@ def assemble(
     return beside(parts if base is None else [base, *parts], key)
 
 
+#: Buckets of a stored family, the same for all families of a store; a bucket should hold about 200 MB.
+BUCKETS = 64
+
+
+def _bucketed(spark: SparkSession, store: str, family: str, key: str, buckets: int) -> str:
+    """The name under which the session knows a bucketed family; a session that has not written it finds it in the store."""
+    name = f"family_{hashlib.md5(f'{store}/{family}'.encode()).hexdigest()}"
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{store}/{family}").schema.fields)
+        spark.sql(f"create table {name} ({columns}) using parquet clustered by (`{key}`) sorted by (`{key}`) into {buckets} buckets location '{store}/{family}'")
+    return name
+
+
+def write_bucketed(df: DataFrame, store: str, family: str, key: str = "rowkey", buckets: int = BUCKETS) -> None:
+    """One family, dealt to buckets by ``key`` and sorted in each, one file a bucket: the one shuffle its rows ever need."""
+    name = f"family_{hashlib.md5(f'{store}/{family}'.encode()).hexdigest()}"
+    dealt = df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+    dealt.bucketBy(buckets, key).sortBy(key).option("path", f"{store}/{family}").saveAsTable(name)
+
+
+def assemble_bucketed(
+    spark: SparkSession, store: str, sets: Mapping[str, Sequence[str]], key: str = "rowkey", buckets: int = BUCKETS
+) -> DataFrame:
+    """As ``assemble``, of bucketed families: bucket joins bucket, so no row is exchanged, however many families there are."""
+    parts = [spark.table(_bucketed(spark, store, family, key, buckets)).select(key, *columns).hint("merge") for family, columns in sets.items()]
+    return beside(parts, key)
+
+
 def beside(parts: Sequence[DataFrame], key: str = "rowkey") -> DataFrame:
     """Blocks of columns side by side, matched by key and led by the first block."""
     out, *rest = parts
