@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -11,17 +13,19 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from priorsight.functions.scalars import MISSING
 from priorsight.operators import metrics
-from priorsight.operators.splits import class_weights
-from priorsight.plans.lineage import cut
+from priorsight.operators.neighbours import nearest_neighbours
+from priorsight.operators.splits import class_weights, shuffled_folds
+from priorsight.plans.concurrent import AT_ONCE, together
+from priorsight.plans.lineage import checkpoint_dir, cut
 
 Fit = Callable[[DataFrame], object]
 
@@ -57,24 +61,55 @@ def decision_tree(depth: int = 4, seed: int = 0) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(maxDepth=depth, seed=seed, featuresCol="features", labelCol="label")
 
 
+def regression_tree(depth: int = 4, seed: int = 0) -> DecisionTreeRegressor:
+    """A tree that splits by variance, which of a 0/1 label is half the Gini impurity; unlike a classifier it keeps splits whose sides agree."""
+    return DecisionTreeRegressor(maxDepth=depth, seed=seed, featuresCol="features", labelCol="label")
+
+
 def logistic_regression(weight: str | None = None) -> LogisticRegression:
     extra = {"weightCol": weight} if weight else {}
     return LogisticRegression(maxIter=20, regParam=0.01, featuresCol="features", labelCol="label", **extra)
 
 
-def linear_regression() -> LinearRegression:
-    return LinearRegression(maxIter=20, regParam=0.01, featuresCol="features", labelCol="label")
+def linear_regression(penalty: float = 0.01) -> LinearRegression:
+    return LinearRegression(maxIter=20, regParam=penalty, featuresCol="features", labelCol="label")
+
+
+class NeighbourShare:
+    """The share of label 1 among the ``k`` nearest training rows, features scaled to the training rows' deviations.
+
+    Fitted and scored like the other estimators; keys are whole numbers.
+    """
+
+    def __init__(self, k: int, key: str = "rowkey"):
+        self.k, self.key = k, key
+
+    def fit(self, train: DataFrame) -> NeighbourShare:
+        fitted = NeighbourShare(self.k, self.key)
+        fitted.scaler = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="scaled").fit(train)
+        fitted.base = fitted._vectors(train)
+        return fitted
+
+    def _vectors(self, matrix: DataFrame) -> DataFrame:
+        return self.scaler.transform(matrix).select(F.col(self.key).cast("long").alias("key"), vector_to_array("scaled").alias("vector"), "label")
+
+    def scores(self, matrix: DataFrame, name: str) -> DataFrame:
+        found = nearest_neighbours(self.base.drop("label"), self._vectors(matrix).drop("label"), self.k)
+        shares = found.join(self.base.select(F.col("key").alias("neighbour"), "label"), "neighbour").groupBy("query").agg(F.avg("label").alias(name))
+        return matrix.select(self.key, "label").join(shares, F.col(self.key) == F.col("query"), "left").select(self.key, "label", name)
 
 
 def scored(model, matrix: DataFrame, name: str = "score", key: str = "rowkey") -> DataFrame:
-    """Key, label and the probability of label 1 (or the prediction of a regression)."""
+    """Key, label and the probability of label 1 (or the prediction of a regression, or the share of neighbours)."""
+    if isinstance(model, NeighbourShare):
+        return model.scores(matrix, name)
     out = model.transform(matrix)
     score = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
     return out.select(key, "label", score.alias(name))
 
 
-def scores_per_round(model: GBTClassificationModel, matrix: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``iteration`` and ``f_beta`` of the model cut off after every boosting round.
+def margins_per_round(model: GBTClassificationModel, matrix: DataFrame) -> DataFrame:
+    """``label``, ``iteration`` and ``margin``, the model's output when it is cut off after each boosting round.
 
     A row's tree outputs become an array of running sums, so the plan grows with the number of trees and not with its square.
     """
@@ -83,9 +118,19 @@ def scores_per_round(model: GBTClassificationModel, matrix: DataFrame, threshold
         out = tree.setPredictionCol(f"tree_{i}").setFeaturesCol("features").transform(out)
     outputs = F.array(*[F.col(f"tree_{i}") * float(w) for i, w in enumerate(model.treeWeights)])
     sums = F.aggregate(outputs, F.array().cast("array<double>"), lambda done, x: F.array_append(done, F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + x))
-    rounds = out.select("label", F.posexplode(sums).alias("at", "margin"))
-    probability = 1 / (1 + F.exp(-2 * F.col("margin")))
-    return rounds.groupBy((F.col("at") + 1).alias("iteration")).agg(metrics.f_beta(F.col("label"), probability, threshold).alias("f_beta"))
+    return out.select("label", F.posexplode(sums).alias("at", "margin")).select("label", (F.col("at") + 1).alias("iteration"), "margin")
+
+
+def _measured(rows: DataFrame, by: Sequence[str], score: str, threshold: float) -> DataFrame:
+    """``f_beta`` and ``auc`` of every group: one aggregation and one order for all groups."""
+    f_betas = rows.groupBy(*by).agg(metrics.f_beta(F.col("label"), F.col(score), threshold).alias("f_beta"))
+    return f_betas.join(metrics.roc_auc_by(rows, "label", score, by).select(*by, "auc"), list(by), "left")
+
+
+def scores_per_round(model: GBTClassificationModel, matrix: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``iteration``, ``f_beta`` and ``auc`` of the model cut off after every boosting round."""
+    probability = (1 / (1 + F.exp(-2 * F.col("margin")))).alias("score")
+    return _measured(margins_per_round(model, matrix).select("iteration", "label", probability), ["iteration"], "score", threshold)
 
 
 def fold_parts(matrix: DataFrame, folds: DataFrame, fold: int, key: str = "rowkey") -> tuple[DataFrame, DataFrame]:
@@ -96,24 +141,34 @@ def fold_parts(matrix: DataFrame, folds: DataFrame, fold: int, key: str = "rowke
     return train, validation
 
 
-def per_round_over_folds(matrix: DataFrame, folds: DataFrame, numbers: Iterable[int], estimator: GBTClassifier) -> tuple[DataFrame, list]:
-    """F-beta per fold and boosting round, and the fitted models."""
-    models, parts = [], []
-    for number in numbers:
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def per_round_over_folds(
+    matrix: DataFrame, folds: DataFrame, numbers: Iterable[int], estimator: GBTClassifier, threshold: float = 0.5, at_once: int = AT_ONCE
+) -> tuple[DataFrame, list]:
+    """``f_beta`` and ``auc`` per fold and boosting round, and the fitted models.
+
+    Folds are fitted side by side; the margins of all folds and rounds are then measured together.
+    """
+    numbers = list(numbers)
+
+    def job(number: int):
         train, validation = fold_parts(matrix, folds, number)
         model = estimator.fit(train)
-        models.append(model)
-        parts.append(scores_per_round(model, validation).select(F.lit(number).alias("fold"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, models
+        return model, cut(margins_per_round(model, validation).withColumn("fold", F.lit(number)))
+
+    done = list(together(matrix.sparkSession, {f"fold {n}": lambda n=n: job(n) for n in numbers}, at_once).values())
+    probability = (1 / (1 + F.exp(-2 * F.col("margin")))).alias("score")
+    rows = _union(m for _, m in done).select("fold", "iteration", "label", probability)
+    return _measured(rows, ["fold", "iteration"], "score", threshold), [model for model, _ in done]
 
 
-def best_round(per_round: DataFrame) -> DataFrame:
-    """The round with the best metric on average over the folds, the earliest in a tie."""
-    mean = per_round.groupBy("iteration").agg(F.avg("f_beta").alias("f_beta"))
-    return mean.orderBy(F.desc("f_beta"), "iteration").limit(1)
+def best_round(per_round: DataFrame, metric: str = "f_beta") -> DataFrame:
+    """The round with the best metric on average over the folds, the earliest in a tie; both metrics' means."""
+    mean = per_round.groupBy("iteration").agg(F.avg("f_beta").alias("f_beta"), F.avg("auc").alias("auc"))
+    return mean.orderBy(F.desc(metric), "iteration").limit(1)
 
 
 def importances(spark: SparkSession, models: Sequence, features: Sequence[str]) -> DataFrame:
@@ -149,34 +204,91 @@ def tree_rules(model, features: Sequence[str]) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, "leaf int, rule string, prediction double")
 
 
-def mean_metrics(matrix: DataFrame, folds: DataFrame, numbers: Sequence[int], fit: Fit) -> tuple[dict, list]:
-    """Mean ``f_beta`` and ``auc`` over the folds, how many folds the ``auc`` has, and the models.
+def tree_nodes(spark: SparkSession, models: Mapping[str, object], features: Sequence[str]) -> DataFrame:
+    """The nodes of fitted trees and ensembles as rows: ``model, tree, node, depth, feature, threshold, gain, n_rows, prediction``.
 
-    A fold whose validation rows are all of one class has no area under the curve and is left out of that mean.
+    Read from the models' own node tables, so any number of trees is one scan; leaves have no feature, threshold or gain.
+    """
+    names = F.array(*[F.lit(f) for f in features])
+    tables = []
+    for name, model in models.items():
+        path = f"{checkpoint_dir(spark)}/tables/model-{uuid.uuid4().hex[:12]}"
+        model.write().save(path)
+        data = spark.read.parquet(f"{path}/data")
+        tree, node = ("treeID", "nodeData.") if "treeID" in data.columns else (F.lit(0), "")
+        at = F.col(f"{node}split.featureIndex")
+        tables.append(data.select(
+            F.lit(name).alias("model"), (F.col(tree) if isinstance(tree, str) else tree).cast("int").alias("tree"), F.col(f"{node}id").alias("node"),
+            F.when(at >= 0, F.get(names, at)).alias("feature"), F.when(at >= 0, F.get(f"{node}split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
+            F.when(at >= 0, F.col(f"{node}gain")).alias("gain"), F.col(f"{node}rawCount").alias("n_rows"), F.col(f"{node}prediction").alias("prediction"),
+            F.col(f"{node}leftChild").alias("left"), F.col(f"{node}rightChild").alias("right"),
+        ))
+    rows = cut(_union(tables))
+    level = rows.filter("node = 0").withColumn("depth", F.lit(0))
+    found = [level]
+    while not level.filter("feature is not null").isEmpty():  # once a level, of which MLlib allows thirty
+        below = level.filter("feature is not null").select("model", "tree", F.explode(F.array("left", "right")).alias("node"), (F.col("depth") + 1).alias("depth"))
+        level = cut(rows.join(below, ["model", "tree", "node"]))
+        found.append(level)
+    return _union(found).select("model", "tree", "node", "depth", "feature", "threshold", "gain", "n_rows", "prediction")
+
+
+def split_counts(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
+    """How often each feature splits a node and what it gains in all; features that never split have zeros."""
+    spark = nodes.sparkSession
+    every = spark.createDataFrame([(f,) for f in features], "feature string")
+    used = nodes.filter("feature is not null").groupBy("feature").agg(F.count(F.lit(1)).alias("splits"), F.sum("gain").alias("gain"))
+    return every.join(used, "feature", "left").fillna({"splits": 0, "gain": 0.0})
+
+
+def fold_metrics(
+    jobs: Mapping[str, tuple[DataFrame, Fit]], folds: DataFrame, numbers: Sequence[int], at_once: int = AT_ONCE, threshold: float = 0.5
+) -> tuple[DataFrame, dict[str, list]]:
+    """``name, fold, f_beta, auc`` of every job (a matrix and how to fit it) on every fold, and each job's models.
+
+    All fits run side by side, ``at_once`` at a time, and all scores are measured together.  A fold whose validation rows are all of
+    one class has no ``auc``; one without any validation rows has no row.
     """
-    f_betas, aucs, models = [], [], []
-    for number in numbers:
+    spark = folds.sparkSession
+
+    def job(name: str, number: int):
+        matrix, fit = jobs[name]
         train, validation = fold_parts(matrix, folds, number)
         model = fit(train)
-        models.append(model)
-        result = cut(scored(model, validation))
-        f_betas.append(result.agg(metrics.f_beta(F.col("label"), F.col("score")).alias("f")).first()["f"] or 0.0)
-        aucs.append(metrics.roc_auc(result, "label", "score").first()["auc"])
-    some = [a for a in aucs if a is not None]
-    return {"f_beta": sum(f_betas) / len(f_betas), "auc": sum(some) / len(some) if some else None, "auc_folds": len(some)}, models
+        return model, cut(scored(model, validation).select("label", "score", F.lit(name).alias("name"), F.lit(number).alias("fold")))
+
+    todo = {f"{name}, fold {n}": lambda name=name, n=n: job(name, n) for name in jobs for n in numbers}
+    done = list(together(spark, todo, at_once).values())
+    per = len(numbers)
+    models = {name: [m for m, _ in done[i * per : (i + 1) * per]] for i, name in enumerate(jobs)}
+    return _measured(_union(d for _, d in done), ["name", "fold"], "score", threshold), models
+
+
+def means_of(per_fold: DataFrame) -> DataFrame:
+    """Per name the mean ``f_beta`` and ``auc`` over the folds, and how many folds have an ``auc``."""
+    return per_fold.groupBy("name").agg(F.avg("f_beta").alias("f_beta"), F.avg("auc").alias("auc"), F.count("auc").cast("int").alias("auc_folds"))
+
+
+def mean_metrics(matrix: DataFrame, folds: DataFrame, numbers: Sequence[int], fit: Fit, at_once: int = AT_ONCE) -> tuple[dict, list]:
+    """Mean ``f_beta`` and ``auc`` over the folds, how many folds the ``auc`` has, and the models."""
+    per_fold, models = fold_metrics({"all": (matrix, fit)}, folds, numbers, at_once)
+    return means_of(per_fold).drop("name").first().asDict(), models["all"]
 
 
 _METRICS = "f_beta double, auc double, auc_folds int"
 
 
 def backward_elimination(
-    df: DataFrame, features: Sequence[str], folds: DataFrame, numbers: Sequence[int], fit: Fit, keep: float = 0.95, until: float = 0.2
+    df: DataFrame, features: Sequence[str], folds: DataFrame, numbers: Sequence[int], fit: Fit, keep: float = 0.95, until: float = 0.2, at_once: int = AT_ONCE
 ) -> DataFrame:
-    """Keep the most important ``keep`` of what is left, while more than ``until`` of all are; one row per step with its mean metrics."""
+    """Keep the most important ``keep`` of what is left, while more than ``until`` of all are; one row per step with its mean metrics.
+
+    Steps follow each other, as each needs the last one's importances; the folds of a step are fitted side by side.
+    """
     table = cut(df)
     left, steps = list(features), []
     while left:
-        found, models = mean_metrics(model_matrix(table, left), folds, numbers, fit)
+        found, models = mean_metrics(cut(model_matrix(table, left)), folds, numbers, fit, at_once)
         ranked = [r["feature"] for r in importances(df.sparkSession, models, left).orderBy("place").select("feature").collect()]
         steps.append((len(steps), len(left), *found.values(), ranked))
         if len(left) <= until * len(features):
@@ -186,38 +298,67 @@ def backward_elimination(
 
 
 def grid_search(
-    matrix: DataFrame, folds: DataFrame, numbers: Sequence[int], grid: Sequence[Mapping], estimator: Callable[..., object]
+    matrix: DataFrame, folds: DataFrame, numbers: Sequence[int], grid: Sequence[Mapping], estimator: Callable[..., object], at_once: int = AT_ONCE
 ) -> DataFrame:
-    """Mean F-beta and AUC over the temporal folds for every setting of the grid."""
-    rows = [(str(dict(s)), *mean_metrics(matrix, folds, numbers, estimator(**s).fit)[0].values()) for s in grid]
-    return matrix.sparkSession.createDataFrame(rows, f"setting string, {_METRICS}")
+    """Mean F-beta and AUC over the temporal folds for every setting of the grid; all fits side by side."""
+    jobs = {str(dict(s)): (matrix, estimator(**s).fit) for s in grid}
+    return means_of(fold_metrics(jobs, folds, numbers, at_once)[0]).withColumnRenamed("name", "setting")
 
 
-def ablation(df: DataFrame, sets: Mapping[str, Sequence[str]], folds: DataFrame, numbers: Sequence[int], fit: Fit) -> DataFrame:
-    """Mean metrics over the folds for every named set of features."""
+def ablation(df: DataFrame, sets: Mapping[str, Sequence[str]], folds: DataFrame, numbers: Sequence[int], fit: Fit, at_once: int = AT_ONCE) -> DataFrame:
+    """Mean metrics over the folds for every named set of features; all fits side by side."""
     table = cut(df)
-    rows = [(name, len(columns), *mean_metrics(model_matrix(table, columns), folds, numbers, fit)[0].values()) for name, columns in sets.items()]
-    return df.sparkSession.createDataFrame(rows, f"name string, n_features int, {_METRICS}")
+    jobs = {name: (model_matrix(table, columns), fit) for name, columns in sets.items()}
+    sizes = table.sparkSession.createDataFrame([(name, len(columns)) for name, columns in sets.items()], "name string, n_features int")
+    return means_of(fold_metrics(jobs, folds, numbers, at_once)[0]).join(F.broadcast(sizes), "name")
 
 
-def out_of_fold(matrix: DataFrame, estimators: Mapping[str, object], fold: str = "fold", k: int = 5, key: str = "rowkey") -> DataFrame:
-    """A meta feature per estimator: each row scored by the model fitted on the other folds."""
-    out = None
-    for number in range(k):
+def out_of_fold(
+    matrix: DataFrame, estimators: Mapping[str, object], fold: str = "fold", k: int = 5, key: str = "rowkey", at_once: int = AT_ONCE
+) -> DataFrame:
+    """A meta feature per estimator: each row scored by the model fitted on the other folds.  Key, label, ``fold`` and the scores."""
+    def job(name: str, number: int) -> DataFrame:
         rest, own = matrix.filter(F.col(fold) != number), matrix.filter(F.col(fold) == number)
-        part = own.select(key, "label", fold)
-        for name, estimator in estimators.items():
-            part = part.join(scored(estimator.fit(rest), own, name, key).drop("label"), key)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return cut(scored(estimators[name].fit(rest), own, "score", key).select(key, F.lit(name).alias("learner"), "score"))
+
+    todo = {f"{name}, fold {n}": lambda name=name, n=n: job(name, n) for name in estimators for n in range(k)}
+    return matrix.select(key, "label", fold).join(_wide(together(matrix.sparkSession, todo, at_once).values(), list(estimators), key), key)
 
 
-def meta_features(train: DataFrame, test: DataFrame, estimators: Mapping[str, object], key: str = "rowkey") -> DataFrame:
+def meta_features(train: DataFrame, test: DataFrame, estimators: Mapping[str, object], key: str = "rowkey", at_once: int = AT_ONCE) -> DataFrame:
     """The test side of stacking: scores of models fitted on all training rows."""
-    out = test.select(key, "label")
-    for name, estimator in estimators.items():
-        out = out.join(scored(estimator.fit(train), test, name, key).drop("label"), key)
-    return out
+    def job(name: str) -> DataFrame:
+        return cut(scored(estimators[name].fit(train), test, "score", key).select(key, F.lit(name).alias("learner"), "score"))
+
+    todo = {name: lambda name=name: job(name) for name in estimators}
+    return test.select(key, "label").join(_wide(together(train.sparkSession, todo, at_once).values(), list(estimators), key), key)
+
+
+def _wide(parts: Iterable[DataFrame], learners: Sequence[str], key: str) -> DataFrame:
+    """One row a key with a column of scores for each learner, by one aggregation instead of a join a learner."""
+    return _union(parts).groupBy(key).agg(*[F.max(F.when(F.col("learner") == n, F.col("score"))).alias(n) for n in learners])
+
+
+def stack(
+    train: DataFrame, test: DataFrame, estimators: Mapping[str, object], meta, thresholds: Sequence[float], k: int = 5, meta_folds: int = 5, key: str = "rowkey",
+    at_once: int = AT_ONCE,
+) -> tuple[DataFrame, DataFrame]:
+    """Test rows scored by a model of models, and the sweep that chose its threshold.
+
+    ``train`` has a ``fold`` column of ``k`` folds, out of which every learner scores it.  The meta model is judged on shuffled folds of
+    its own, drawn anew; the threshold with the best F-beta there (the least in a tie) labels the test rows, which the meta model
+    fitted on all out-of-fold scores has scored.  First result: key, label, ``score``, ``is_risk``.
+    """
+    learners = list(estimators)
+    inside = cut(out_of_fold(train, estimators, k=k, key=key, at_once=at_once))
+    outside = cut(meta_features(train.drop("fold"), test, estimators, key, at_once))
+    as_matrix = lambda df: model_matrix(df.withColumnRenamed("label", "is_risk"), learners, key)
+    again = shuffled_folds(inside.select(key), key, meta_folds, salt="meta").select(key, "fold")
+    judged = cut(out_of_fold(cut(as_matrix(inside).join(again, key)), {"score": meta}, k=meta_folds, key=key, at_once=at_once))
+    sweep = cut(metrics.threshold_sweep(judged, "label", "score", thresholds))
+    best = sweep.orderBy(F.desc("f_beta"), "threshold").first()["threshold"]
+    final = scored(meta.fit(as_matrix(inside)), as_matrix(outside), key=key)
+    return final.withColumn("is_risk", (F.col("score") > best).cast("int")), sweep
 
 
 def weighted(matrix: DataFrame, positive: float | None = None) -> DataFrame:
