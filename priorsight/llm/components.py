@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorsight.plans.lineage import checkpoint_dir, cut
@@ -14,24 +14,47 @@ from priorsight.plans.lineage import checkpoint_dir, cut
 TASK_LINKS = 250_000
 
 
-def written(df: DataFrame, files: int) -> DataFrame:
-    """``df`` from a table of at most so many files, written to the shared folder.
+class Steps:
+    """The tables of one loop, each written to the shared folder; a table goes as soon as the next step stands.
 
-    For loops: a checkpoint keeps the size estimates of the plan it cuts, which multiply with every join of a loop.
+    A checkpoint would keep the size estimates of the plan it cuts, which multiply with every join of a loop.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/steps-{uuid.uuid4().hex}"
-    df.coalesce(files).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def __init__(self, spark: SparkSession, files: int):
+        self.spark, self.files, self.folder, self.paths = spark, files, f"{checkpoint_dir(spark)}/steps-{uuid.uuid4().hex}", {}
 
-def _roots(edges: DataFrame, files: int) -> DataFrame:
-    """``id, to``: every id points to its smallest neighbour or itself, and pointers are followed to their ends, doubling their length."""
-    tree = written(edges.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("to")), files)
+    def write(self, df: DataFrame) -> DataFrame:
+        """``df`` from a new table of at most ``files`` files."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.coalesce(self.files).write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (path, table)
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes tables that nothing will read any more."""
+        for table in tables:
+            if id(table) in self.paths:
+                self._delete(self.paths.pop(id(table))[0])
+
+    def clear(self) -> None:
+        self.paths.clear()
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _roots(edges: DataFrame, steps: Steps) -> DataFrame:
+    """``id, to, moved``: every id points to its smallest neighbour or itself, and pointers are followed to their ends, doubling their length."""
+    tree = steps.write(edges.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("to")))
     while True:
-        further = tree.select(F.col("id").alias("to"), F.col("to").alias("last"))
-        tree = written(tree.select("id", "to").join(further, "to").select("id", F.col("last").alias("to"), (F.col("last") != F.col("to")).alias("moved")), files)
+        further, before = tree.select(F.col("id").alias("to"), F.col("to").alias("last")), tree
+        tree = steps.write(tree.select("id", "to").join(further, "to").select("id", F.col("last").alias("to"), (F.col("last") != F.col("to")).alias("moved")))
+        steps.drop(before)
         if tree.filter("moved").isEmpty():
-            return tree.select("id", "to")
+            return tree
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -42,17 +65,20 @@ def components(links: DataFrame) -> DataFrame:
     chains are followed by doubling, so rounds and steps stay logarithmic.  Nothing is collected.
     """
     both = cut(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    files = 8 + both.count() // TASK_LINKS
-    edges = written(both, files)
-    labels = None
+    steps = Steps(links.sparkSession, 8 + both.count() // TASK_LINKS)
+    edges, labels = both, None
     while True:
-        roots = _roots(edges, files)
+        roots, last = _roots(edges, steps), labels
         if labels is None:
-            labels = roots.select("id", F.col("to").alias("root"))
+            labels = steps.write(roots.select("id", F.col("to").alias("root")))
         else:
             moved = roots.select(F.col("id").alias("root"), "to")
-            labels = written(labels.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")), files)
-        a, b = roots.select(F.col("id").alias("a"), F.col("to").alias("na")), roots.select(F.col("id").alias("b"), F.col("to").alias("nb"))
-        edges = written(edges.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).filter("a <> b").distinct(), files)
+            labels = steps.write(labels.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+        a, b, before = roots.select(F.col("id").alias("a"), F.col("to").alias("na")), roots.select(F.col("id").alias("b"), F.col("to").alias("nb")), edges
+        edges = steps.write(edges.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).filter("a <> b").distinct())
+        steps.drop(roots, before, last)
         if edges.isEmpty():
-            return labels
+            # The result outlives the loop as a checkpoint, which the session's cleaner looks after.
+            out = cut(labels)
+            steps.clear()
+            return out

@@ -28,6 +28,7 @@ from priorsight.llm.components import components
 from priorsight.llm.registry import query, table
 from priorsight.llm.wordhash import as_bytes, mix64, pieces, rolling, word_hashes, _Powers
 from priorsight.plans.lineage import cut
+from priorsight.plans.ordering import with_global_order
 
 #: Shingle length in words and similarity in percent, as most of the library's callers want them.
 WORDS, PERCENT = 5, 80
@@ -43,6 +44,8 @@ TILE = 512
 TOKENS, SKETCH = 64, 256
 #: Of the sketch, so many agree with probability above 0.99996 at similarity 0.8 (mean 208, deviation 6.2).
 AGREE = 183
+#: Partners from which on a set is confirmed in blocks; bytes of sets in a block; blocks' rows that are sent to every task (16 bytes each).
+MANY, BLOCK, SENT = 16, 1 << 18, 1_000_000
 _POWERS = _Powers(0x27D4EB2F165667C5 | 1)
 _MULTIPLIERS = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 _OFFSETS = mix64(np.arange(1001, 1001 + SKETCH, dtype=np.uint64))
@@ -115,22 +118,36 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<u4", n).astype(np.int64) | np.frombuffer(blob, "u1", n, 4 * n).astype(np.int64) << 32
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
 def _confirmed(percent: int):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, keep = batch.slice(at, 256), []
-                for i, (x, y) in enumerate(zip(part["set_a"].to_pylist(), part["set_b"].to_pylist())):
-                    both = np.concatenate((_unpacked(x), _unpacked(y)))
-                    both.sort(kind="stable")
-                    shared = int((both[1:] == both[:-1]).sum())
-                    if 100 * shared >= percent * (len(both) - shared):
-                        keep.append(i)
+                part = batch.slice(at, 256)
+                both = zip(part["set_a"].to_pylist(), part["set_b"].to_pylist())
+                keep = [i for i, (x, y) in enumerate(both) if _linked(_unpacked(x), _unpacked(y), percent)]
                 yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
+def _confirmed_cell(percent: int):
+    """Of the pairs of a cell, those whose sets, each of which the cell has once, are linked."""
+
+    def run(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        known = {c: _unpacked(s) for c, s in zip(sets["cls"].to_pylist(), sets["shingles"].to_pylist())}
+        keep = [i for i, (x, y) in enumerate(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist())) if _linked(known[x], known[y], percent)]
+        return pairs.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def _agreement(x: str, y: str) -> Column:
     """In how many of the minwise tokens' last four bits two sketches agree."""
     differs = lambda i: f"({x}[{i}] ^ {y}[{i}])"
@@ -333,12 +350,36 @@ def _sketch_pairs(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame
     return cut(met.select("a", "b", _agreement("x.bits", "y.bits").alias("alike")))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are linked."""
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, many: int = MANY) -> DataFrame:
+    """The pairs whose full sets are linked.
+
+    A set with ``many`` partners or more is heavy.  Heavy sets are put into blocks of about ``BLOCK`` bytes, those with one smallest
+    partner side by side; pairs of heavy sets are compared in cells of two blocks, to which a set goes once and not once a pair.
+    Other pairs bring their sets along: there are fewer than ``many`` for each set that is not heavy.
+    """
+    pairs = cut(pairs.select("a", "b"))
+    ends = pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("partners"), F.min("b").alias("least"))
+    heavy = cut(ends.filter(F.col("partners") >= many).select("cls", F.least("least", "cls").alias("least")))
+    n_heavy = heavy.count()
+    single = pairs
+    if n_heavy:
+        sized = heavy.join(sets.select("cls", F.octet_length("shingles").cast("long").alias("bytes")), "cls")
+        blocks = cut(with_global_order(sized, ["least", "cls"], ["bytes"]).select("cls", F.floor(F.col("run_bytes") / BLOCK).alias("block")))
+        if n_heavy <= SENT:
+            blocks = F.broadcast(blocks)
+        of = lambda end: blocks.select(F.col("cls").alias(end), F.col("block").alias(f"block_{end}"))
+        placed = cut(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left"))
+        dense = F.col("block_a").isNotNull() & F.col("block_b").isNotNull()
+        single = placed.filter(~dense).select("a", "b")
+        # Both ends of a pair keep their sides; the cell is named by its blocks in order.
+        cells = placed.filter(dense).select("a", "b", F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"))
+        wanted = cells.select(F.col("i").alias("row"), F.col("j").alias("column"), F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
+        compared = cells.groupBy("i", "j").cogroup(wanted.groupBy("row", "column")).applyInArrow(_confirmed_cell(percent), "a long, b long")
     a = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b"))
-    met = pairs.select("a", "b").join(b, "b").join(a, "a")
-    return cut(met.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long"))
+    met = single.join(b, "b").join(a, "a")
+    found = met.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long")
+    return cut(found.union(compared) if n_heavy else found)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -46,7 +46,7 @@ def statistics(text: Column) -> list[tuple[str, Column]]:
             ("q_chars", F.length("q_text").cast("double")),
             ("q_letters", count(r"\p{L}")), ("q_upper", count(r"\p{Lu}")), ("q_digits", count(r"\p{Nd}")), ("q_spaces", count(r"\s")),
             ("q_marks", count(r"[.,;:?]")), ("q_odd", count(r"[#$%&*@^~<>=+\\{}\[\]_]")), ("q_bars", count(r"\|")), ("q_shouts", count("!")),
-            ("q_oddends", count(r"[#$%&*@^~<>=+|!]{2,}(?=\s|$)")), ("q_doubled", count(r"(?<!\S)(\S+)\s+\1(?!\S)")),
+            ("q_oddends", count(r"(?<![#$%&*@^~<>=+|!])[#$%&*@^~<>=+|!]{2,}+(?=\s|$)")), ("q_doubled", count(r"(?<!\S)(\S+)\s+\1(?!\S)")),
         ],
         [
             ("q_n", F.size("q_words").cast("double")), ("q_distinct", F.size(F.array_distinct("q_words")).cast("double")),
