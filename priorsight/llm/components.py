@@ -82,3 +82,16 @@ def components(links: DataFrame) -> DataFrame:
             out = cut(labels)
             steps.clear()
             return out
+
+
+def extended(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """``joined`` (``id, root``, as ``components`` gives it) after more ``links``: only ends of different components go through the loop again."""
+    root = lambda end: joined.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
+    named = links.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = cut(named.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct())
+    if apart.isEmpty():
+        return joined
+    moved = components(apart)
+    to = moved.select(F.col("id").alias("root"), F.col("root").alias("to"))
+    new = moved.join(joined.select("id"), "id", "left_anti").select("id", "root")
+    return cut(joined.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root")).union(new))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from priorsight.llm.components import components
+from priorsight.llm.components import components, extended
 from priorsight.llm.registry import query, table
 from priorsight.llm.wordhash import as_bytes, mix64, pieces, rolling, word_hashes, _Powers
 from priorsight.plans.lineage import cut
@@ -310,9 +310,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     best = first.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
     links = _confirm(best, sets, percent)
     # What the best of these links have not joined, the others may.
-    more = _between(first.join(best, ["a", "b"], "left_anti").select("a", "b"), components(links))
-    links = links.union(_confirm(more, sets, percent))
     joined = components(links)
+    more = _between(first.join(best, ["a", "b"], "left_anti").select("a", "b"), joined)
+    joined = extended(joined, _confirm(more, sets, percent))
 
     # All pairs of a small node that the first links have not joined.
     labelled = members.filter("not large").join(joined, members["cls"] == joined["id"], "left").select("node", "block", "cls", F.coalesce("root", "cls").alias("root"))
@@ -321,13 +321,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     x, y = open_.alias("x"), open_.alias("y")
     pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & _similar(percent))
     rest = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    links = links.union(_confirm(rest, sets, percent))
-    joined = components(links)
+    joined = extended(joined, _confirm(rest, sets, percent))
     # Of the larger ones, all pairs that are not joined even then.
     large = members.filter("large").select("node", "cls")
     if not large.isEmpty():
-        links = links.union(_confirm(_between_tiles(large, joined, light, percent), sets, percent))
-        joined = components(links)
+        joined = extended(joined, _confirm(_between_tiles(large, joined, light, percent), sets, percent))
 
     named = full.select("doc_id", "text_key", "n", "cls").join(joined, F.col("cls") == F.col("id"), "left").withColumn("root", F.coalesce("root", "cls"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -357,7 +355,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, many: int = MANY)
     partner side by side; pairs of heavy sets are compared in cells of two blocks, to which a set goes once and not once a pair.
     Other pairs bring their sets along: there are fewer than ``many`` for each set that is not heavy.
     """
-    pairs = cut(pairs.select("a", "b"))
+    pairs = cut(pairs.select("a", "b").distinct())
     ends = pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("partners"), F.min("b").alias("least"))
     heavy = cut(ends.filter(F.col("partners") >= many).select("cls", F.least("least", "cls").alias("least")))
     n_heavy = heavy.count()
@@ -373,11 +371,15 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, many: int = MANY)
         single = placed.filter(~dense).select("a", "b")
         # Both ends of a pair keep their sides; the cell is named by its blocks in order.
         cells = placed.filter(dense).select("a", "b", F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"))
-        wanted = cells.select(F.col("i").alias("row"), F.col("j").alias("column"), F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
+        wanted = cells.select(F.col("i").alias("row"), F.col("j").alias("column"), F.explode(F.array("a", "b")).alias("cls")).distinct()
+        # At most two rows a pair; the sets stay where they are if these are few.
+        wanted = sets.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "cls")
         compared = cells.groupBy("i", "j").cogroup(wanted.groupBy("row", "column")).applyInArrow(_confirmed_cell(percent), "a long, b long")
-    a = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b"))
-    met = single.join(b, "b").join(a, "a")
+    # Few pairs go to the sets, so that no other set moves.
+    few = F.broadcast if single.count() <= SENT else lambda df: df
+    side = lambda end: sets.join(few(single.withColumn("cls", F.col(end))), "cls").select("a", "b", F.lit(end).alias("end"), "shingles")
+    at = lambda end: F.max(F.when(F.col("end") == end, F.col("shingles"))).alias(f"set_{end}")
+    met = side("a").union(side("b")).groupBy("a", "b").agg(at("a"), at("b"))
     found = met.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long")
     return cut(found.union(compared) if n_heavy else found)
 

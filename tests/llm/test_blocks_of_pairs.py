@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priorsight.llm import near_dedup, quality
-from priorsight.llm.components import components
+from priorsight.llm.components import components, extended
 
 
 def packed(values):
@@ -40,6 +40,18 @@ def test_loops_leave_no_tables(spark):
     assert not [f for f in os.listdir(folder) if f.startswith("steps-")]
 
 
+def test_components_are_extended_as_if_from_nothing(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(150), rng.randrange(150)) for _ in range(60)]
+    more = [(rng.randrange(200), rng.randrange(200)) for _ in range(50)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = extended(components(frame(links)), frame(more)).collect()
+    want = components(frame(links + more)).collect()
+    assert sorted((r.id, r.root) for r in got) == sorted((r.id, r.root) for r in want)
+    once = components(frame(links))
+    assert extended(once, frame([])).count() == once.count()
+
+
 RUNS = "=a1 \n.|!A-é日_#/"
 
 
