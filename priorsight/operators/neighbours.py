@@ -148,7 +148,9 @@ def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int) -> DataFrame
     side = placed.select("key", "vector", "cell")
 
     def look(visits: DataFrame) -> DataFrame:
-        return best_of(search_cells(side, visits.select("query", "vector", F.explode("cells").alias("cell")), k), k)
+        # Read twice, to count and to search; the cells of a query are found once.
+        found = cut(visits).select("query", "vector", F.explode("cells").alias("cell"))
+        return best_of(search_cells(side, found, k), k)
 
     asked = queries.select(F.col("key").alias("query"), F.col("vector").cast("array<double>").alias("vector"))
     first = look(asked.mapInPandas(home, shape))
