@@ -287,6 +287,39 @@ def test_licenses(spark, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_licenses_inside_long_blocks(spark):
+    """A notice anywhere in a long line or paragraph is found; results equal a search of all blocks and windows by loops."""
+    rng = random.Random(8)
+    mit, bsd = license_scan.TEMPLATES["mit-notice"], license_scan.TEMPLATES["bsd-notice"]
+    texts = [f"{words(rng, 300)} {mit} {words(rng, 300)}", "one two three four five six seven eight nine ten eleven All rights reserved", words(rng, 5_000)]
+    texts += [f"{words(rng, before)} {bsd}\n{words(rng, 200)}" for before in range(95, 160, 7)]
+    texts += [" ".join(rng.choice(mit.split() + ["filler"] * 20) for _ in range(2_000)), (mit + " ") * 40, " ".join(w for w in mit.split() if rng.random() < 0.85) + " " + words(rng, 400)]
+    plan, sets = license_scan.window_plan(license_scan.TEMPLATES), license_scan.template_sets(license_scan.TEMPLATES)
+
+    def plainly(text):
+        best: dict = {}
+        for paragraph in text.split("\n\n"):
+            for name, (size, step, need) in plan.items():
+                found = license_scan.words_of(paragraph)
+                blocks = [set(license_scan.words_of(b)) for b in [paragraph, *paragraph.split("\n")]]
+                blocks = [b for b in blocks if len(b) <= license_scan.SPREAD * len(sets[name])]
+                blocks += [set(found[i : i + size]) for i in range(0, len(found) - size + step, step)] if len(found) > size else []
+                shared = max((len(b & set(sets[name])) for b in blocks), default=0)
+                if shared >= need:
+                    best[name] = max(best.get(name, 0), shared / len(sets[name]))
+        return best
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {m["template"]: m["containment"] for m in r.met} for r in license_scan.scan_licenses(df).collect()}
+    assert got == {i: plainly(t) for i, t in enumerate(texts)}
+    assert got[0] == {"mit-notice": 1.0} and "reserved" in got[1] and not got[2] and all("bsd-notice" in got[i] for i in range(3, 13))
+
+
+def test_places_that_overlap(spark):
+    df = spark.createDataFrame([(1, "x x x"), (2, "xx x")], "doc_id long, text string")
+    assert [r.n_base for r in license_scan.scan_licenses(df, {"x x": "x"}, {}).orderBy("doc_id").collect()] == [2, 0]
+
+
 def test_pieces(docs, none):
     model = sentence_pieces.Pieces.load()
     import sentencepiece
