@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -390,3 +391,57 @@ def test_hash_of_kept(spark):
     text = "a  b\tc"
     kept = substring_dedup.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.sha2("kept", 256)).first()[0]
     assert kept == hashlib.sha256(b"a b c").hexdigest()
+
+
+def plain_agenda(model, chunk, key, dropout):
+    """The best-scored merge first, the leftmost among equals, each skipped by its own draw; by a list that is searched anew each time."""
+    parts = [(i, i + 1, model.chars.get(c)) for i, c in enumerate(chunk)]
+    gone = set()
+    while True:
+        offers = []
+        for left, right in zip(parts, parts[1:]):
+            made = None if left[2] is None or right[2] is None else model.table.get(left[2] << 15 | right[2])
+            if made and (left[0], right[1]) not in gone:
+                offers.append((made[0], left[0], right[1], made[1]))
+        if not offers:
+            break
+        _, first, last, piece = min(offers)
+        if sentence_pieces._draw(key, first, last) < dropout * (2**64 - 1):
+            gone.add((first, last))
+        else:
+            parts = [p for p in parts if not (first <= p[0] and p[1] <= last)] + [(first, last, piece)]
+            parts.sort()
+    return [i for a, _, p in parts for i in ([p] if p is not None else [model.first_byte + b for b in chunk[a].encode()])]
+
+
+def test_every_occurrence_draws_for_itself():
+    model = sentence_pieces.Pieces.load()
+    rng = random.Random(12)
+    chunks = [" information", " the", "a", "\n", " \U0001d518x", " " + "ab" * 40, ""[:0] + "   "] + [" " + "".join(rng.choice("aeinrstlo") for _ in range(rng.randrange(1, 60))) for _ in range(80)]
+    of = np.array([0] * 2_000 + [rng.randrange(len(chunks)) for _ in range(3_000)])
+    keys = np.array([rng.getrandbits(64) for _ in of], np.uint64)
+    for dropout in (0.0, 0.1, 0.6, 1.0):
+        ids, counts, leaf = model.segment_each(chunks, of, keys, dropout)
+        ends = np.cumsum(counts)
+        got = [ids[ends[e] - counts[e] : ends[e]].tolist() for e in leaf.tolist()]
+        some = [*range(150), *range(2_000, 3_000)]
+        assert [got[o] for o in some] == [plain_agenda(model, chunks[of[o]], int(keys[o]), dropout) for o in some]
+        if dropout == 0.6:
+            assert len({tuple(g) for g in got[:2_000]}) > 16
+    assert len(model.segment_each([], np.empty(0, np.int64), np.empty(0, np.uint64), 0.1)[2]) == 0
+
+
+def test_readings_draw_anew(spark):
+    model = sentence_pieces.Pieces.load()
+    text = "international information about segmentation " * 30
+    df = spark.createDataFrame([(1, text, 0), (1, text, 1), (1, text, 1)], "doc_id long, text string, reading int")
+    ids = [r.ids for r in sentence_pieces.encode(df, model, reading=F.col("reading")).orderBy("reading").collect()]
+    assert ids[0] != ids[1] == ids[2]
+    assert all(r.decoded == text for r in sentence_pieces.decode(sentence_pieces.encode(df, model, reading=F.col("reading")), model).collect())
+
+
+def test_a_long_word_takes_little_time():
+    model = sentence_pieces.Pieces.load()
+    started = time.time()
+    model.agenda(" " + "information" * 30_000, 5, 0.1)
+    assert time.time() - started < 60
