@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priorsight.llm import mixing, near_dedup, quality, sentence_pieces, substring_dedup
@@ -43,8 +43,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their piece ids under merge-dropout."""
-    return sentence_pieces.encode(docs, sentence_pieces.Pieces.load())
+    """Documents with their piece ids under merge-dropout; a document that the mix reads again is drawn anew.
+
+    Readings of one document and text are numbered; which of them comes first does not matter, as they are equal.  Null and
+    empty texts have nothing to draw, so that they are dealt out instead of meeting.
+    """
+    name = "_reading"
+    while name in docs.columns:
+        name = "_" + name
+    blank = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.monotonically_increasing_id())
+    same = Window.partitionBy("doc_id", F.xxhash64("text"), blank).orderBy(F.lit(0))
+    numbered = docs.withColumn(name, F.row_number().over(same))
+    return sentence_pieces.encode(numbered, sentence_pieces.Pieces.load(), reading=F.col(name)).drop(name)
 
 
 STAGES: list[tuple[str, Stage]] = [
