@@ -21,6 +21,7 @@ from priorsight.plans.lineage import cut
 from priorsight.plans.timegrid import DAY_US, has_instants, measure_widths, running_totals, with_lane
 
 MAX_LEVELS = 62  # node levels a long can number
+STEP = 10  # levels of blocks that queries look at themselves; a join key then has 1,024 queries at most
 
 
 def value_profile(
@@ -111,7 +112,8 @@ def _least_counts(counted: DataFrame) -> DataFrame:
     While a value keeps its count, it concerns the queries numbered from
     ``asked`` up to ``next_asked`` of its key.  Such a range of numbers is split
     into aligned blocks of powers of two; a query then only looks at the blocks
-    its own number lies in, and each block keeps nothing but its minimum.  A
+    its own number lies in, and each block keeps nothing but its minimum.  Large
+    blocks are looked at once for many queries (``_lowest_over``).  A
     query row ends one such range of its target value and starts the next.
     """
     runs = counted.filter(
@@ -136,20 +138,29 @@ def _least_counts(counted: DataFrame) -> DataFrame:
         .groupBy("key", "d", "n.j", "n.block")
         .agg(F.min("own").alias("own"))
     )
-    looked = counted.filter(F.col("is_event") == 0).select(
-        "rowkey", "key", "d",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(j).alias("j"), F.shiftright(F.col("asked") - 1, j).alias("block"))
-                    for j in range(levels)
-                ]
-            )
-        ).alias("n"),
-    ).select("rowkey", "key", "d", "n.*")
-    return (
-        looked.join(lows, ["key", "d", "j", "block"]).groupBy("rowkey", "d").agg(F.min("own").alias("least"))
-    )
+    looked = counted.filter(F.col("is_event") == 0).select("rowkey", "key", "d", (F.col("asked") - 1).alias("number"))
+    return _lowest_over(looked, lows, levels, ["rowkey", "d"])
+
+
+def _lowest_over(looked: DataFrame, lows: DataFrame, levels: int, ids: Sequence[str]) -> DataFrame:
+    """``ids`` and ``least``: the smallest ``own`` of the blocks that hold each number, on any of ``levels`` levels.
+
+    Numbers meet the blocks of the lowest STEP levels themselves.  What larger blocks hold is the same for all numbers of one
+    group of ``2**STEP``, so that it is asked once a group, of the next levels, and handed down.  No join key has
+    more numbers than a group, whatever share of them a key holds.
+    """
+    here = min(levels, STEP)
+    blocks = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftright("number", j).alias("block")) for j in range(here)]))
+    near = looked.select(*dict.fromkeys([*ids, "key", "d"]), blocks.alias("n")).select(*dict.fromkeys([*ids, "key", "d"]), "n.*")
+    found = near.join(lows.filter(F.col("j") < here), ["key", "d", "j", "block"]).select(*ids, "own")
+    if levels > STEP:
+        group = F.shiftright("number", STEP)
+        groups = looked.select("key", "d", group.alias("number")).distinct()
+        higher = lows.filter(F.col("j") >= STEP).withColumn("j", F.col("j") - STEP)
+        above = _lowest_over(groups, higher, levels - STEP, ["key", "d", "number"])
+        handed = looked.withColumn("group", group).join(above.select("key", "d", F.col("number").alias("group"), F.col("least").alias("own")), ["key", "d", "group"])
+        found = found.unionByName(handed.select(*ids, "own"))
+    return found.groupBy(*ids).agg(F.min("own").alias("least"))
 
 
 def _wide(profile: DataFrame, days: Sequence[int], features: dict, prefix: str) -> DataFrame:

@@ -187,7 +187,9 @@ def counts(values):
     return out
 
 
-def test_repeat_statistics(log):
+@pytest.mark.parametrize("step", [10, 2])
+def test_repeat_statistics(log, step, monkeypatch):
+    monkeypatch.setattr(categories, "STEP", step)
     L, T, logins, trades = log
     got = {r["rowkey"]: r for r in categories.repeat_statistics(L, T, "device", DAYS).collect()}
     assert len(got) == len(trades)
@@ -211,6 +213,20 @@ def test_repeat_statistics(log):
             )
 
 
+@pytest.mark.parametrize("step", [1, 3, 40])
+def test_lowest_count_of_a_crowded_key(spark, step, monkeypatch):
+    """One key holds nine tenths of the queries; blocks of every level, from single numbers to the whole line."""
+    monkeypatch.setattr(categories, "STEP", step)
+    r = random.Random(step)
+    asked = [(i, "hot" if i % 10 else "other", 7, i) for i in range(1_500)]
+    lows = {("hot" if r.random() < 0.9 else "other", 7, j, r.randrange((1_500 >> j) + 1)): r.randrange(1, 90) for j in range(11) for _ in range(1 + (300 >> j))}
+    looked = spark.createDataFrame(asked, "rowkey long, key string, d int, number long")
+    held = spark.createDataFrame([(*k, v) for k, v in lows.items()], "key string, d int, j int, block long, own long")
+    got = {x["rowkey"]: x["least"] for x in categories._lowest_over(looked, held, 11, ["rowkey", "d"]).collect()}
+    want = {i: min((lows[k] for j in range(11) if (k := (key, d, j, n >> j)) in lows), default=None) for i, key, d, n in asked}
+    assert got == {i: v for i, v in want.items() if v is not None}
+
+
 def test_shared_value_profile(log):
     L, T, logins, trades = log
     got = {r["rowkey"]: r for r in categories.shared_value_profile(L, T, "device", DAYS).collect()}
