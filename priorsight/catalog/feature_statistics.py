@@ -21,26 +21,40 @@ def _documents(spark, sf):
 _CHI = """{f}_t as (select {c} as category, count(*) filter (where quality = 0) as o0, count(*) filter (where quality = 1) as o1 from {s} group by 1),
 {f}_a as (select *, sum(o0) over () as a0, sum(o1) over () as a1, count(*) over () as k from {f}_t),
 {f}_e as (select k, abs(o0 - (o0 + o1) * a0 / (a0 + a1)) as d0, (o0 + o1) * a0 / (a0 + a1) as e0, abs(o1 - (o0 + o1) * a1 / (a0 + a1)) as d1, (o0 + o1) * a1 / (a0 + a1) as e1 from {f}_a),
-{f}_r as (select '{f}' as feature, round(sum(power(d0 - case when k = 2 then least(d0, 0.5) else 0 end, 2) / e0 + power(d1 - case when k = 2 then least(d1, 0.5) else 0 end, 2) / e1), 6) as chi2, max(k) - 1 as degrees from {f}_e)"""
+{f}_r as (select '{f}' as feature, sum(power(d0 - case when k = 2 then least(d0, 0.5) else 0 end, 2) / e0 + power(d1 - case when k = 2 then least(d1, 0.5) else 0 end, 2) / e1) as chi2, max(k) - 1 as degrees from {f}_e)"""
 
 
-@query(
-    "H1_chi_square",
+_CHI_ALL = (
     f"with {_QUALITY}, s as (select *, cast(ceil(10 * row_number() over (order by source_no, doc_id) / count(*) over ()) as int) - 1 as source_bin, "
     "cast(ceil(10 * row_number() over (order by n_chars, doc_id) / count(*) over ()) as int) - 1 as size_bin from d), "
     + _CHI.format(f="english", c="english", s="d") + ", " + _CHI.format(f="n_chars", c="size_bin", s="s") + ", "
     + _CHI.format(f="source_no", c="source_bin", s="s")
-    + " select * from english_r union all select * from n_chars_r union all select * from source_no_r",
+    + ", c as (select * from english_r union all select * from n_chars_r union all select * from source_no_r) "
 )
+
+
+@query("H1_chi_square", _CHI_ALL + "select feature, round(chi2, 6) as chi2, degrees from c")
 def chi_square(spark, sf):
     documents = _documents(spark, sf)
     parts = [fs.chi_square(documents, c, "quality", "doc_id") for c in ("english", "n_chars", "source_no")]
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
-@query("H1_chi_square_p_values")
+# The tail is the integral of the density over u = sqrt(t), by Simpson's rule on 4,000 steps of 1/200.
+_TAIL = (
+    "u as (select feature, any_value(degrees) as k, sqrt(any_value(chi2)) as low, unnest(range(0, 4001)) as i from c group by feature), "
+    "v as (select feature, k, i, cast(low as double) + i / 200.0::double as u from u), "
+    "tail as (select feature, sum(case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end * power(u, k - 1) * exp(-u * u / 2)) / 600.0::double "
+    "* 2 / (power(2.0::double, k / 2.0::double) * gamma(k / 2.0::double)) as p from v group by feature, k) "
+)
+
+
+@query(
+    "H1_chi_square_p_values",
+    _CHI_ALL + f", {_TAIL} select feature, round(chi2, 6) as chi2, degrees, round(p, 6) as p from c join tail using (feature)",
+)
 def chi_square_p_values(spark, sf):
-    return fs.chi_square_p_values(_documents(spark, sf), ["english", "n_chars", "source_no"], "quality", "doc_id")
+    return rounded(fs.chi_square_p_values(_documents(spark, sf), ["english", "n_chars", "source_no"], "quality", "doc_id"))
 
 
 @query(
@@ -114,7 +128,24 @@ def mean_imputation(spark, sf):
     return rounded(fs.impute_mean(_gappy(spark, sf), ["discount", "tax"]).drop("l_shipdate"))
 
 
-@query("H7_box_cox")
+def _box_cox_sql(low: float = -2.0, high: float = 2.0, steps: int = 20, rounds: int = 4) -> str:
+    """The grids of powers one after another, each around the best power of the one before."""
+    power = "case when abs({p}) < 1e-12 then ln(x) else (power(x, {p}) - 1) / {p} end"
+    parts = [
+        "o as (select o_orderkey, cast(o_totalprice as double) + case when low <= 0 then abs(low) + 1 else 0 end as x from orders, (select min(o_totalprice) as low from orders))",
+        f"r0 as (select {low}::double as low, {high}::double as high)",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"g{i} as (select low, high, low + (high - low) * g / {steps}::double as p from r{i}, (select unnest(range(0, {steps + 1}))::double as g))",
+            f"l{i} as (select low, high, p, (p - 1) * sum(ln(x)) - count(*) / 2.0::double * ln(var_pop({power.format(p='p')})) as fit from o, g{i} group by low, high, p)",
+            f"r{i + 1} as (select p - (high - low) / {steps}::double as low, p + (high - low) / {steps}::double as high from l{i} order by fit desc, p limit 1)",
+        ]
+    last = f"best as (select (low + high) / 2 as best from r{rounds})"
+    return f"with {', '.join(parts)}, {last} select o_orderkey, round({power.format(p='best')}, 6) as o_totalprice, round(best, 6) as power from o, best"
+
+
+@query("H7_box_cox", _box_cox_sql())
 def box_cox(spark, sf):
     orders = fs.shift_positive(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice")
     power = fs.fit_box_cox(orders, "o_totalprice")
