@@ -402,7 +402,22 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     return met.select("row.*")
 
 
-@query("op6_near_dedup")
+def _sql(words: int, percent: int) -> str:
+    """Documents with equal sets are one class; links of classes that share a shingle are counted, and followed to all that is reachable."""
+    return f"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < {words} then [array_to_string(w, ' ')]
+    else [array_to_string(w[i:i + {words - 1}], ' ') for i in range(1, len(w) - {words - 2})] end)) as held from d),
+c as (select held, min(doc_id) as cls, len(held) as n from s where len(held) > 0 group by held),
+x as (select cls, n, unnest(held) as t from c),
+p as (select a.cls as a, b.cls as b from x a join x b on a.t = b.t and a.cls < b.cls group by a.cls, b.cls, a.n, b.n having 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+e as (select a, b from p union all select b, a from p),
+r(a, b) as (select cls, cls from c union select r.a, e.b from r join e on r.b = e.a),
+m as (select a, min(b) as least from r group by a)
+select doc_id, len(s.held)::bigint as n_shingles, coalesce(least, doc_id) as component_id, coalesce(least, doc_id) = doc_id as kept
+from s left join c on c.held = s.held left join m on m.a = c.cls"""
+
+
+@query("op6_near_dedup", _sql(4, PERCENT))
 def op6_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate components of all documents, on shingles of four words."""
     found = near_duplicates(table(spark, sf, "documents"), words=4)
