@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from priorsight.llm.registry import query, table
 from priorsight.llm.wordhash import pieces
-from priorsight.plans.lineage import cut
 
 #: Bytes in a window.
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
 #: Documents to learn from, about, of each language; and passages of each, of so many characters.
 SAMPLE, PASSAGES, PASSAGE = 600, 4, 300
-BROADCAST_LANGUAGES = 1_000
+#: Languages learned, those with most documents.
+LANGUAGES = 100
 STEPS, BATCH, RATE = 700, 64, 0.01
 UNKNOWN = "und"
 
@@ -177,19 +177,19 @@ def identify(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
     return judged.select("row.row.*", F.when(spoken, F.col(own[0])).otherwise(UNKNOWN).alias(own[0]), F.when(spoken, F.col(own[1])).otherwise(0.0).alias(own[1]))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> ByteNetwork | None:
+def learn(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS, passages: int = PASSAGES, languages: int = LANGUAGES) -> ByteNetwork | None:
     """A network from ``docs`` (``doc_id, text, lang``); None if no row has a language, an id and a letter.
 
-    Of each language about ``sample`` documents are drawn by hashing ids, and of each a few short passages anywhere in the text, so
-    what reaches the driver is bounded by the number of languages.
+    The ``languages`` with most documents are learned, the smaller name first among equals, so that a column with a value of its own for every
+    document stays harmless.  Of each about ``sample`` documents are drawn by hashing ids, and of each document ``passages`` passages of
+    PASSAGE characters anywhere in the text.  So what reaches the driver is bounded whatever the table holds.
     """
     named = docs.filter("lang is not null and doc_id is not null").filter(F.regexp_like("text", F.lit(r"\p{L}")))
-    counts = cut(named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    # One row a language; few enough to broadcast, so that no text is shuffled by language.
-    small = F.broadcast if counts.count() <= BROADCAST_LANGUAGES else (lambda df: df)
-    drawn = named.join(small(counts), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) * F.col("n") < sample * (1 << 20))
+    counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    # At most ``languages`` rows, so that no text is shuffled by language.
+    drawn = named.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) * F.col("n") < sample * (1 << 20))
     at = F.pmod(F.xxhash64("doc_id", "i"), F.greatest(F.length("text") - PASSAGE, F.lit(0)) + 1).cast("int") + 1
-    parts = drawn.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(PASSAGES)))).select("lang", "doc_id", "i", F.substring("text", at, F.lit(PASSAGE)).alias("part"))
+    parts = drawn.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(passages)))).select("lang", "doc_id", "i", F.substring("text", at, F.lit(PASSAGE)).alias("part"))
     rows = sorted((r.lang, r.doc_id, r.i, r.part) for r in parts.collect())
     return train([r[3].encode() for r in rows], [r[0] for r in rows], steps) if rows else None
 

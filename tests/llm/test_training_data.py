@@ -445,3 +445,49 @@ def test_a_long_word_takes_little_time():
     started = time.time()
     model.agenda(" " + "information" * 30_000, 5, 0.1)
     assert time.time() - started < 60
+
+
+def test_languages_learned_are_bounded(spark):
+    """A column with a value of its own for most documents: the common languages are learned, the smaller name first among equals."""
+    rng = random.Random(2)
+    texts = [(i, "".join(rng.choice("abcde" if i % 2 else "vwxyz") for _ in range(200)), "aa" if i % 2 else "vv") for i in range(120)]
+    df = spark.createDataFrame(texts + [(1_000 + i, "mixed words", f"only{i:03}") for i in range(300)], "doc_id long, text string, lang string")
+    assert sorted(language_id.learn(df, steps=20, languages=3).languages) == ["aa", "only000", "vv"]
+    net = language_id.learn(df, steps=150, languages=2)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df, net).collect()}
+    assert all(got[i] == lang for i, _, lang in texts) and set(got.values()) == {"aa", "vv"}
+
+
+def plain_network(net, text):
+    """Language and probability by filters, pooling and softmax written out by loops, over all windows of a text."""
+    data = text.encode()
+    windows = [data[i : i + 256] for i in range(0, len(data), 256)]
+    embedding, bias, weights, offset = net.embedding.tolist(), net.bias.tolist(), net.weights.tolist(), net.offset.tolist()
+    sums = [0.0] * len(net.languages)
+    for window in windows:
+        x = window + bytes(256 - len(window))
+        pooled = []
+        for f in net.filters:
+            f = f.tolist()
+            made = [[{b: sum(e * row[k] for e, row in zip(embedding[b], part)) for b in set(x)} for part in f] for k in range(len(f[0][0]))]
+            pooled += [max(sum(m[j][x[i + j]] for j in range(len(f))) for i in range(256 - len(f) + 1)) for m in made]
+        hidden = [max(p + b, 0.0) for p, b in zip(pooled, bias)]
+        logits = [sum(h * w[k] for h, w in zip(hidden, weights)) + offset[k] for k in range(len(sums))]
+        log_sum = math.log(sum(math.exp(v - max(logits)) for v in logits)) + max(logits)
+        sums = [s + len(window) * (v - log_sum) for s, v in zip(sums, logits)]
+    means = [math.exp(s / len(data)) for s in sums]
+    best = max(range(len(means)), key=means.__getitem__)
+    return net.languages[best], means[best] / sum(means)
+
+
+def test_windows_against_loops(spark):
+    """Long texts, repeated rows and bytes beyond ASCII among them."""
+    rng = random.Random(9)
+    letters = {"aa": "abcde ", "vv": "vwxyz ", "ru": "абвгд "}
+    texts = [(i, "".join(rng.choice(letters[lang] + "no") for _ in range(rng.choice([5, 200, 256, 700]))) + "n", lang) for i, lang in enumerate(["aa", "vv", "ru"] * 12)]
+    df = spark.createDataFrame(texts + texts[:5], "doc_id long, text string, lang string")
+    net = language_id.learn(df, steps=40)
+    got = language_id.identify(df, net).collect()
+    assert len(got) == len(texts) + 5
+    want = {i: plain_network(net, text) for i, text, _ in texts}
+    assert all(r.lang_pred == want[r.doc_id][0] and abs(r.lang_score - want[r.doc_id][1]) < 1e-4 for r in got)
