@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorsight.plans.lineage import checkpoint_dir, cut
+from priorsight.plans.lineage import checkpoint_dir, cut, shuffles_removed
 
 
 #: Links of a task, about; the tables of a loop are as many files.
@@ -26,7 +26,8 @@ class Steps:
     def write(self, df: DataFrame) -> DataFrame:
         """``df`` from a new table of at most ``files`` files."""
         path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.coalesce(self.files).write.parquet(path)
+        with shuffles_removed(self.spark):
+            df.coalesce(self.files).write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(table)] = (path, table)
         return table
