@@ -19,8 +19,9 @@ from priorsight.llm.registry import query, table
 from priorsight.llm.vector_blocks import best, each_tile, packed_blocks, tiles, usable
 
 NEIGHBOURS, EVERY = 20, 20
-#: Rows of a candidate block and of a query block, and query rows multiplied at a time.
-CANDIDATES, QUERIES, STRIP = 16_384, 1_024, 64
+#: Rows of a candidate block and of a query block, and query rows multiplied at a time.  Every block moves once for each block of the
+#: other side, so tiles of a given size move least when they are square.
+CANDIDATES, QUERIES, STRIP = 8_192, 8_192, 64
 FIELDS = ("codes", "scales", "errors", "norms", "values")
 
 
@@ -54,9 +55,8 @@ def _search(k: int):
                 low = np.where(others, about[i] - slack[i], -np.inf)
                 bound = np.partition(low, -k)[-k] if len(low) > k else -np.inf
                 alive = np.flatnonzero((about[i] + slack[i] >= bound) & others)
-                exact = np.zeros(len(alive))
-                for d in range(dim):  # in the order of the components, so that equal vectors score alike anywhere
-                    exact += q_values[at + i, d] * c_values[alive, d]
+                # Running sums add in the order of the components, so that equal vectors score alike anywhere.
+                exact = np.cumsum(c_values[alive] * q_values[at + i], axis=1)[:, -1]
                 near = heapq.nsmallest(k, zip((-exact).tolist(), c_ids[alive].tolist()))
                 out += [(name, vec, -s) for s, vec in near]
         found = np.array(out, dtype=[("q", "i8"), ("c", "i8"), ("s", "f8")])

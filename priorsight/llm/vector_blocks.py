@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from priorsight.plans.lineage import cut
 
+#: Components of a block at most, whatever its rows: 64 MB as doubles.
+COMPONENTS = 1 << 23
+
 
 def usable(vector: str = "embedding") -> Column:
     """Not null, not empty, and every component there and finite."""
@@ -27,10 +30,12 @@ def matrix(column: pa.Array) -> np.ndarray:
 def packed_blocks(vectors: DataFrame, rows: int, pack: Callable[[np.ndarray], dict[str, bytes]], fields: tuple[str, ...]) -> DataFrame:
     """``dim, block, ids`` and the binary ``fields`` that ``pack`` makes of a block's matrix.
 
-    Rows (``vec_id, embedding``) are dealt to blocks of about ``rows`` by a hash of the row; only vectors of one length share a block.
+    Rows (``vec_id, embedding``) are dealt to blocks of about ``rows`` by a hash of the row, of fewer where vectors are so long that a block
+    would pass ``COMPONENTS``; only vectors of one length share a block.
     """
     sized = vectors.select("vec_id", "embedding", F.size("embedding").alias("dim"))
-    counts = sized.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / rows).alias("blocks"))
+    most = F.least(F.lit(rows), F.greatest(F.floor(F.lit(COMPONENTS) / F.col("dim")), F.lit(1)))
+    counts = sized.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", F.ceil(F.col("n") / most).alias("blocks"))
     dealt = sized.join(counts, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")))
 
     def run(key: tuple, part: pa.Table) -> pa.Table:

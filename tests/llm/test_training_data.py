@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import WORD, lowered, near_components
-from priorsight.llm import language_id, license_scan, mixing, near_dedup, nearest_blocks, pivot_search, quality, sentence_pieces, substring_dedup, url_filters
+from priorsight.llm import language_id, license_scan, mixing, near_dedup, nearest_blocks, pivot_search, quality, sentence_pieces, substring_dedup, url_filters, vector_blocks
 from priorsight.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -248,6 +248,21 @@ def test_vectors(spark):
     assert nearest_blocks.neighbours(empty, empty).count() == 0 and pivot_search.top_products(empty, empty).count() == 0
 
 
+def test_searches_over_many_blocks(spark, monkeypatch):
+    rng = random.Random(23)
+    data = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)]
+    data += [(i, data[7][1]) for i in range(300, 400)]  # a vector that a quarter of all rows hold
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    want = {}
+    for search, every in ((nearest_blocks.neighbours, 20), (pivot_search.top_products, 50)):
+        for components in (1 << 23, 6 * 40):  # all in one block, and forty rows a block
+            monkeypatch.setattr(vector_blocks, "COMPONENTS", components)
+            got = sorted(tuple(r) for r in search(df, df.filter(f"vec_id % {every} = 0")).collect())
+            assert want.setdefault(search, got) == got and {r[0] for r in got} == set(range(0, 400, every))
+    sides = nearest_blocks.packed_blocks(df, 8_192, nearest_blocks.quantised, nearest_blocks.FIELDS)
+    assert sides.count() == 10
+
+
 def test_huge_components(spark):
     df = spark.createDataFrame([(0, [1e9, 3.0]), (50, [-1e9, 1.0]), (51, [2.5, 1e8]), (52, [1e30, 1.0])], "vec_id long, embedding array<double>")
     got = {(r.query_id, r.vec_id): r.score for r in pivot_search.top_products(df, df.filter("vec_id = 0")).collect()}
