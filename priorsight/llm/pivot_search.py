@@ -20,7 +20,7 @@ from priorsight.llm.vector_blocks import best, each_tile, matrix, packed_blocks,
 NEIGHBOURS, EVERY = 5, 50
 #: Pivots of each vector length, chosen far apart from about so many sampled rows.
 PIVOTS, SAMPLE = 48, 4_096
-CANDIDATES, QUERIES, STEP = 16_384, 1_024, 256
+CANDIDATES, QUERIES, STEP = 16_384, 4_096, 256
 FIELDS = ("values", "squares", "table")
 #: Products whose sums stay below this are exact in doubles; others are summed as Python's whole numbers.
 EXACT = 1 << 53
