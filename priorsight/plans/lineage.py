@@ -70,3 +70,9 @@ def cut(df: DataFrame) -> DataFrame:
     with shuffles_removed(spark):
         # The setting is read when a plan is made, so the plan is made here.
         return df.select("*").checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing will read any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
