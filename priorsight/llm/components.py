@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorsight.plans.lineage import checkpoint_dir, cut, shuffles_removed
+from priorsight.plans.lineage import checkpoint_dir, cut, remove, shuffles_removed
 
 
 #: Links of a task, about; the tables of a loop are as many files.
@@ -36,15 +36,11 @@ class Steps:
         """Deletes tables that nothing will read any more."""
         for table in tables:
             if id(table) in self.paths:
-                self._delete(self.paths.pop(id(table))[0])
+                remove(self.spark, self.paths.pop(id(table))[0])
 
     def clear(self) -> None:
         self.paths.clear()
-        self._delete(self.folder)
-
-    def _delete(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        remove(self.spark, self.folder)
 
 
 def _roots(edges: DataFrame, steps: Steps) -> DataFrame:

@@ -385,9 +385,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, many: int = MANY)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component one, that with the smallest id, and every text without words.
+    """The rows of ``docs`` that stay: of each component one, that with the smallest id, and every row without words, which is linked with nothing.
 
-    Of repeated rows one stays; the columns are those of ``docs``.
+    Of repeated rows with words one stays; the columns are those of ``docs``.
     """
     found = cut(near_duplicates(docs, words, percent))
     worded = found.filter("kept and n_shingles > 0")

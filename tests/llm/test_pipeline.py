@@ -1,10 +1,13 @@
 """Every stage of the pipeline on the smallest tables, each against a plain version on its own input."""
 
+from pathlib import Path
+
 import pytest
 
 import corpus_pipeline as pipeline
 from brute import WORD, lowered, near_components
 from priorsight.llm import quality, sentence_pieces
+from priorsight.plans.lineage import checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,10 +95,49 @@ def test_pieces(stages):
 
 
 def test_run(spark, stages):
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    known = set(folder.glob("pipeline-*"))
     assert pipeline.run(spark, SF).count() == len(stages["sentence_pieces"][1])
+    (made,) = set(folder.glob("pipeline-*")) - known
+    assert [p.name for p in made.iterdir() if p.is_dir()] == ["mixing"]  # what the result is read from; the others are gone
 
 
 def test_empty_tables(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in every column, blanks, a very long text, repeated rows, copies and columns with the stages' own names: each stage's stated result."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200).collect()
+    good = max((r for r in docs), key=lambda r: len(WORD.findall(r.text))).text
+    rows = [tuple(r) for r in docs]
+    long = " ".join(f"{r.text} part{i}" for i, r in enumerate(docs) for _ in range(3))
+    rows += [(9_001, None, "en", "web", 0), (9_002, "", None, None, None), (9_002, "", None, None, None), (9_003, " \n\t ", "en", "web", 4), (None, good, None, None, None), (None, good, None, None, None),
+             (9_004, good, "en", None, len(good)), (9_005, long, "en", "web", len(long)), (None, None, None, None, None), (None, None, None, None, None)]
+    names = "doc_id long, text string, lang string, source string, n_chars long".split(", ")
+    extra = ["doc", "row", "kept", "number", "quality_score", "n_removed", "taken", "position", "reading", "_reading", "cls", "in_doc"]
+    schema = ", ".join(names + [f"`{e}` int" for e in extra])
+    docs = spark.createDataFrame([r + tuple(range(len(extra))) for r in rows], schema).repartition(4)
+    columns, out = docs.columns, {}
+    for name, stage in pipeline.STAGES:
+        assert sorted(stage(spark, docs.limit(0), SF).collect()) == []
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        out[name] = (docs.collect(), spark.read.parquet(str(tmp_path / name)).collect())
+        docs = docs if name == "quality" else spark.read.parquet(str(tmp_path / name))
+        assert docs.columns[: len(columns)] == columns and all(tuple(r)[5 : 5 + len(extra)] == tuple(range(len(extra))) for r in out[name][1])
+    texts = {name: [(r.doc_id, r.text) for r in after] for name, (_, after) in out.items()}
+    # Rows judged alike stay alike, however often they stand there.
+    assert all(texts["quality"].count(x) in (0, rows.count(r)) for r in rows for x in [(r[0], r[1])])
+    # Of repeated rows and copies one stays; rows without words are linked with nothing, so all of them stay.
+    assert sum(t == good for _, t in texts["near_dedup"]) == 1
+    blanks = [(9_001, None), (9_002, ""), (9_002, ""), (9_003, " \n\t "), (None, None), (None, None)]
+    assert sorted(map(str, (x for x in texts["near_dedup"] if not (x[1] or "").strip()))) == sorted(map(str, blanks))
+    # Cutting keeps every row, and texts without a repeated window as they were.
+    assert len(texts["substring_dedup"]) == len(texts["near_dedup"]) and set(blanks) <= set(texts["substring_dedup"])
+    # The mix reads no text without words; whatever it reads is encoded, and decodes to its text.
+    assert all(t and t.strip() for _, t in texts["mixing"]) and len(texts["sentence_pieces"]) == len(texts["mixing"])
+    model = sentence_pieces.Pieces.load()
+    for r in out["sentence_pieces"][1]:
+        assert b"".join(model.data[model.starts[i] : model.starts[i + 1]].tobytes() for i in r.ids)[1:].decode() == r.text
