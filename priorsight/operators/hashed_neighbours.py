@@ -101,13 +101,14 @@ def hashed_neighbours(base: DataFrame, queries: DataFrame, k: int, tables: Table
             for at in range(0, len(batch), 512):
                 some = batch.iloc[at : at + 512]
                 codes = tables.probed(tables.sides(stacked(some["vector"])), tables.probes) + number[..., None]
-                yield some.assign(cells=list(np.moveaxis(codes, 1, 0).reshape(len(some), -1)))
+                # In order, as the cells are dealt to blocks.
+                yield some.assign(cells=list(np.sort(np.moveaxis(codes, 1, 0).reshape(len(some), -1), axis=1)))
 
     vector = F.col("vector").cast("array<double>").alias("vector")
     placed = base.select("key", vector).mapInPandas(place, "key long, vector array<double>, cells array<long>")
     asked = queries.select(F.col("key").alias("query"), vector).mapInPandas(open_cells, "query long, vector array<double>, cells array<long>")
     near = search_cells(
-        cut(placed.select("key", "vector", F.explode("cells").alias("cell"))), cut(asked.select("query", "vector", F.explode("cells").alias("cell"))), k
+        cut(placed.select("key", "vector", F.explode("cells").alias("cell"))), asked, k
     )
     # A pair found in several tables has one distance.
     return best_of(near.groupBy("query", "neighbour").agg(F.min("distance").alias("distance")), k)

@@ -3,16 +3,19 @@
 Vectors are assigned to the nearest of a bounded number of pivots.  A query
 first looks into the cell of its own pivot, which bounds the distance of its
 k-th neighbour, and then only into the cells that can hold something nearer by
-the triangle inequality.  Large cells and many queries are both split, and a
-block hands on k candidates per query, never its pairs.
+the triangle inequality.  Cells are put into blocks, to each of which a query goes once
+with the cells that it opens there; large cells and many queries are both split,
+and a block hands on k candidates per query, never its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,50 +24,94 @@ from priorsight.plans.lineage import cut
 
 #: Pivots held by the driver and every task: at most 4,096 vectors.  Up to there they grow with the root of the rows.
 MAX_PIVOTS = 4_096
-BLOCK_ROWS = 20_000
+#: Rows of a block and numbers in its vectors, at most about; blocks and chunks that a search has at least, if they hold ``LEAST`` rows.
+BLOCK_ROWS, BLOCK_NUMBERS, BLOCKS, CHUNKS, LEAST = 65_536, 1 << 22, 8, 4, 1_024
 SLACK, ROUGH = 1e-9, 1e-6
-CHUNK_NUMBERS = 2_000_000
-#: Rows of (cell, sizes) that are sent to every task; more are joined by cell.
+CHUNK_NUMBERS = 1_000_000
+#: Cells whose sizes are sent to every task; more are joined by cell.
 SENT_CELLS = 500_000
-_FOUND = {"query": "int64", "neighbour": "int64", "distance": "float64"}
+_FOUND = "query long, neighbour long, distance double"
 
 
 def stacked(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(np.float64)
 
 
-def _search_block(k: int):
-    """The ``k`` nearest of a block to each query: by squared norms and a matrix product, the few that can matter then exactly."""
-
-    def search(base: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"query": [], "neighbour": [], "distance": []}).astype(_FOUND)]
-        if not base.empty and not asked.empty:
-            base = base.sort_values("key", kind="stable")
-            matrix, keys = stacked(base["vector"]), base["key"].to_numpy()
-            vectors, queries = stacked(asked["vector"]), asked["query"].to_numpy()
-            norms, wanted = (matrix**2).sum(axis=1), min(k, len(matrix))
-            step = max(1, CHUNK_NUMBERS // len(matrix))
-            for at in range(0, len(queries), step):
-                some = vectors[at : at + step]
-                own = (some**2).sum(axis=1)
-                rough = own[:, None] + norms - 2 * some @ matrix.T
-                bound = np.partition(rough, wanted - 1, axis=1)[:, wanted - 1]
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(flat), -1)
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """For every element of the lists, the row it belongs to and its value."""
+    return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False)), column.flatten().to_numpy(zero_copy_only=False)
+
+
+class _Nearest:
+    """The ``k`` nearest found so far of many queries; ``limit`` is the square of a distance beyond which nothing can be among them."""
+
+    def __init__(self, k: int, limit: np.ndarray):
+        self.k, self.limit = k, limit
+        self.distance = np.full((len(limit), k), np.inf)
+        self.key = np.zeros((len(limit), k), np.int64)
+
+    def add(self, which: np.ndarray, key: np.ndarray, distance: np.ndarray) -> None:
+        some = np.unique(which)
+        old = np.isfinite(self.distance[some])
+        which = np.concatenate((which, np.repeat(some, old.sum(axis=1))))
+        key, distance = np.concatenate((key, self.key[some][old])), np.concatenate((distance, self.distance[some][old]))
+        order = np.lexsort((key, distance, which))
+        which, key, distance = which[order], key[order], distance[order]
+        nth = np.arange(len(which)) - np.searchsorted(which, which)
+        best = nth < self.k
+        self.distance[which[best], nth[best]], self.key[which[best], nth[best]] = distance[best], key[best]
+        self.limit[some] = np.minimum(self.limit[some], np.square(self.distance[some, -1]) * (1 + SLACK))
+
+
+def _search_tile(k: int):
+    """The ``k`` nearest of a block to each query of a chunk, cell by cell: by squared norms and a matrix product, the few that can matter then exactly."""
+
+    def search(base: pa.Table, asked: pa.Table) -> pa.Table:
+        order = np.argsort(base["place"].to_numpy(), kind="stable")
+        matrix, keys = _matrix(base["vector"])[order], base["key"].to_numpy()[order]
+        places, starts = np.unique(base["place"].to_numpy()[order], return_index=True)
+        vectors, queries = _matrix(asked["vector"]), asked["query"].to_numpy()
+        norms, own = (matrix**2).sum(axis=1), (vectors**2).sum(axis=1)
+        nearest = _Nearest(k, np.square(asked["bound"].to_numpy()) * (1 + SLACK))
+        row, opened = _lists(asked["places"].combine_chunks())
+        order = np.argsort(opened, kind="stable")
+        row, opened = row[order], opened[order]
+        for place, start, end in zip(places, starts, [*starts[1:], len(keys)]):
+            visitors = row[np.searchsorted(opened, place) : np.searchsorted(opened, place, "right")]
+            cell, step = matrix[start:end], max(1, CHUNK_NUMBERS // (end - start))
+            for at in range(0, len(visitors), step):
+                some = visitors[at : at + step]
+                rough = vectors[some] @ cell.T
+                rough *= -2
+                rough += norms[start:end]
                 # Twice the rounding error of the products keeps every row that may be among the nearest, ties included.
-                slack = 1e-12 * matrix.shape[1] * (own + norms.max())
-                which, near = np.nonzero(rough <= (bound + slack)[:, None])
+                slack = 1e-12 * matrix.shape[1] * (own[some] + norms[start:end].max())
+                limit = nearest.limit[some] - own[some]
+                free = np.isinf(limit)
+                if free.any() and end - start > k:
+                    limit[free] = np.partition(rough[free], k - 1, axis=1)[:, k - 1]
+                which, near = np.divmod(np.flatnonzero(rough <= (limit + slack)[:, None]), end - start)
                 distance = np.empty(len(near))
-                for part in range(0, len(near), max(1, CHUNK_NUMBERS // matrix.shape[1])):
-                    stop = part + max(1, CHUNK_NUMBERS // matrix.shape[1])
-                    apart = some[which[part:stop]] - matrix[near[part:stop]]
-                    distance[part:stop] = np.sqrt((apart * apart).sum(axis=1))
-                order = np.lexsort((near, distance, which))
-                starts = np.searchsorted(which[order], np.arange(len(some)))
-                nth = np.arange(len(order)) - starts[which[order]]
-                best = order[nth < wanted]
-                found.append(pd.DataFrame({"query": queries[at : at + step][which[best]], "neighbour": keys[near[best]], "distance": distance[best]}))
-        return pd.concat(found, ignore_index=True)
+                part = max(1, CHUNK_NUMBERS // matrix.shape[1])
+                for i in range(0, len(near), part):
+                    apart = vectors[some[which[i : i + part]]] - cell[near[i : i + part]]
+                    distance[i : i + part] = np.sqrt((apart * apart).sum(axis=1))
+                if len(near):
+                    nearest.add(some[which], keys[start:end][near], distance)
+        which, nth = np.nonzero(np.isfinite(nearest.distance))
+        return pa.table({"query": queries[which], "neighbour": nearest.key[which, nth], "distance": nearest.distance[which, nth]})
 
-    return search
+    def run(base: pa.Table, asked: pa.Table) -> pa.Table:
+        if base.num_rows and asked.num_rows:
+            return search(base, asked)
+        return pa.table({"query": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+
+    return run
 
 
 def best_of(candidates: DataFrame, k: int) -> DataFrame:
@@ -72,23 +119,121 @@ def best_of(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= k)
 
 
+@dataclass
+class _Blocks:
+    """Cells in order, dealt to blocks of ``rows`` rows; a cell with more goes to ``parts`` blocks from ``first`` on."""
+
+    cells: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, cells: np.ndarray, sizes: np.ndarray, rows: int) -> _Blocks:
+        return cls(cells, (np.cumsum(sizes) - sizes) // rows, -(-sizes // rows))
+
+    def visited(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of some rows of a batch at a time: the row, block and place of every visit, by row and block."""
+        step = max(1, 2 * CHUNK_NUMBERS * batch.num_rows // max(1, len(batch["cells"].flatten())))
+        for at in range(0, batch.num_rows, step):
+            some = batch.slice(at, step)
+            row, cell = _lists(some["cells"])
+            place = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+            held = self.cells[place] == cell
+            row, place = row[held], place[held]
+            parts = self.parts[place]
+            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            row, place = np.repeat(row, parts), np.repeat(place, parts)
+            block = self.first[place] + nth
+            by = row * int(self.first[-1] + self.parts[-1]) + block
+            if (by[1:] < by[:-1]).any():
+                order = np.argsort(by, kind="stable")
+                row, block, place = row[order], block[order], place[order]
+            yield some, row, block, place
+
+    def counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``place, block, n``: how many visits a place has, and how many rows visit a block."""
+        places, blocks = np.zeros(len(self.cells), np.int64), np.zeros(int(self.first[-1] + self.parts[-1]), np.int64)
+        for batch in batches:
+            for _, row, block, place in self.visited(batch):
+                np.add.at(places, np.unique(place), 1)
+                fresh = np.ones(len(row), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
+                blocks += np.bincount(block[fresh], minlength=len(blocks))
+        for name, counts in (("place", places), ("block", blocks)):
+            at = np.flatnonzero(counts)
+            yield pa.record_batch({"kind": pa.array([name] * len(at), pa.string()), "id": at, "n": counts[at]})
+
+    def routed(self, chunks: np.ndarray):
+        """Every query once to each block that it visits, with the places that it opens there."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for some, row, block, place in self.visited(batch):
+                    starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])))) if len(row) else np.zeros(0, np.int64)
+                    # Not all rows of a batch of queries at once: a query of many blocks comes as often.
+                    for at in range(0, len(starts), 1 << 12):
+                        own = starts[at : at + (1 << 12)]
+                        end = starts[at + (1 << 12)] if at + (1 << 12) < len(starts) else len(row)
+                        kept, to = some.select(["query", "vector", "bound"]).take(pa.array(row[own])), block[own]
+                        drawn = kept["query"].to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                        opened = pa.ListArray.from_arrays(pa.array(np.append(own - own[0], end - own[0]).astype(np.int32)), pa.array(place[own[0] : end].astype(np.int32)))
+                        yield pa.record_batch({"block": to, "chunk": (drawn % chunks[to].astype(np.uint64)).astype(np.int32), **{c: kept[c] for c in kept.schema.names}, "places": opened})
+
+        return run
+
+
 def search_cells(placed: DataFrame, visits: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``query, neighbour, distance``: the ``k`` nearest rows of ``placed`` (key, vector, cell) in every cell that ``visits`` (query, vector, cell) open.
+    """``query, neighbour, distance``: the ``k`` nearest rows of ``placed`` (key, vector, cell) in the cells that ``visits`` (query, vector, cell) open.
 
-    Large cells are split into parts and their many visitors into chunks, each part meeting each chunk of its own cell; rows of a cell
-    that nobody visits are not sent at all.
+    A visit opens one ``cell`` or several, ``cells``; nothing farther than ``bound`` is sought, if there is such a column.  Cells are put into blocks, large
+    ones split, and the many visitors of a block are dealt to chunks; each chunk meets its block once, so a vector goes to
+    a block and not to each of its cells.  Rows of a cell that nobody visits are not sent at all.
     """
-    rows = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-    askers = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("askers"))
+    spark = placed.sparkSession
+    opened = visits.select(
+        "query", F.col("vector").cast("array<double>").alias("vector"), (F.col("bound") if "bound" in visits.columns else F.lit(float("inf"))).alias("bound"),
+        F.col("cells" if "cells" in visits.columns else "cell").alias("cells"),
+    )
+    if "cells" not in visits.columns:
+        opened = opened.withColumn("cells", F.array("cells"))
+    grid = cut(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("numbers")))
+    if grid.count() > SENT_CELLS:
+        return _search_by_cell(placed, opened, grid, k, block_rows)
+    sizes = grid.select(F.col("cell").cast("long"), "rows", "numbers").orderBy("cell").toArrow()
+    if not sizes.num_rows:
+        return spark.createDataFrame([], _FOUND)
+    cells, rows = sizes["cell"].to_numpy(), sizes["rows"].to_numpy()
+    most = max(1, min(block_rows, BLOCK_NUMBERS // max(1, sizes["numbers"].to_numpy().max())))
+    blocks = _Blocks.of(cells, rows, min(most, max(LEAST, int(rows.sum()) // BLOCKS)))
+    counts = opened.select("cells").mapInArrow(blocks.counted, "kind string, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n")).toArrow()
+    kinds, ids, n = counts["kind"].to_numpy(zero_copy_only=False), counts["id"].to_numpy(), counts["n"].to_numpy()
+    chunks = np.zeros(int(blocks.first[-1] + blocks.parts[-1]), np.int64)
+    askers = n[kinds == "block"]
+    chunks[ids[kinds == "block"]] = -(-askers // np.minimum(most, np.maximum(LEAST, askers // CHUNKS)))
+    visited = np.sort(ids[kinds == "place"])
+    near = spark.createDataFrame(pa.table({"cell": cells[visited], "place": visited.astype(np.int32), "first": blocks.first[visited], "parts": blocks.parts[visited]}))
+    often = spark.createDataFrame(pa.table({"block": np.arange(len(chunks)), "chunks": chunks}))
+    side = placed.join(F.broadcast(near), "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("key"), F.col("parts")))
+    side = side.join(F.broadcast(often), "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))
+    asked = opened.mapInArrow(blocks.routed(chunks), "block long, chunk int, query long, vector array<double>, bound double, places array<int>")
+    by = ["block", "chunk"]
+    side = side.select("block", "chunk", F.col("key").cast("long").alias("key"), F.col("vector").cast("array<double>").alias("vector"), "place")
+    return side.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_search_tile(k), _FOUND)
+
+
+def _search_by_cell(placed: DataFrame, opened: DataFrame, grid: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """As ``search_cells``, for more cells than are sent to every task: each visit goes to its cell."""
+    visits = opened.select("query", "vector", "bound", F.explode("cells").alias("cell"))
     blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
-    grid = cut(rows.join(askers, "cell").select("cell", blocks("rows").alias("parts"), blocks("askers").alias("chunks")))
-    near = F.broadcast(grid) if grid.count() <= SENT_CELLS else grid
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     one = lambda key, c: F.pmod(F.xxhash64(key), F.col(c)).cast("int")
-    side = placed.join(near, "cell").select("key", "vector", "cell", one("key", "parts").alias("part"), every("chunks").alias("chunk"))
-    asked = visits.join(near, "cell").select("query", "vector", "cell", one("query", "chunks").alias("chunk"), every("parts").alias("part"))
+    askers = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("askers"))
+    near = cut(grid.join(askers, "cell").select("cell", blocks("rows").alias("parts"), blocks("askers").alias("chunks")))
+    place = F.lit(0).alias("place")
+    side = placed.join(near, "cell").select(F.col("key").cast("long").alias("key"), F.col("vector").cast("array<double>").alias("vector"), "cell", one("key", "parts").alias("part"), every("chunks").alias("chunk"), place)
+    asked = visits.join(near, "cell").select("query", "vector", "bound", "cell", one("query", "chunks").alias("chunk"), every("parts").alias("part"), F.array(place).alias("places"))
     by = ["cell", "part", "chunk"]
-    return side.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(_search_block(k), "query long, neighbour long, distance double")
+    return side.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_search_tile(k), _FOUND)
 
 
 def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -102,14 +247,13 @@ def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int) -> DataFrame
     chosen = base.orderBy(hashed_unit(F.col("key"), "pivot"), "key").limit(n_pivots).select("vector").collect()
     pivots = np.array([r["vector"] for r in chosen], dtype=np.float64)
 
-    def distances(vectors: pd.Series) -> np.ndarray:
-        m = stacked(vectors)
+    def from_pivots(m: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum((m**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * m @ pivots.T, 0))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = distances(batch["vector"])
+                d = from_pivots(stacked(batch["vector"]))
                 cell = d.argmin(axis=1)
                 yield batch.assign(cell=cell, reach=d[np.arange(len(d)), cell])
 
@@ -127,36 +271,42 @@ def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int) -> DataFrame
     radii = np.array([cells[c][1] for c in ids])
     # No vector is longer than its pivot and its cell's radius together.
     largest = 2 * float(np.sqrt((pivots**2).sum(axis=1)).max(initial=0.0) + radii.max(initial=0.0))
-    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                order = np.argsort(distances(batch["vector"])[:, ids], axis=1)
-                enough = np.cumsum(counts[order], axis=1) >= k
-                upto = np.where(enough.any(axis=1), enough.argmax(axis=1), len(ids) - 1)
-                yield batch.assign(cells=[ids[o[: u + 1]].tolist() for o, u in zip(order, upto)])
 
-    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                apart = distances(batch["vector"])[:, ids]
-                # Distances from squared norms err by the root of the rounding error, and so do the radii.
-                size = np.sqrt((stacked(batch["vector"]) ** 2).sum(axis=1)) + largest
-                open_cells = apart - radii <= batch["bound"].to_numpy()[:, None] * (1 + SLACK) + (ROUGH * size)[:, None]
-                yield batch[["query", "vector"]].assign(cells=[ids[o].tolist() for o in open_cells])
-
-    shape = "query long, vector array<double>, cells array<int>"
+    def opening(choose):
+        """Every query with the cells that ``choose`` opens to it, given a batch and its distances to the pivots of all cells."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, max(1, 4 * CHUNK_NUMBERS // len(pivots))):
+                    some = batch.slice(at, max(1, 4 * CHUNK_NUMBERS // len(pivots)))
+                    vectors = _matrix(some["vector"])
+                    open_cells = choose(some, vectors, from_pivots(vectors)[:, ids])
+                    ends = np.concatenate(([0], np.cumsum(open_cells.sum(axis=1)))).astype(np.int32)
+                    opened = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[np.nonzero(open_cells)[1]]))
+                    yield pa.record_batch({**{c: some[c] for c in some.schema.names}, "cells": opened})
+
+        return run
+
+    def home(some: pa.RecordBatch, vectors: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        order = np.argsort(apart, axis=1)
+        before = np.cumsum(counts[order], axis=1) - counts[order]
+        open_cells = np.zeros(apart.shape, bool)
+        np.put_along_axis(open_cells, order, before < k, axis=1)
+        return open_cells
+
+    def within(some: pa.RecordBatch, vectors: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        # Distances from squared norms err by the root of the rounding error, and so do the radii.
+        size = np.sqrt((vectors**2).sum(axis=1)) + largest
+        return apart - radii <= some["bound"].to_numpy()[:, None] * (1 + SLACK) + (ROUGH * size)[:, None]
+
+    shape = "query long, vector array<double>, bound double, cells array<long>"
     side = placed.select("key", "vector", "cell")
-
-    def look(visits: DataFrame) -> DataFrame:
-        # Read twice, to count and to search; the cells of a query are found once.
-        found = cut(visits).select("query", "vector", F.explode("cells").alias("cell"))
-        return best_of(search_cells(side, found, k), k)
-
-    asked = queries.select(F.col("key").alias("query"), F.col("vector").cast("array<double>").alias("vector"))
-    first = look(asked.mapInPandas(home, shape))
+    look = lambda visits: best_of(search_cells(side, visits, k), k)
+    asked = queries.select(F.col("key").cast("long").alias("query"), F.col("vector").cast("array<double>").alias("vector"))
+    first = look(asked.withColumn("bound", F.lit(float("inf"))).mapInArrow(opening(home), shape))
     bound = first.groupBy("query").agg(F.max("distance").alias("bound"))
     bounded = cut(asked.join(bound, "query"))
-    return look(bounded.mapInPandas(within, shape))
+    return look(bounded.mapInArrow(opening(within), shape))
 
 
 def neighbour_vote(base: DataFrame, queries: DataFrame, labels: DataFrame, k: int, same_table: bool = False) -> DataFrame:

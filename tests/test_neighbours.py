@@ -1,6 +1,7 @@
 """Exact and hashed neighbours against all distances in numpy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,38 @@ def test_hashed_neighbours_of_little(spark):
     one = spark.createDataFrame([(1, [1.0, 2.0])], SHAPE)
     assert hashed_neighbours.hashed_neighbours(one, one, 3).select("query", "neighbour").collect() == [(1, 1)]
     assert hashed_neighbours.hashed_neighbours(none, none, 3).count() == 0
+
+
+def test_a_query_goes_to_a_block_and_not_to_each_of_its_cells(spark, monkeypatch):
+    placed = spark.createDataFrame([(i, [float(i)], i % 50) for i in range(400)], "key long, vector array<double>, cell long")
+    visits = spark.createDataFrame([(q, [float(q)], c) for q in range(60) for c in range(50)], "query long, vector array<double>, cell long")
+    asked = visits.groupBy("query", "vector").agg(F.collect_list("cell").alias("cells"))
+
+    def sent(k):
+        return lambda base, asked: pa.table({"query": pa.array([asked.num_rows]), "neighbour": pa.array([base.num_rows]), "distance": pa.array([0.0])})
+
+    with monkeypatch.context() as patch:
+        patch.setattr(neighbours, "_search_tile", sent)
+        tiles = neighbours.search_cells(placed, asked, 3, 100).collect()
+    # Four blocks of a hundred rows, not fifty cells; one chunk of queries.
+    assert len(tiles) == 4 and sum(t.query for t in tiles) == 4 * 60 and sum(t.neighbour for t in tiles) == 400
+
+    rows = lambda df: sorted((r.query, r.nth, r.neighbour, r.distance) for r in neighbours.best_of(df, 3).collect())
+    got = rows(neighbours.search_cells(placed, asked, 3, 100))
+    assert [(q, j) for q, _, j, _ in got] == [(q, int(j)) for q in range(60) for j in np.lexsort((np.arange(400), abs(np.arange(400) - q)))[:3]]
+    assert rows(neighbours.search_cells(placed, asked.withColumn("bound", F.lit(1.0)), 3, 100)) == [r for r in got if r[3] <= 1]
+    monkeypatch.setattr(neighbours, "SENT_CELLS", 10)
+    assert rows(neighbours.search_cells(placed, asked, 3, 7)) == got
+
+
+def test_cells_larger_than_a_block_are_split(spark):
+    rng = np.random.default_rng(9)
+    base, asked = rng.standard_normal((300, 4)), rng.standard_normal((40, 4))
+    placed = spark.createDataFrame([(i, v.tolist(), -5 if i < 200 else i % 3) for i, v in enumerate(base)], "key long, vector array<double>, cell long")
+    visits = spark.createDataFrame([(i, v.tolist(), [2, -5, 7, 0]) for i, v in enumerate(asked)], "query long, vector array<double>, cells array<long>")
+    open_rows = np.array([i for i in range(300) if i < 200 or i % 3 in (0, 2)])
+    want = {q: [int(open_rows[j]) for j, _ in v] for q, v in nearest(base[open_rows], asked, 5).items()}
+    got = {}
+    for r in neighbours.best_of(neighbours.search_cells(placed, visits, 5, 30), 5).collect():
+        got.setdefault(r.query, []).append((r.nth, r.neighbour))
+    assert {q: [j for _, j in sorted(v)] for q, v in got.items()} == want
