@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.ml.classification import (
@@ -25,9 +26,11 @@ from priorsight.operators import metrics
 from priorsight.operators.neighbours import nearest_neighbours
 from priorsight.operators.splits import class_weights, shuffled_folds
 from priorsight.plans.concurrent import AT_ONCE, together
-from priorsight.plans.lineage import checkpoint_dir, cut
+from priorsight.plans.lineage import checkpoint_dir, cut, remove, shuffles_removed
 
 Fit = Callable[[DataFrame], object]
+#: Training and validation rows of a fold by its number.
+Parts = Callable[[int], tuple[DataFrame, DataFrame]]
 
 
 def model_matrix(df: DataFrame, features: Sequence[str], key: str = "rowkey", label: str = "is_risk") -> DataFrame:
@@ -141,6 +144,27 @@ def fold_parts(matrix: DataFrame, folds: DataFrame, fold: int, key: str = "rowke
     return train, validation
 
 
+@contextmanager
+def dealt(df: DataFrame, folds: DataFrame, numbers: Iterable[int], key: str = "rowkey") -> Iterator[Parts]:
+    """While inside, the ``fold_parts`` of ``df`` for all ``numbers``, from rows that are matched with the folds and written once.
+
+    Every fold and role has a folder of its own, so a fit reads its rows, and of these the columns that it asks for, and exchanges none.
+    What is read from them must be written before the end, when they are deleted.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/folds-{uuid.uuid4().hex}"
+    chosen = folds.filter(F.col("fold").isin(list(numbers))).select(key, F.col("fold").alias("in_fold"), F.col("role").alias("in_role")).distinct()
+    rows = df.join(chosen, key).sortWithinPartitions("in_fold", "in_role", key)
+    try:
+        with shuffles_removed(spark):
+            rows.write.partitionBy("in_fold", "in_role").parquet(path)
+        table = spark.read.schema(rows.schema).parquet(path)
+        part = lambda number, role: table.filter((F.col("in_fold") == number) & (F.col("in_role") == role)).select(*df.columns)
+        yield lambda number: (part(number, "train"), part(number, "validation"))
+    finally:
+        remove(spark, path)
+
+
 def _union(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -154,12 +178,13 @@ def per_round_over_folds(
     """
     numbers = list(numbers)
 
-    def job(number: int):
-        train, validation = fold_parts(matrix, folds, number)
+    def job(parts: Parts, number: int):
+        train, validation = parts(number)
         model = estimator.fit(train)
         return model, cut(margins_per_round(model, validation).withColumn("fold", F.lit(number)))
 
-    done = list(together(matrix.sparkSession, {f"fold {n}": lambda n=n: job(n) for n in numbers}, at_once).values())
+    with dealt(matrix, folds, numbers) as parts:
+        done = list(together(matrix.sparkSession, {f"fold {n}": lambda n=n: job(parts, n) for n in numbers}, at_once).values())
     probability = (1 / (1 + F.exp(-2 * F.col("margin")))).alias("score")
     rows = _union(m for _, m in done).select("fold", "iteration", "label", probability)
     return _measured(rows, ["fold", "iteration"], "score", threshold), [model for model, _ in done]
@@ -242,18 +267,16 @@ def split_counts(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fold_metrics(
-    jobs: Mapping[str, tuple[DataFrame, Fit]], folds: DataFrame, numbers: Sequence[int], at_once: int = AT_ONCE, threshold: float = 0.5
+    spark: SparkSession, jobs: Mapping[str, tuple[Parts, Fit]], numbers: Sequence[int], at_once: int = AT_ONCE, threshold: float = 0.5
 ) -> tuple[DataFrame, dict[str, list]]:
-    """``name, fold, f_beta, auc`` of every job (a matrix and how to fit it) on every fold, and each job's models.
+    """``name, fold, f_beta, auc`` of every job (the rows of the folds, as ``dealt`` gives them, and how to fit them) on every fold, and each job's models.
 
     All fits run side by side, ``at_once`` at a time, and all scores are measured together.  A fold whose validation rows are all of
     one class has no ``auc``; one without any validation rows has no row.
     """
-    spark = folds.sparkSession
-
     def job(name: str, number: int):
-        matrix, fit = jobs[name]
-        train, validation = fold_parts(matrix, folds, number)
+        parts, fit = jobs[name]
+        train, validation = parts(number)
         model = fit(train)
         return model, cut(scored(model, validation).select("label", "score", F.lit(name).alias("name"), F.lit(number).alias("fold")))
 
@@ -271,10 +294,20 @@ def means_of(per_fold: DataFrame) -> DataFrame:
 
 def mean_metrics(matrix: DataFrame, folds: DataFrame, numbers: Sequence[int], fit: Fit, at_once: int = AT_ONCE) -> tuple[dict, list]:
     """Mean ``f_beta`` and ``auc`` over the folds, how many folds the ``auc`` has, and the models."""
-    per_fold, models = fold_metrics({"all": (matrix, fit)}, folds, numbers, at_once)
+    with dealt(matrix, folds, numbers) as parts:
+        return _means_and_models(matrix.sparkSession, parts, numbers, fit, at_once)
+
+
+def _means_and_models(spark: SparkSession, parts: Parts, numbers: Sequence[int], fit: Fit, at_once: int) -> tuple[dict, list]:
+    per_fold, models = fold_metrics(spark, {"all": (parts, fit)}, numbers, at_once)
     return means_of(per_fold).drop("name").first().asDict(), models["all"]
 
 
+def _matrices(parts: Parts, features: Sequence[str]) -> Parts:
+    """The rows of the folds with the ``features`` as a vector."""
+    return lambda number: tuple(model_matrix(part, features) for part in parts(number))
+
+
 _METRICS = "f_beta double, auc double, auc_folds int"
 
 
@@ -285,15 +318,15 @@ def backward_elimination(
 
     Steps follow each other, as each needs the last one's importances; the folds of a step are fitted side by side.
     """
-    table = cut(df)
     left, steps = list(features), []
-    while left:
-        found, models = mean_metrics(cut(model_matrix(table, left)), folds, numbers, fit, at_once)
-        ranked = [r["feature"] for r in importances(df.sparkSession, models, left).orderBy("place").select("feature").collect()]
-        steps.append((len(steps), len(left), *found.values(), ranked))
-        if len(left) <= until * len(features):
-            break
-        left = ranked[: int(keep * len(left))]
+    with dealt(df.select("rowkey", "is_risk", *features), folds, numbers) as parts:
+        while left:
+            found, models = _means_and_models(df.sparkSession, _matrices(parts, left), numbers, fit, at_once)
+            ranked = [r["feature"] for r in importances(df.sparkSession, models, left).orderBy("place").select("feature").collect()]
+            steps.append((len(steps), len(left), *found.values(), ranked))
+            if len(left) <= until * len(features):
+                break
+            left = ranked[: int(keep * len(left))]
     return df.sparkSession.createDataFrame(steps, f"step int, n_features int, {_METRICS}, features array<string>")
 
 
@@ -301,16 +334,20 @@ def grid_search(
     matrix: DataFrame, folds: DataFrame, numbers: Sequence[int], grid: Sequence[Mapping], estimator: Callable[..., object], at_once: int = AT_ONCE
 ) -> DataFrame:
     """Mean F-beta and AUC over the temporal folds for every setting of the grid; all fits side by side."""
-    jobs = {str(dict(s)): (matrix, estimator(**s).fit) for s in grid}
-    return means_of(fold_metrics(jobs, folds, numbers, at_once)[0]).withColumnRenamed("name", "setting")
+    with dealt(matrix, folds, numbers) as parts:
+        jobs = {str(dict(s)): (parts, estimator(**s).fit) for s in grid}
+        per_fold, _ = fold_metrics(matrix.sparkSession, jobs, numbers, at_once)
+    return means_of(per_fold).withColumnRenamed("name", "setting")
 
 
 def ablation(df: DataFrame, sets: Mapping[str, Sequence[str]], folds: DataFrame, numbers: Sequence[int], fit: Fit, at_once: int = AT_ONCE) -> DataFrame:
     """Mean metrics over the folds for every named set of features; all fits side by side."""
-    table = cut(df)
-    jobs = {name: (model_matrix(table, columns), fit) for name, columns in sets.items()}
-    sizes = table.sparkSession.createDataFrame([(name, len(columns)) for name, columns in sets.items()], "name string, n_features int")
-    return means_of(fold_metrics(jobs, folds, numbers, at_once)[0]).join(F.broadcast(sizes), "name")
+    spark = df.sparkSession
+    used = list(dict.fromkeys(c for columns in sets.values() for c in columns))
+    with dealt(df.select("rowkey", "is_risk", *used), folds, numbers) as parts:
+        per_fold, _ = fold_metrics(spark, {name: (_matrices(parts, columns), fit) for name, columns in sets.items()}, numbers, at_once)
+    sizes = spark.createDataFrame([(name, len(columns)) for name, columns in sets.items()], "name string, n_features int")
+    return means_of(per_fold).join(F.broadcast(sizes), "name")
 
 
 def out_of_fold(

@@ -151,3 +151,31 @@ def test_stack(table):
     best = min(swept, key=lambda t: (-swept[t].f_beta, t))
     assert all(r.is_risk == int(r.score > best) for r in rows)
     assert area([(r.label, r.score) for r in rows]) > 0.8
+
+
+def test_rows_of_folds_are_written_once_and_read_without_an_exchange(spark, table, folds):
+    odd = table.union(table.filter("rowkey < 5")).union(table.limit(3).withColumn("rowkey", F.lit(None).cast("long")))
+    twice = folds.union(folds)
+    seen = lambda df: sorted(map(tuple, df.select("rowkey", "a", "c").collect()), key=str)
+    with models.dealt(odd, twice, range(3)) as parts:
+        for fold in range(3):
+            for got, want in zip(parts(fold), models.fold_parts(odd, twice, fold)):
+                assert seen(got) == seen(want) and got.schema == odd.schema
+                assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert parts(0)[0].count() and not parts(7)[0].count()
+    with models.dealt(odd.limit(0), twice, range(3)) as parts:
+        assert parts(1)[0].count() == 0
+
+
+def test_every_search_over_folds_matches_rows_and_folds_once(table, folds, monkeypatch):
+    def none(*args, **kwargs):
+        raise AssertionError("a fit matched rows and folds for itself")
+
+    monkeypatch.setattr(models, "fold_parts", none)
+    matrix, fit = models.model_matrix(table, ["a", "b", "c"]), models.decision_tree(2).fit
+    assert models.grid_search(matrix, folds, range(3), [{"depth": 1}, {"depth": 2}], models.decision_tree).count() == 2
+    assert models.ablation(table, {"one": ["a"], "two": ["a", "b"]}, folds, range(3), fit).count() == 2
+    steps = models.backward_elimination(table, ["a", "b", "c"], folds, range(3), fit, keep=0.7, until=0.4).orderBy("step").collect()
+    assert [s.n_features for s in steps] == [3, 2, 1] and set(steps[1].features) < set(steps[0].features)
+    per_round, _ = models.per_round_over_folds(matrix, folds, range(3), models.boosted_trees(rounds=2, depth=2))
+    assert per_round.count() == 6
