@@ -179,3 +179,16 @@ def test_every_search_over_folds_matches_rows_and_folds_once(table, folds, monke
     assert [s.n_features for s in steps] == [3, 2, 1] and set(steps[1].features) < set(steps[0].features)
     per_round, _ = models.per_round_over_folds(matrix, folds, range(3), models.boosted_trees(rounds=2, depth=2))
     assert per_round.count() == 6
+
+
+def test_shares_of_several_numbers_of_neighbours_take_one_search(table, monkeypatch):
+    matrix = models.model_matrix(table, ["a", "b", "c"])
+    train = matrix.join(splits.shuffled_folds(table.select("rowkey"), "rowkey", 2), "rowkey").cache()
+    search, asked = models.nearest_neighbours, []
+    monkeypatch.setattr(models, "nearest_neighbours", lambda base, queries, k: asked.append(k) or search(base, queries, k))
+    both = {"three": models.NeighbourShare(3), "five": models.NeighbourShare(5)}
+    got = {r.rowkey: (r.three, r.five) for r in models.out_of_fold(train, both, k=2).collect()}
+    assert asked == [5, 5] and len(got) == 360
+    for place, (name, learner) in enumerate(both.items()):
+        alone = {r.rowkey: r[name] for r in models.out_of_fold(train, {name: learner}, k=2).collect()}
+        assert alone == {k: v[place] for k, v in got.items()}
