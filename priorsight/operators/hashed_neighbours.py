@@ -108,7 +108,7 @@ def hashed_neighbours(base: DataFrame, queries: DataFrame, k: int, tables: Table
     placed = base.select("key", vector).mapInPandas(place, "key long, vector array<double>, cells array<long>")
     asked = queries.select(F.col("key").alias("query"), vector).mapInPandas(open_cells, "query long, vector array<double>, cells array<long>")
     near = search_cells(
-        cut(placed.select("key", "vector", F.explode("cells").alias("cell"))), asked, k
+        cut(placed.select("key", "vector", F.explode("cells").alias("cell"))), asked, k, distinct=True
     )
     # A pair found in several tables has one distance.
     return best_of(near.groupBy("query", "neighbour").agg(F.min("distance").alias("distance")), k)

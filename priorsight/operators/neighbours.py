@@ -48,10 +48,13 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Nearest:
-    """The ``k`` nearest found so far of many queries; ``limit`` is the square of a distance beyond which nothing can be among them."""
+    """The ``k`` nearest found so far of many queries; ``limit`` is the square of a distance beyond which nothing can be among them.
 
-    def __init__(self, k: int, limit: np.ndarray):
-        self.k, self.limit = k, limit
+    ``distinct`` counts a key that is found several times at one distance once.
+    """
+
+    def __init__(self, k: int, limit: np.ndarray, distinct: bool):
+        self.k, self.limit, self.distinct = k, limit, distinct
         self.distance = np.full((len(limit), k), np.inf)
         self.key = np.zeros((len(limit), k), np.int64)
 
@@ -62,13 +65,17 @@ class _Nearest:
         key, distance = np.concatenate((key, self.key[some][old])), np.concatenate((distance, self.distance[some][old]))
         order = np.lexsort((key, distance, which))
         which, key, distance = which[order], key[order], distance[order]
+        if self.distinct:
+            fresh = np.ones(len(which), bool)
+            fresh[1:] = (which[1:] != which[:-1]) | (key[1:] != key[:-1]) | (distance[1:] != distance[:-1])
+            which, key, distance = which[fresh], key[fresh], distance[fresh]
         nth = np.arange(len(which)) - np.searchsorted(which, which)
         best = nth < self.k
         self.distance[which[best], nth[best]], self.key[which[best], nth[best]] = distance[best], key[best]
         self.limit[some] = np.minimum(self.limit[some], np.square(self.distance[some, -1]) * (1 + SLACK))
 
 
-def _search_tile(k: int):
+def _search_tile(k: int, distinct: bool = False):
     """The ``k`` nearest of a block to each query of a chunk, cell by cell: by squared norms and a product in single precision, the few that can matter then exactly."""
 
     def search(base: pa.Table, asked: pa.Table) -> pa.Table:
@@ -85,7 +92,7 @@ def _search_tile(k: int):
         base_as, asked_as = (matrix - middle) / scale, (vectors - middle) / scale
         norms, own = (base_as**2).sum(axis=1), (asked_as**2).sum(axis=1)
         base_as, asked_as = base_as.astype(kind), asked_as.astype(kind)
-        nearest = _Nearest(k, np.square(asked["bound"].to_numpy()) * (1 + SLACK))
+        nearest = _Nearest(k, np.square(asked["bound"].to_numpy()) * (1 + SLACK), distinct)
         row, opened = _lists(asked["places"].combine_chunks())
         order = np.argsort(opened, kind="stable")
         row, opened = row[order], opened[order]
@@ -190,12 +197,13 @@ class _Blocks:
         return run
 
 
-def search_cells(placed: DataFrame, visits: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search_cells(placed: DataFrame, visits: DataFrame, k: int, block_rows: int = BLOCK_ROWS, distinct: bool = False) -> DataFrame:
     """``query, neighbour, distance``: the ``k`` nearest rows of ``placed`` (key, vector, cell) in the cells that ``visits`` (query, vector, cell) open.
 
     A visit opens one ``cell`` or several, ``cells``; nothing farther than ``bound`` is sought, if there is such a column.  Cells are put into blocks, large
     ones split, and the many visitors of a block are dealt to chunks; each chunk meets its block once, so a vector goes to
-    a block and not to each of its cells.  Rows of a cell that nobody visits are not sent at all.
+    a block and not to each of its cells.  Rows of a cell that nobody visits are not sent at all.  ``distinct`` is for rows
+    that are placed in several cells: one that is found in several is one of the ``k``.
     """
     spark = placed.sparkSession
     opened = visits.select(
@@ -206,7 +214,7 @@ def search_cells(placed: DataFrame, visits: DataFrame, k: int, block_rows: int =
         opened = opened.withColumn("cells", F.array("cells"))
     grid = cut(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("numbers")))
     if grid.count() > SENT_CELLS:
-        return _search_by_cell(placed, opened, grid, k, block_rows)
+        return _search_by_cell(placed, opened, grid, k, block_rows, distinct)
     sizes = grid.select(F.col("cell").cast("long"), "rows", "numbers").orderBy("cell").toArrow()
     if not sizes.num_rows:
         return spark.createDataFrame([], _FOUND)
@@ -226,10 +234,10 @@ def search_cells(placed: DataFrame, visits: DataFrame, k: int, block_rows: int =
     asked = opened.mapInArrow(blocks.routed(chunks), "block long, chunk int, query long, vector array<double>, bound double, places array<int>")
     by = ["block", "chunk"]
     side = side.select("block", "chunk", F.col("key").cast("long").alias("key"), F.col("vector").cast("array<double>").alias("vector"), "place")
-    return side.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_search_tile(k), _FOUND)
+    return side.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_search_tile(k, distinct), _FOUND)
 
 
-def _search_by_cell(placed: DataFrame, opened: DataFrame, grid: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _search_by_cell(placed: DataFrame, opened: DataFrame, grid: DataFrame, k: int, block_rows: int, distinct: bool) -> DataFrame:
     """As ``search_cells``, for more cells than are sent to every task: each visit goes to its cell."""
     visits = opened.select("query", "vector", "bound", F.explode("cells").alias("cell"))
     blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
@@ -241,7 +249,7 @@ def _search_by_cell(placed: DataFrame, opened: DataFrame, grid: DataFrame, k: in
     side = placed.join(near, "cell").select(F.col("key").cast("long").alias("key"), F.col("vector").cast("array<double>").alias("vector"), "cell", one("key", "parts").alias("part"), every("chunks").alias("chunk"), place)
     asked = visits.join(near, "cell").select("query", "vector", "bound", "cell", one("query", "chunks").alias("chunk"), every("parts").alias("part"), F.array(place).alias("places"))
     by = ["cell", "part", "chunk"]
-    return side.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_search_tile(k), _FOUND)
+    return side.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_search_tile(k, distinct), _FOUND)
 
 
 def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:

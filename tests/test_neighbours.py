@@ -79,7 +79,7 @@ def test_a_query_goes_to_a_block_and_not_to_each_of_its_cells(spark, monkeypatch
     visits = spark.createDataFrame([(q, [float(q)], c) for q in range(60) for c in range(50)], "query long, vector array<double>, cell long")
     asked = visits.groupBy("query", "vector").agg(F.collect_list("cell").alias("cells"))
 
-    def sent(k):
+    def sent(k, distinct):
         return lambda base, asked: pa.table({"query": pa.array([asked.num_rows]), "neighbour": pa.array([base.num_rows]), "distance": pa.array([0.0])})
 
     with monkeypatch.context() as patch:
@@ -107,3 +107,11 @@ def test_cells_larger_than_a_block_are_split(spark):
     for r in neighbours.best_of(neighbours.search_cells(placed, visits, 5, 30), 5).collect():
         got.setdefault(r.query, []).append((r.nth, r.neighbour))
     assert {q: [j for _, j in sorted(v)] for q, v in got.items()} == want
+
+
+def test_a_row_in_several_opened_cells_is_one_neighbour(spark):
+    placed = spark.createDataFrame([(i, [float(i)], t) for i in range(30) for t in range(12)], "key long, vector array<double>, cell long")
+    asked = spark.createDataFrame([(q, [float(q)], list(range(12))) for q in range(5)], "query long, vector array<double>, cells array<long>")
+    found = neighbours.best_of(neighbours.search_cells(placed, asked, 4, distinct=True), 4).collect()
+    got = {q: {r.neighbour for r in found if r.query == q} for q in range(5)}
+    assert got == {0: {0, 1, 2, 3}, 1: {0, 1, 2, 3}, 2: {0, 1, 2, 3}, 3: {1, 2, 3, 4}, 4: {2, 3, 4, 5}}
