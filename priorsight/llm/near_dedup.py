@@ -10,7 +10,8 @@ probability 0.8, so these miss a link about once in 10^7 where nodes are small.
 
 Copies never multiply: equal sets are one class; in a node, each member is first held only against the node's
 smallest member, and all pairs are looked at only between what these first links have not joined yet.  Nodes that stay
-too large are compared tile by tile, every tile with every other, so that none of their pairs is left out.
+too large are compared tile by tile, every tile with every other, so that none of their pairs is left out; two tiles bring
+their sets along and give only the links that join something, so that pairs of a large group are never rows.
 A link counts only after it is confirmed on the full sets.
 """
 
@@ -38,8 +39,8 @@ TREES, LEVELS = 10, 5
 RECALL = 0.997
 #: Members up to which a node is compared exhaustively, a power of two.
 NODE = 64
-#: Members of a tile of a larger node, about.
-TILE = 512
+#: Members of a tile of a larger node, about: so many at least, at most, and in between as many as make so many tiles; bytes of a tile's sets.
+TILE, MOST, TILES, TILE_BYTES = 512, 4096, 16, 1 << 22
 #: Minwise tokens that trees may choose, and tokens of which a sketch keeps the last 4 bits.
 TOKENS, SKETCH = 64, 256
 #: Of the sketch, so many agree with probability above 0.99996 at similarity 0.8 (mean 208, deviation 6.2).
@@ -169,50 +170,69 @@ def _tile(tile: pa.StructScalar) -> tuple:
     members = tile["members"].values
     field = lambda name: members.field(name).to_numpy()
     bits = members.field("bits").flatten().to_numpy().view(np.uint64).reshape(len(members), SKETCH // 16)
-    return field("cls"), field("root"), field("n"), bits, members.field("nodes").to_pylist()
+    return field("cls"), field("root"), bits, [_unpacked(s) for s in members.field("shingles").to_pylist()]
 
 
-def _tiles_met(percent: int):
-    """Of each two tiles ``x, y`` of a node: the pairs apart whose sizes and sketches allow a link, at the first node that both members share."""
+def _tiles_linked(percent: int):
+    """Of two tiles ``x, y`` of a node (one, if ``i = j``): links that join what their pairs join, at most one less than there are components.
+
+    Pairs apart whose sizes and sketches allow a link are held against each other on their full sets, all partners of a member at
+    once; what a link has joined is not looked at again.
+    """
     least, ones = _least_agreement(percent), np.uint64(0x1111111111111111)
 
-    def allowed(node: int, x: tuple, y: tuple, same: bool):
-        (cls_x, root_x, n_x, bits_x, nodes_x), (cls_y, root_y, n_y, bits_y, nodes_y) = x, y
-        n = n_x[:, None]
-        met = (root_x[:, None] != root_y) & (n * 100 >= n_y * percent) & (n_y * 100 >= n * percent)
-        i, j = np.nonzero(np.triu(met, 1) if same else met)
-        for at in range(0, len(i), 1 << 12):
-            a, b = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
-            differs = bits_x[a] ^ bits_y[b]
+    def run(key: tuple, pair: pa.Table) -> pa.Table:
+        same = pair["i"][0] == pair["j"][0]
+        tiles = [_tile(pair[c][0]) for c in ("x" if same else "xy")]
+        cls, root, bits = (np.concatenate([t[k] for t in tiles]) for k in range(3))
+        sets = [s for t in tiles for s in t[3]]
+        n = np.array([len(s) for s in sets])
+        begin = np.cumsum(n) - n
+        known, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+        part, held = np.unique(root, return_inverse=True)[1], np.zeros(len(known), np.uint8)
+        links = []
+        for a in range(len(tiles[0][0])):
+            first = a + 1 if same else len(tiles[0][0])
+            allowed = (part[first:] != part[a]) & (n[first:] * 100 >= n[a] * percent) & (n[a] * 100 >= n[first:] * percent)
+            b = first + np.flatnonzero(allowed)
+            differs = bits[b] ^ bits[a]
             differs |= differs >> np.uint64(1)
             differs |= differs >> np.uint64(2)
-            agree = SKETCH - np.bitwise_count(differs & ones).sum(axis=1, dtype=np.int64)
-            for k in np.flatnonzero(agree >= least):
-                if min(set(nodes_x[a[k]]) & set(nodes_y[b[k]])) == node:
-                    yield sorted((int(cls_x[a[k]]), int(cls_y[b[k]])))
-
-    def run(batches):
-        for batch in batches:
-            for node, same, x, y in zip(batch["node"].to_pylist(), batch["same"].to_pylist(), batch["x"], batch["y"]):
-                found = list(allowed(node, _tile(x), _tile(y), same))
-                yield pa.record_batch({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+            b = b[SKETCH - np.bitwise_count(differs & ones).sum(axis=1, dtype=np.int64) >= least]
+            if not len(b):
+                continue
+            # The tokens of all partners, one after another; those that the member has too are counted for each partner.
+            ends = np.cumsum(n[b])
+            own = tokens[begin[a] : begin[a] + n[a]]
+            held[own] = 1
+            hits = held[tokens[np.arange(ends[-1]) + np.repeat(begin[b] - (ends - n[b]), n[b])]]
+            held[own] = 0
+            shared = np.add.reduceat(hits, ends - n[b], dtype=np.int64)
+            b = b[100 * shared >= percent * (n[a] + n[b] - shared)]
+            joined, at = np.unique(part[b], return_index=True)
+            links += [(cls[a], cls[k]) for k in b[at]]
+            part[np.isin(part, joined)] = part[a]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return run
 
 
-def _between_tiles(members: DataFrame, joined: DataFrame, light: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: of the nodes of ``members`` (``node, cls``), all pairs that nothing has joined yet and whose sizes and sketches allow a link.
+def _links_between_tiles(members: DataFrame, joined: DataFrame, light: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: of the nodes of ``members`` (``node, cls``), links that join all that pairs of a node not joined yet can join.
 
     A component with many members in a node has tiles of its own there, which do not meet each other; the other members share tiles.
-    Pairs of tiles are rows of their own, spread by the node and the first tile.
+    Pairs of tiles are rows of their own, each confirmed where its two tiles are; pairs of members are never listed.
     """
     rooted = members.join(joined, members["cls"] == joined["id"], "left").select("node", "cls", F.coalesce("root", "cls").alias("root"))
     mixed = rooted.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("node")
-    rooted = cut(rooted.join(mixed, "node", "left_semi"))
+    rooted = cut(rooted.join(mixed, "node", "left_semi").join(light.select("cls", "n"), "cls"))
     many = rooted.groupBy("node", "root").count().filter(F.col("count") >= TILE).select("node", "root", F.lit(True).alias("own"))
     own = F.coalesce("own", F.lit(False))
-    grouped = rooted.join(many, ["node", "root"], "left").select("node", "cls", "root", own.alias("own"), F.when(own, F.col("root")).otherwise(0).alias("group"))
-    parts = grouped.groupBy("node", "own", "group").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
+    grouped = rooted.join(many, ["node", "root"], "left").select("node", "cls", "root", "n", own.alias("own"), F.when(own, F.col("root")).otherwise(0).alias("group"))
+    # A set is moved once for each tile that its own one meets, so large groups have larger tiles.
+    count = F.count(F.lit(1))
+    tile = F.least(F.greatest(count / TILES, F.lit(TILE)), F.lit(MOST))
+    parts = grouped.groupBy("node", "own", "group").agg(F.ceil(F.greatest(count / tile, F.sum("n") * 5 / TILE_BYTES)).alias("parts"))
     part = F.pmod(F.xxhash64("cls", "node"), F.col("parts")).alias("part")
     dealt = cut(grouped.join(parts, ["node", "own", "group"]).select("node", "cls", "root", "own", "group", part))
 
@@ -223,13 +243,13 @@ def _between_tiles(members: DataFrame, joined: DataFrame, light: DataFrame, perc
     listed = cut(listed)
     pairs = listed.filter("from <= last").select("node", "i", F.explode(F.sequence("from", "last")).alias("j"))
 
-    nodes = members.groupBy("cls").agg(F.collect_set("node").alias("nodes"))
-    known = dealt.join(listed.select("node", "own", "group", "part", "i"), ["node", "own", "group", "part"]).join(light, "cls").join(nodes, "cls")
-    tiles = cut(known.groupBy("node", "i").agg(F.collect_list(F.struct("cls", "root", "n", "bits", "nodes")).alias("members")))
+    known = dealt.join(listed.select("node", "own", "group", "part", "i"), ["node", "own", "group", "part"]).join(light, "cls").join(sets, "cls")
+    tiles = cut(known.groupBy("node", "i").agg(F.collect_list(F.struct("cls", "root", "bits", "shingles")).alias("members")))
     first = tiles.select("node", "i", F.struct("members").alias("x"))
     second = tiles.select("node", F.col("i").alias("j"), F.struct("members").alias("y"))
-    met = pairs.join(first, ["node", "i"]).join(second, ["node", "j"]).select("node", (F.col("i") == F.col("j")).alias("same"), "x", "y")
-    return met.mapInArrow(_tiles_met(percent), "a long, b long").distinct()
+    # Groups of one row, so that a task holds two tiles at a time.
+    met = pairs.join(first, ["node", "i"]).join(second, ["node", "j"]).select("node", "i", "j", "x", "y")
+    return cut(met.groupBy("node", "i", "j").applyInArrow(_tiles_linked(percent), "a long, b long"))
 
 
 def _together(percent: int, levels: int) -> float:
@@ -325,7 +345,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # Of the larger ones, all pairs that are not joined even then.
     large = members.filter("large").select("node", "cls")
     if not large.isEmpty():
-        joined = extended(joined, _confirm(_between_tiles(large, joined, light, percent), sets, percent))
+        joined = extended(joined, _links_between_tiles(large, joined, light, sets, percent))
 
     named = full.select("doc_id", "text_key", "n", "cls").join(joined, F.col("cls") == F.col("id"), "left").withColumn("root", F.coalesce("root", "cls"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
