@@ -115,3 +115,64 @@ def test_a_row_in_several_opened_cells_is_one_neighbour(spark):
     found = neighbours.best_of(neighbours.search_cells(placed, asked, 4, distinct=True), 4).collect()
     got = {q: {r.neighbour for r in found if r.query == q} for q in range(5)}
     assert got == {0: {0, 1, 2, 3}, 1: {0, 1, 2, 3}, 2: {0, 1, 2, 3}, 3: {1, 2, 3, 4}, 4: {2, 3, 4, 5}}
+
+
+def tables(base, asked, bound=np.inf):
+    lists = lambda m: pa.array([list(map(float, v)) for v in m], pa.list_(pa.float64()))
+    return pa.table({"key": np.arange(len(base)), "vector": lists(base)}), pa.table({"query": np.arange(len(asked)), "vector": lists(asked), "bound": np.full(len(asked), float(bound))})
+
+
+@pytest.mark.parametrize("kind", ["clustered", "whole numbers", "far off", "one axis", "tiny"])
+@pytest.mark.parametrize("leaf", [3, 40])
+def test_leaves_of_a_block_against_all_distances(monkeypatch, kind, leaf):
+    rng = np.random.default_rng(5)
+    base = {
+        "clustered": lambda: clustered(rng, 500, 9), "whole numbers": lambda: rng.integers(0, 3, (500, 4)).astype(float), "far off": lambda: clustered(rng, 500, 6) + 1e7,
+        "one axis": lambda: np.column_stack((rng.standard_normal(500), np.zeros((500, 3)))), "tiny": lambda: clustered(rng, 500, 5, scale=1e-9),
+    }[kind]()
+    asked = np.concatenate((base[:40], base[40:80] + rng.standard_normal((40, base.shape[1])) * base.std()))
+    monkeypatch.setattr(neighbours, "LEAF", leaf)
+    axes = neighbours._Axes.of(base[::5], 3)
+    for k in (1, 5, 600):
+        got, want = neighbours._nearest_in(axes, k, *tables(base, asked)), nearest(base, asked, k)
+        found = np.isfinite(got.distance)
+        assert {q: list(zip(got.key[q][found[q]].tolist(), got.distance[q][found[q]].tolist())) for q in want} == want
+    bound = np.median([v[2][1] for v in want.values()])
+    near = neighbours._nearest_in(axes, 5, *tables(base, asked, bound))
+    for q, v in want.items():
+        sure = [x for x in v[:5] if x[1] <= bound]
+        assert list(zip(near.key[q].tolist(), near.distance[q].tolist()))[: len(sure)] == sure
+
+
+def test_a_query_goes_only_to_blocks_that_can_hold_something_nearer(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((40, 12))[rng.integers(0, 40, 4000)] * 9 + rng.standard_normal((4000, 12))
+    asked = base[rng.choice(4000, 300, replace=False)] + rng.standard_normal((300, 12)) / 3
+    frames = spark.createDataFrame(rows(base), SHAPE).repartition(5).cache(), spark.createDataFrame(rows(asked), SHAPE).repartition(3).cache()
+    monkeypatch.setattr(neighbours, "LEAST", 50)
+
+    def visits(axes, k):
+        return lambda base, asked: pa.table({"query": -1 - base["block"].to_numpy()[:1] * 1000 - base["chunk"].to_numpy()[:1], "neighbour": pa.array([asked.num_rows]), "distance": pa.array([0.0])})
+
+    with monkeypatch.context() as patch:
+        patch.setattr(neighbours, "_found_elsewhere", visits)
+        gone = neighbours.nearest_neighbours(*frames, 5).filter("query < 0").agg(F.sum("neighbour")).first()[0]
+    # Eight blocks; each query goes to its own and to less than half of the others.
+    assert 0 < gone < 300 * 7 / 2
+    got = {}
+    for r in neighbours.nearest_neighbours(*frames, 5).collect():
+        got.setdefault(r.query, []).append((r.nth, r.neighbour, r.distance))
+    assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == nearest(base, asked, 5)
+
+
+def test_neighbours_of_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    base = [(i, [float(i % 4), 1.0]) for i in range(40)] + [(50, [nan, 1.0]), (51, [inf, 0.0]), (3, [3.0, 1.0]), (60, [-0.0, 1.0])]
+    asked = [(1, [0.0, 1.0]), (2, [nan, 0.0]), (3, [-inf, 1.0]), (1, [0.0, 1.0])]
+    got = neighbours.nearest_neighbours(spark.createDataFrame(base, SHAPE), spark.createDataFrame(asked, SHAPE), 3).collect()
+    # A key that is asked twice finds each of its neighbours twice.
+    assert sorted((r.query, r.nth, r.neighbour, r.distance) for r in got) == [(1, 1, 0, 0.0), (1, 2, 0, 0.0), (1, 3, 4, 0.0)]
+    none, one = spark.createDataFrame([], SHAPE), spark.createDataFrame([(7, [1.0])], SHAPE)
+    for a, b in ((none, one), (one, none), (none, none), (spark.createDataFrame([(8, [nan])], SHAPE), one)):
+        assert neighbours.nearest_neighbours(a, b, 2).count() == 0
+    assert [tuple(r) for r in neighbours.nearest_neighbours(one, one, 2).select("query", "neighbour", "distance", "nth").collect()] == [(7, 7, 0.0, 1)]
