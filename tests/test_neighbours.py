@@ -172,6 +172,11 @@ def test_neighbours_of_odd_rows(spark):
     got = neighbours.nearest_neighbours(spark.createDataFrame(base, SHAPE), spark.createDataFrame(asked, SHAPE), 3).collect()
     # A key that is asked twice finds each of its neighbours twice.
     assert sorted((r.query, r.nth, r.neighbour, r.distance) for r in got) == [(1, 1, 0, 0.0), (1, 2, 0, 0.0), (1, 3, 4, 0.0)]
+    for wrong in ([(1, [0.0]), (2, None)], [(1, [0.0]), (2, [1.0, 2.0])], [(1, [0.0, 1.0]), (2, None), (3, [1.0, 2.0]), (4, None)]):
+        with pytest.raises(Exception, match="a vector is null, or vectors differ in length"):
+            neighbours.nearest_neighbours(spark.createDataFrame(wrong, SHAPE), spark.createDataFrame([(1, [0.0])], SHAPE), 2).collect()
+    keys = spark.createDataFrame([(None, [0.5]), (2**60 + 1, [2.0])], SHAPE)
+    assert [r.neighbour for r in neighbours.nearest_neighbours(keys, keys.filter("key > 0"), 2).orderBy("nth").collect()] == [2**60 + 1, -(2**63)]
     none, one = spark.createDataFrame([], SHAPE), spark.createDataFrame([(7, [1.0])], SHAPE)
     for a, b in ((none, one), (one, none), (none, none), (spark.createDataFrame([(8, [nan])], SHAPE), one)):
         assert neighbours.nearest_neighbours(a, b, 2).count() == 0
